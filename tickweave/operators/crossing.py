@@ -1,9 +1,9 @@
 """First later row whose value passes a threshold, for thresholds that may be met arbitrarily late.
 
 A plain range join pairs every event with every later row. Here the series is summarised in a few
-levels, each node holding the extremes of ``fan`` nodes below it. An event climbs until it finds a
-node that contains a passing value and then descends to the first such row, so it meets at most
-``fan`` nodes per level.
+levels: a node lists its ``fan`` children with their highest and lowest value. An event climbs until
+its node has a later child that contains a passing value and then descends to the row itself. Each
+step is an equality join to one node, so an event stays one row throughout.
 """
 
 from __future__ import annotations
@@ -16,55 +16,50 @@ from pyspark.sql import functions as F
 from tickweave.operators.frames import KEYS
 
 
-def _level(series: DataFrame, keys: Sequence[str], value: str, width: int, fan: int, top: bool) -> DataFrame:
-    node = F.floor(F.col("ix") / width)
-    nodes = (
-        series.groupBy(*keys, node.alias("_n")).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
-        if width > 1 else series.select(*keys, F.col("ix").alias("_n"), F.col(value).alias("_hi"), F.col(value).alias("_lo"))
-    )
-    parent = F.lit(0).cast("long") if top else F.floor(F.col("_n") / fan)
-    return nodes.withColumn("_parent", parent)
+def _nodes(series: DataFrame, keys: Sequence[str], value: str, levels: int, fan: int) -> list[DataFrame]:
+    """Per level a table (keys, _p, _kids): children (n, hi, lo) of each parent; the top has one parent per key."""
+    tables = []
+    kids = series.select(*keys, F.col("ix").alias("n"), F.col(value).alias("hi"), F.col(value).alias("lo"))
+    for k in range(levels + 1):
+        parent = F.lit(0).cast("long") if k == levels else F.floor(F.col("n") / fan)
+        level = kids.groupBy(*keys, parent.alias("_p")).agg(
+            F.sort_array(F.collect_list(F.struct("n", "hi", "lo"))).alias("_kids"), F.max("hi").alias("hi"), F.min("lo").alias("lo")
+        )
+        tables.append(level.select(*keys, "_p", "_kids"))
+        kids = level.select(*keys, F.col("_p").alias("n"), "hi", "lo")
+    return tables
 
 
 def first_cross(
     events: DataFrame, series: DataFrame, value: str = "close", up: str = "up", down: str = "down",
-    ids: Sequence[str] = (*KEYS, "ix"), out: str = "cross_ix", strict: bool = True,
-    levels: int = 3, fan: int = 64, keys: Sequence[str] = KEYS,
+    out: str = "cross_ix", strict: bool = True, levels: int = 2, fan: int = 256, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Add ``out``: the first ``ix`` after the event's with value beyond ``up`` or below ``down`` (null: that side off).
+    """Add ``out``: the first ``ix`` after the event's own with a value beyond ``up`` or below ``down``.
 
-    ``ids`` identify an event; ``events`` must hold them and the two thresholds, other columns come back
-    by a join on ``ids``.
+    A null threshold turns that side off; no passing row gives null. ``series`` is read once per level.
     """
-    def passes() -> Column:
-        above = F.col("_hi") > F.col(up) if strict else F.col("_hi") >= F.col(up)
-        below = F.col("_lo") < F.col(down) if strict else F.col("_lo") <= F.col(down)
+    def passes(kid: Column) -> Column:
+        above = kid["hi"] > F.col(up) if strict else kid["hi"] >= F.col(up)
+        below = kid["lo"] < F.col(down) if strict else kid["lo"] <= F.col(down)
         return F.coalesce(above, F.lit(False)) | F.coalesce(below, F.lit(False))
 
-    carried = [up, down, *[f"_f{k}" for k in range(levels + 1)]]
-    state = events.select(*ids, up, down).withColumns({f"_f{k}": F.lit(None).cast("long") for k in range(levels + 1)})
-
-    def search(state: DataFrame, level: int, parent: Column, above: Column) -> DataFrame:
-        """Fill ``_f<level>`` with the first passing node under ``parent`` that lies beyond ``above``."""
-        nodes = _level(series, keys, value, fan**level, fan, level == levels)
-        joined = state.withColumn("_parent", parent).join(nodes, [*keys, "_parent"], "left")
-        found = F.min(F.when((F.col("_n") > above) & passes(), F.col("_n")))
-        rest = [F.first(c).alias(c) for c in carried if c != f"_f{level}"]
-        return joined.groupBy(*ids).agg(*rest, found.alias(f"_f{level}"))
+    def search(state: DataFrame, level: int, parent: Column, after: Column, old: Column) -> DataFrame:
+        """Set ``_f<level>`` to the first passing child of ``parent`` beyond ``after``, where parent is not null."""
+        joined = state.withColumn("_p", parent).join(nodes[level], [*keys, "_p"], "left")
+        hit = F.get(F.filter("_kids", lambda kid: (kid["n"] > after) & passes(kid)), F.lit(0))
+        return joined.withColumn(f"_f{level}", F.coalesce(old, hit["n"])).drop("_p", "_kids")
 
+    nodes = _nodes(series, keys, value, levels, fan)
+    none = F.lit(None).cast("long")
+    state = events
     for k in range(levels + 1):
         open_still = F.lit(True)
         for lower in range(k):
             open_still = open_still & F.col(f"_f{lower}").isNull()
         own = F.floor(F.col("ix") / fan**k)
         under = F.lit(0).cast("long") if k == levels else F.floor(own / fan)
-        state = search(state, k, F.when(open_still, under), own)
+        state = search(state, k, F.when(open_still, under), own, none)
     for k in range(levels - 1, -1, -1):
-        # Only events found one level up and not below go down one step; others keep what they have.
         go_down = F.col(f"_f{k}").isNull() & F.col(f"_f{k + 1}").isNotNull()
-        kept = state.withColumn("_keep", F.col(f"_f{k}"))
-        carried.append("_keep")
-        state = search(kept, k, F.when(go_down, F.col(f"_f{k + 1}")), F.lit(-1))
-        state = state.withColumn(f"_f{k}", F.coalesce("_keep", f"_f{k}")).drop("_keep")
-        carried.remove("_keep")
-    return events.join(state.select(*ids, F.col("_f0").alias(out)), list(ids), "left")
+        state = search(state, k, F.when(go_down, F.col(f"_f{k + 1}")), F.lit(-1), F.col(f"_f{k}"))
+    return state.withColumn(out, F.col("_f0")).drop(*[f"_f{k}" for k in range(levels + 1)])

@@ -15,6 +15,7 @@ from tickweave.functions.candles import engulfs
 from tickweave.operators import indicators as ind
 from tickweave.operators.crossing import first_cross
 from tickweave.operators.frames import BLOCK_ROWS, KEYS, block_of, dense_index, in_frames, running, tail_rows
+from tickweave.session import cut
 
 LOOKBACK = 5
 SIDES = ("high", "low")
@@ -91,8 +92,7 @@ def with_breaks(points: DataFrame, bars: DataFrame) -> DataFrame:
         "up": F.when(F.col("side") == "high", F.col("price")),
         "down": F.when(F.col("side") == "low", F.col("price")),
     })
-    ids = (*KEYS, "side", "ix")
-    return first_cross(marked, bars.select(*KEYS, "ix", "close"), ids=ids, out="break_ix").drop("up", "down")
+    return first_cross(marked, bars.select(*KEYS, "ix", "close"), out="break_ix").drop("up", "down")
 
 
 def breaks(points: DataFrame, bars: DataFrame, k: int = 5) -> DataFrame:
@@ -131,9 +131,12 @@ def last_break_parts(trend: Column, bull: Column, bear: Column) -> dict[str, Col
 
 
 def snapshot(bars: DataFrame, points: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
-    """Structure at the last bar of each series: one row with swing arrays (newest first, 10 per side)."""
+    """Structure at the last bar of each series: one row with swing arrays (newest first, 10 per side).
+
+    ``bars`` is read once per search level, so pass a written table rather than a long plan.
+    """
     points = swings(bars) if points is None else points
-    tail = tail_rows(points, 10, F.col("ix").desc(), keys=(*KEYS, "side"))
+    tail = cut(tail_rows(points, 10, F.col("ix").desc(), keys=(*KEYS, "side")))
     arrays = recent(with_breaks(tail, bars), 10)
     last = last_bars(bars, "ts", "ix", "close", *extra)
     out = last.join(arrays, [*KEYS], "left")
@@ -151,7 +154,8 @@ def point_in_time(bars: DataFrame, lookback: int = LOOKBACK, k: int = 5, rows: i
     """Structure columns at every bar, from swings confirmed by then and breaks that happened by then.
 
     Swings are numbered per side; in that numbering the last ``k`` are a bounded window. A bar finds its
-    list by the number of swings confirmed so far, an equality join.
+    list by the number of swings confirmed so far, an equality join. ``bars`` is read once per search
+    level, so pass a written table rather than a long plan.
     """
     flagged = in_frames(
         bars,
@@ -160,7 +164,7 @@ def point_in_time(bars: DataFrame, lookback: int = LOOKBACK, k: int = 5, rows: i
         }),
         before=2 * lookback, after=lookback, rows=rows,
     )
-    points = with_breaks(swings(bars, lookback, rows), bars)
+    points = with_breaks(cut(swings(bars, lookback, rows)), bars)
     counted = running(
         flagged, {f"_n_{s}": ("sum", F.col(f"_c{s}")) for s in SIDES}, ["ix"], block_of(rows=rows)
     )

@@ -12,12 +12,13 @@ from tickweave.functions.candles import confirmation
 from tickweave.operators import indicators as ind
 from tickweave.operators import regime, risk, rules, scoring, signals, structure, zones
 from tickweave.operators.frames import KEYS, in_frames, tail_rows
+from tickweave.session import cut
 
 MIN_BARS = 50
 
 
 def entry_setups(bars: DataFrame) -> DataFrame:
-    """Indexed bars with atr to the valid entry setups at the last bar of each series."""
+    """Indexed bars with atr (read several times: pass a written table) to the setups at each last bar."""
     snap = structure.snapshot(bars, extra=["atr"])
     last = snap.select(*KEYS, "atr")
     snap = snap.withColumn("fib_confluence", zones.fib_confluence(F.col("close"), zones.swing_fib(F.col("highs"), F.col("lows"))))
@@ -33,7 +34,7 @@ def scored_history(bars: DataFrame, assess: Callable[[DataFrame], DataFrame], ne
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         return df.withColumns({"confirm_buy": confirmation(w, 1), "confirm_sell": confirmation(w, -1)})
 
-    pit = structure.point_in_time(in_frames(bars, build, before=2))
+    pit = structure.point_in_time(cut(in_frames(bars, build, before=2)))
     pit = pit.withColumn("fib_confluence", zones.fib_confluence(F.col("close"), zones.swing_fib(F.col("highs"), F.col("lows"))))
     known = pit.select(
         *KEYS, "ix", "trend", "price_zone", "bos_direction", "choch_direction", "fib_confluence", "confirm_buy", "confirm_sell"
@@ -58,7 +59,8 @@ def scan(
         return regime.add_live_regime(scoring.add_rsi_divergence(df, w), w)
 
     rich = in_frames(bars, build, before=ind.core_margin(spans) + 64)
-    rich = rich.withColumnsRenamed({"ema_21": "ema_fast", "ema_50": "ema_slow", "ema_200": "ema_trend"})
+    # Read a dozen times below, so it is written once instead of being derived from ticks each time.
+    rich = cut(rich.withColumnsRenamed({"ema_21": "ema_fast", "ema_50": "ema_slow", "ema_200": "ema_trend"}))
     now_cols = ("ts", "ix", "close", "rsi", "rvol", "ema_fast", "ema_slow", "ema_trend", "div_buy", "div_sell", "regime")
     now = structure.last_bars(rich, *now_cols).filter(F.col("ix") >= MIN_BARS - 1)
     now = now.filter(cal.session_of(F.col("ts")) != cal.NO_SESSION)

@@ -10,6 +10,7 @@ from tickweave.operators import structure
 from tickweave.operators.frames import in_frames
 from tickweave.plans import sql
 from tickweave.plans.catalogue import present, query
+from tickweave.session import cut
 from tickweave.sources import tables
 
 _AROUND = f"OVER ({sql.W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
@@ -69,14 +70,14 @@ SELECT k.symbol, p.trend, CASE WHEN (side = 'high' AND p.trend = 'bullish') OR (
   CASE side WHEN 'high' THEN 'bullish' ELSE 'bearish' END AS direction, k.price AS level, k.ix AS swing_ix, k.break_ix
 FROM k JOIN pit p ON p.symbol = k.symbol WHERE k.break_ix IS NOT NULL""")
 def st_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    bars = tables.indexed(spark, sf)
+    bars = cut(tables.indexed(spark, sf))
     out = structure.breaks(structure.swings(bars), bars)
     return present(out, "symbol", "trend", "kind", "direction", "level", "swing_ix", "break_ix")
 
 
 @query("st_last_bos_choch", f"WITH {sql.event_bars('1h')}, {SNAPSHOT} SELECT symbol, trend, bos_direction, bos_ix, choch_direction, choch_ix FROM pit")
 def st_last_bos_choch(spark: SparkSession, sf: str) -> DataFrame:
-    out = structure.snapshot(tables.indexed(spark, sf))
+    out = structure.snapshot(cut(tables.indexed(spark, sf)))
     return present(out, "symbol", "trend", "bos_direction", "bos_ix", "choch_direction", "choch_ix")
 
 
@@ -107,13 +108,13 @@ def st_premium_discount(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("st_snapshot", f"WITH {sql.event_bars('1h')}, {SNAPSHOT} SELECT symbol, {sql.tx('ts')} AS ts, {sql.out(*STRUCTURE_OUT)} FROM pit")
 def st_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return present(structure.snapshot(tables.indexed(spark, sf)), "symbol", "ts", *_NAMES)
+    return present(structure.snapshot(cut(tables.indexed(spark, sf))), "symbol", "ts", *_NAMES)
 
 
 @query("st_snapshot_pit", f"""WITH {sql.event_bars('1h')}, {SWINGS}, {BROKEN}, {as_of()}
 SELECT symbol, {sql.tx('ts')} AS ts, {sql.out(*STRUCTURE_OUT)} FROM pit""")
 def st_snapshot_pit(spark: SparkSession, sf: str) -> DataFrame:
-    return present(structure.point_in_time(tables.indexed(spark, sf)), "symbol", "ts", *_NAMES)
+    return present(structure.point_in_time(cut(tables.indexed(spark, sf))), "symbol", "ts", *_NAMES)
 
 
 _C20 = f"OVER ({sql.W} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)"

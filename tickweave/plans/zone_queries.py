@@ -16,6 +16,7 @@ from tickweave.plans import live, sql
 from tickweave.plans.catalogue import present, query
 from tickweave.plans.signal_queries import _FB_LIVE, fb_setups
 from tickweave.plans.structure_queries import BROKEN, SWINGS, VECTOR, as_of
+from tickweave.session import cut
 from tickweave.sources import tables
 
 # Several series at once: events at 1h and 4h and the daily series, each a symbol of its own.
@@ -72,7 +73,7 @@ _RATIOS = "(VALUES (0.5::DOUBLE), (0.618::DOUBLE), (0.786::DOUBLE)) q(ratio)"
 SELECT symbol, {sql.tx('ts')} AS ts, ratio, {sql.fx('h1 - (h1 - l1)*ratio', 5)} AS level, 'support' AS kind FROM pit, {_RATIOS}
 WHERE h1 IS NOT NULL AND l1 IS NOT NULL""")
 def ez_fib(spark: SparkSession, sf: str) -> DataFrame:
-    pit = structure.point_in_time(tables.indexed(spark, sf))
+    pit = structure.point_in_time(cut(tables.indexed(spark, sf)))
     out = pit.select("symbol", "ts", F.inline(zones.swing_fib(F.col("highs"), F.col("lows"))))
     return present(out, "symbol", "ts", "ratio", "level", "kind", digits=5)
 
@@ -83,7 +84,7 @@ _FIB_HIT = f"""SELECT symbol, ix, ts, close, coalesce(bool_or(abs(close - {sql.f
 
 @query("ez_fib_confluence", f"WITH {sql.event_bars('1h')}, {_PIT}, f AS ({_FIB_HIT}) SELECT symbol, {sql.tx('ts')} AS ts, {sql.out('?fib_confluence')} FROM f")
 def ez_fib_confluence(spark: SparkSession, sf: str) -> DataFrame:
-    pit = structure.point_in_time(tables.indexed(spark, sf))
+    pit = structure.point_in_time(cut(tables.indexed(spark, sf)))
     hit = zones.fib_confluence(F.col("close"), zones.swing_fib(F.col("highs"), F.col("lows")))
     return present(pit.withColumn("fib_confluence", hit), "symbol", "ts", "fib_confluence")
 
@@ -155,7 +156,7 @@ _ENTRY_COLS = ("entry", "stop_loss", "tp1", "tp2", "tp3")
 @query("ez_build_entry", f"""WITH {_MIXED}, {sql.atr_sma()}, {_NOW}, {_OB}, {_FVG}, {_MATCH}, {_ENTRY}
 SELECT symbol, direction, {', '.join(sql.fx(c, 5) + ' AS ' + c for c in _ENTRY_COLS)}, CAST(bare AS INTEGER) AS atr_fallback, conf AS confirmation, reason FROM en""")
 def ez_build_entry(spark: SparkSession, sf: str) -> DataFrame:
-    out = live.entry_setups(mixed_atr(spark, sf))
+    out = live.entry_setups(cut(mixed_atr(spark, sf)))
     return present(out, "symbol", "direction", *_ENTRY_COLS, "atr_fallback", "confirmation", "reason", digits=5)
 
 
@@ -186,7 +187,7 @@ def assessed(bars: DataFrame) -> DataFrame:
 
 
 @query("sc_indicator_assess", f"""WITH {sql.event_bars('1h')}, {_LIVE}, {_ASSESS}
-SELECT symbol, {sql.tx('ts')} AS ts, direction, {sql.out(*_ASSESS_OUT)}, {sql.fx('ema_fast', 3)} AS d_ema_fast, {sql.fx('coalesce(rvol, 1)', 2)} AS d_rvol FROM asx""")
+SELECT symbol, {sql.tx('ts')} AS ts, direction, {sql.out(*_ASSESS_OUT)}, {sql.fx(sql.fx('ema_fast', 5), 3)} AS d_ema_fast, {sql.fx('coalesce(rvol, 1)', 2)} AS d_rvol FROM asx""")
 def sc_indicator_assess(spark: SparkSession, sf: str) -> DataFrame:
     out = assessed(tables.indexed(spark, sf))
     out = out.withColumns({"d_ema_fast": F.col("details")["ema_fast"], "d_rvol": F.col("details")["rvol"]})
@@ -249,7 +250,7 @@ SELECT symbol, {sql.tx('ts')} AS ts, direction, trend, choch_direction FROM pit
 WHERE NOT ((direction = 'buy' AND trend = 'bearish' AND coalesce(choch_direction, '') <> 'bullish')
   OR (direction = 'sell' AND trend = 'bullish' AND coalesce(choch_direction, '') <> 'bearish'))""")
 def sc_trend_prefilter(spark: SparkSession, sf: str) -> DataFrame:
-    out = zones.both_directions(structure.point_in_time(tables.indexed(spark, sf)))
+    out = zones.both_directions(structure.point_in_time(cut(tables.indexed(spark, sf))))
     out = out.filter(rules.trend_prefilter(F.col("direction"), F.col("trend"), F.col("choch_direction")))
     return present(out, "symbol", "ts", "direction", "trend", "choch_direction")
 
