@@ -343,12 +343,12 @@ def vshape(bars: DataFrame, run: int = 3, atr_mult: float = 1.5, rows: int = BLO
 
 def monday_gap(
     bars: DataFrame, min_gap_atr: float | None = 0.3, min_gap_pct: float | None = None,
-    warm_up: int = 20, rows: int = BLOCK_ROWS,
+    warm_up: int = 20, rows: int = BLOCK_ROWS, first_only: bool = True,
 ) -> DataFrame:
     """Mondays that open away from the last Friday close, faded back to it.
 
-    Only the first qualifying Monday after each last-seen Friday counts. Needs ``atr``. The last bar of
-    a series opens no trade.
+    Only the first qualifying Monday after each last-seen Friday counts (all with ``first_only=False``).
+    Needs ``atr``.
     """
     weekday = F.weekday("ts")
     usable = bars.filter(F.col("ix") >= warm_up)
@@ -370,5 +370,7 @@ def monday_gap(
         mondays = mondays.filter(F.col("gap_atr") >= min_gap_atr)
     if min_gap_pct is not None:
         mondays = mondays.filter(F.col("gap_pct") >= min_gap_pct)
+    if not first_only:
+        return mondays
     first = F.row_number().over(Window.partitionBy(*KEYS, "friday_ix").orderBy("ix"))
     return mondays.withColumn("_r", first).filter(F.col("_r") == 1).drop("_r")
