@@ -241,7 +241,7 @@ def permutation_drawdown(
 
 def _shuffled_large(trades: DataFrame, by: list[str], order: Sequence[str], pnl: str, sims: int, risk_pct: float, seed: int, rows: int) -> DataFrame:
     """Permutation figures of sets above one block; the random number is a hash, so a retry repeats it."""
-    reps = trades.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).cast("long"))
+    reps = trades.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
     draw = F.xxhash64(F.lit(seed), "_rep", *order, *by)
     unit = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
     reps = reps.withColumn("_u", unit).withColumn("_piece", F.floor(F.col("_u") * F.ceil(F.col("_n") / rows)))
