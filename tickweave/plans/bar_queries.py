@@ -10,7 +10,8 @@ from tickweave.operators.frames import in_frames
 from tickweave.plans import sql
 from tickweave.plans.catalogue import present, query
 from tickweave.sources import bars as src
-from tickweave.sources import dims, tables
+from tickweave.sources import dims, sinks, tables
+from tickweave.streaming.run import work_folder
 
 BARS_OUT = ("symbol", "tf", "@ts", "~open", "~high", "~low", "~close", "~volume")
 
@@ -20,6 +21,22 @@ def bars_from_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return present(tables.event_bars(spark, sf))
 
 
+@query("src_bars_csv", f"WITH {sql.event_bars('1h')} SELECT {sql.out(*BARS_OUT)} FROM bars")
+def src_bars_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written as CSV in symbol and timeframe folders, read back with an explicit schema."""
+    folder = work_folder(spark, "bars-csv")
+    sinks.write_table(tables.event_bars(spark, sf), folder, ["symbol", "tf"], "csv")
+    return present(src.check_bars(src.read_bars_csv(spark, folder, names=src.FOLDER_NAMES)))
+
+
+@query("sink_tables", f"WITH {sql.event_bars('1h')} SELECT {sql.out(*BARS_OUT)} FROM bars WHERE symbol IN ('click', 'view')")
+def sink_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written as Parquet partitioned by timeframe and symbol, read back with partition pruning."""
+    folder = work_folder(spark, "bars")
+    sinks.write_table(tables.event_bars(spark, sf), folder, ["tf", "symbol"])
+    return present(src.read_bars_parquet(spark, folder, symbols=["click", "view"], tf="1h"))
+
+
 @query("src_bars_daily", f"""WITH {sql.daily_bars()}, {sql.atr_sma()}
 SELECT {sql.out(*BARS_OUT, 'ix', '~atr')} FROM atrs""")
 def src_bars_daily(spark: SparkSession, sf: str) -> DataFrame:

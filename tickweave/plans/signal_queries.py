@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ SELECT b.symbol, {sql.tx('ts')} AS ts, CASE WHEN code = 'XAUUSD' THEN format('{{
   WHEN code IN ('USDJPY', 'GBPJPY') THEN format('{{:.3f}}', close) ELSE format('{{:.5f}}', close) END AS price_text
 FROM bars b JOIN listed l ON l.symbol = b.symbol""")
 def fmt_price(spark: SparkSession, sf: str) -> DataFrame:
-    listed = spark.createDataFrame(list(dims.STAND_IN.items()), "symbol string, code string")
+    listed = dims.local_table(spark, list(dims.STAND_IN.items()), pa.schema([("symbol", pa.string()), ("code", pa.string())]))
     bars = dims.with_dimension(tables.event_bars(spark, sf, "4h"), listed, "symbol")
     return present(bars.withColumn("price_text", format_price(F.col("close"), F.col("code"))), "symbol", "ts", "price_text")
 
@@ -253,7 +254,15 @@ def sig_monday_gap(spark: SparkSession, sf: str) -> DataFrame:
     return present(signals.monday_gap(bars), "symbol", "ts", "friday_close", "gap_atr", "gap_pct", "gap_type", "signal")
 
 
-@query("sig_vshape")
+@query("sig_vshape", f"""WITH RECURSIVE {sql.event_bars('1h')}, {sql.atr_sma()},
+m AS (SELECT *, close/nullif(lag(close) OVER ({sql.W}), 0) - 1 AS ret, lag(close) OVER ({sql.W}) AS prev FROM atrs),
+s AS (SELECT symbol, 0::BIGINT AS ix, 0 AS streak, 0.0::DOUBLE AS moved, 0 AS fired FROM m WHERE ix = 0
+  UNION ALL SELECT n.symbol, n.ix, CASE WHEN hit THEN 0 ELSE st END, CASE WHEN hit THEN 0 ELSE mv END, CASE WHEN hit THEN CASE WHEN st > 0 THEN -1 ELSE 1 END ELSE 0 END
+  FROM (SELECT *, coalesce(abs(st) >= 3 AND mv > atr*1.5, FALSE) AS hit FROM (SELECT m.symbol, m.ix, m.atr,
+    CASE WHEN ret IS NULL THEN streak WHEN ret > 0 AND streak >= 0 THEN streak + 1 WHEN ret < 0 AND streak <= 0 THEN streak - 1 WHEN ret > 0 THEN 1 ELSE -1 END AS st,
+    CASE WHEN ret IS NULL THEN moved WHEN (ret > 0 AND streak >= 0) OR (ret < 0 AND streak <= 0) THEN moved + abs(ret)*prev ELSE abs(ret)*prev END AS mv
+    FROM s JOIN m ON m.symbol = s.symbol AND m.ix = s.ix + 1) k) n)
+SELECT s.symbol, {sql.tx('m.ts')} AS ts, fired AS signal FROM s JOIN m ON m.symbol = s.symbol AND m.ix = s.ix WHERE fired <> 0""")
 def sig_vshape(spark: SparkSession, sf: str) -> DataFrame:
     bars = in_frames(tables.indexed(spark, sf), ind.add_atr_sma, before=15)
     return present(signals.vshape(bars), "symbol", "ts", "signal")

@@ -34,16 +34,20 @@ def check_bars(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_bars_csv(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> DataFrame:
-    """Read ``<symbol>_<tf>.csv`` files; the first column is the UTC time, names come from the path."""
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv", 1)
-    rest = [c for c in raw.columns if c != "ts"]
+# Where symbol and timeframe stand in a path.
+FILE_NAMES = r"([^/]+)_([^_/]+)\.csv"
+FOLDER_NAMES = r"symbol=([^/]+)/tf=([^/]+)/"
+
+
+def read_bars_csv(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA, names: str = FILE_NAMES) -> DataFrame:
+    """Read CSV files whose first column is the UTC time; symbol and timeframe come from the path.
+
+    Files are ``<symbol>_<tf>.csv`` by default, or lie in ``symbol=.../tf=.../`` folders.
+    """
+    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    file = F.input_file_name()
     return raw.select(
-        F.regexp_extract(name, r"^(.*)_([^_]+)$", 1).alias("symbol"),
-        F.regexp_extract(name, r"^(.*)_([^_]+)$", 2).alias("tf"),
-        "ts",
-        *rest,
+        F.regexp_extract(file, names, 1).alias("symbol"), F.regexp_extract(file, names, 2).alias("tf"), *raw.columns
     )
 
 
