@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def fix(c: Column, digits: int = 6) -> Column:
-    """Round half up with plain double arithmetic, so that any SQL engine gives the same bits."""
+    """Round half up with plain double arithmetic, so that any SQL engine gives the same bits.
+
+    Numbers too large to have such digits stay as they are.
+    """
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5) / F.lit(scale)
+    return F.when(F.abs(c) * scale < 9e15, F.floor(c * scale + 0.5) / F.lit(scale)).otherwise(c)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

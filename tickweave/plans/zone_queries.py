@@ -26,7 +26,7 @@ bars AS (SELECT symbol || ' ' || tf AS symbol, tf, ts, open, high, low, close, v
 
 def mixed(spark: SparkSession, sf: str) -> DataFrame:
     parts = [tables.event_bars(spark, sf, "1h"), tables.event_bars(spark, sf, "4h"), tables.daily_bars(spark, sf)]
-    bars = index_bars(reduce(DataFrame.unionByName, parts))
+    bars = index_bars(cut(reduce(DataFrame.unionByName, parts)))
     return bars.withColumn("symbol", F.concat_ws(" ", "symbol", "tf"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators.frames import index_bars
-from tickweave.session import prepare
+from tickweave.session import cut, prepare
 from tickweave.sources.bars import bars_from_ticks
 from tickweave.sources.dims import STAND_IN, pairs
 
@@ -39,11 +39,12 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str, tf: str = "1h") -> DataFrame:
-    return index_bars(event_bars(spark, sf_dir, tf))
+    """Numbered bars. Numbering reads the bars twice, so they are written once and the ticks read once."""
+    return index_bars(cut(event_bars(spark, sf_dir, tf)))
 
 
 def indexed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_bars(daily_bars(spark, sf_dir))
+    return index_bars(cut(daily_bars(spark, sf_dir)))
 
 
 def stand_in_pairs(spark: SparkSession) -> DataFrame:

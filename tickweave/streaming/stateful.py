@@ -1,4 +1,4 @@
-"""Streams with their own state per key: indicators, trap detection, trade tracking, caps, delay.
+"""Streams with their own state per key: indicators, trap detection, trade tracking, caps.
 
 Bars reach a symbol's state at the pace of the clock, one per bar length, so a busy symbol has busy
 ticks but no more bars than any other. Rows of one micro-batch are put in time order before use; a
@@ -192,7 +192,7 @@ def upsert_sink(path: str):
     return write
 
 
-# --- caps and delay --------------------------------------------------------------------------
+# --- caps --------------------------------------------------------------------------
 
 class Caps(StatefulProcessor):
     """Counts of a day and its sessions; the day's state goes when the watermark has passed the day."""
@@ -247,61 +247,3 @@ def trade_limits(signals: DataFrame, per_day: int = 5, per_session: int = 3, del
     limited = signals.select("symbol", "ts", "session", "signal").mapInPandas(_first_per_session(per_session), schema)
     keyed = limited.withWatermark("ts", delay).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return keyed.groupBy("day").transformWithStateInPandas(Caps(per_day, per_session), schema, "Append", "EventTime")
-
-
-class Hold(StatefulProcessor):
-    """Keeps rows until the watermark has passed their time plus the delay."""
-
-    def __init__(self, delay_ms: int):
-        self.delay_ms = delay_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "symbol string, at long, price double, event_id long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        fresh = _rows(rows, ["ts"])
-        held = [(r.symbol, _micros(r.ts), float(r.price), int(r.event_id)) for r in fresh.itertuples(index=False)]
-        due = -(-max(h[1] for h in held) // 1000) + self.delay_ms
-        if due <= now:
-            yield self._frame(held)
-            return
-        if not self.rows.exists():
-            self.rows.put(held)
-        else:
-            self.rows.appendList(held)
-        self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        ready = [h for h in held if -(-h[1] // 1000) + self.delay_ms <= now]
-        left = [h for h in held if -(-h[1] // 1000) + self.delay_ms > now]
-        if left:
-            self.rows.put(left)
-        else:
-            self.rows.clear()
-        yield self._frame(ready)
-
-    @staticmethod
-    def _frame(held: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(held, columns=["symbol", "ts", "price", "event_id"])
-        out["ts"] = pd.to_datetime(out["ts"], unit="us")
-        return out.astype({"price": "float64", "event_id": "int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def delayed_feed(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> DataFrame:
-    """Ticks published ``minutes`` after they became known.
-
-    Held per (symbol, minute, piece of the ids): a busy symbol or minute is spread over many groups.
-    """
-    use_rocksdb(ticks.sparkSession)
-    keyed = ticks.withWatermark("ts", lateness).withColumns({
-        "_minute": F.date_trunc("minute", "ts"), "_piece": F.pmod("event_id", F.lit(16)),
-    })
-    schema = "symbol string, ts timestamp, price double, event_id long"
-    return keyed.groupBy("symbol", "_minute", "_piece").transformWithStateInPandas(Hold(minutes * 60_000), schema, "Append", "EventTime")
