@@ -131,7 +131,7 @@ def ss_rolling_perf(spark: SparkSession, sf: str) -> DataFrame:
     return present(drain(windows.rolling_performance(closed), "rolling"))
 
 
-@query("ss_delayed_feed", f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {sql.fx('value')} AS price, event_id FROM events WHERE date_trunc('minute', ts) + INTERVAL 31 MINUTE <= (SELECT max(ts) FROM events) + INTERVAL 20 MINUTE")
+@query("ss_delayed_feed", f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {sql.fx('value')} AS price, event_id FROM events WHERE date_trunc('minute', ts) + INTERVAL 31 MINUTE <= {_END}")
 def ss_delayed_feed(spark: SparkSession, sf: str) -> DataFrame:
     out = drain(windows.delayed_feed(tick_stream(spark, sf), 30), "delayed")
     return present(out, "symbol", "ts", "price", "event_id")

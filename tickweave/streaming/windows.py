@@ -45,14 +45,12 @@ def rolling_performance(closed: DataFrame, span: str = "30 days", step: str = "1
     )
 
 
-def delayed_feed(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> DataFrame:
-    """Ticks published ``minutes`` after the minute they belong to, in whole minutes.
+def delayed_feed(ticks: DataFrame, minutes: int, lateness: int = 10) -> DataFrame:
+    """Ticks published once the latest time seen is ``minutes`` (and the lateness) past their minute.
 
     They wait in the window state of (symbol, minute, piece of the ids), so a busy symbol or minute is
-    spread over many groups, and leave once the watermark has passed the minute by the delay.
+    spread over many groups.
     """
-    held = F.expr(f"interval {minutes} minutes")
-    due = ticks.withColumn("_due", F.col("ts") + held).withWatermark("_due", lateness)
-    # Windows end a delay after their ticks, and the watermark of ts is the one of _due less the delay.
-    waiting = due.groupBy(F.window("_due", "1 minute").alias("_w"), "symbol", F.pmod("event_id", F.lit(16)).alias("_piece"))
+    held = ticks.withWatermark("ts", f"{minutes + lateness} minutes")
+    waiting = held.groupBy(F.window("ts", "1 minute").alias("_w"), "symbol", F.pmod("event_id", F.lit(16)).alias("_piece"))
     return waiting.agg(F.collect_list(F.struct("ts", "price", "event_id")).alias("_rows")).select("symbol", F.inline("_rows"))
