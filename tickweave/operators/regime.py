@@ -63,13 +63,13 @@ def add_adx_like(df: DataFrame, w: WindowSpec, lookback: int = 50) -> DataFrame:
 
 def as_of(
     trades: DataFrame, bars: DataFrame, value: str = "regime", ts: str = "ts", at: Column | None = None,
-    keys=KEYS, bucket_seconds: int = 86400 * 30, missing: str | None = "UNKNOWN",
+    keys=KEYS, bucket_seconds: int = 6 * 3600, missing: str | None = "UNKNOWN",
 ) -> DataFrame:
     """Give each trade the value of the last bar at or before its time, without a range join.
 
     Trades and bars of one (series, time bucket) are ordered together and the last value is carried
     forward; a bucket without an earlier bar takes the last value of earlier buckets from a table with
-    one row per bucket. A hot series is spread over its buckets.
+    one row per bucket. A hot series is spread over its buckets; shorten them for very dense trades.
     """
     moment = F.col(ts) if at is None else at
     tid = [c for c in trades.columns]

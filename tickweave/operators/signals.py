@@ -297,7 +297,8 @@ def vshape(bars: DataFrame, run: int = 3, atr_mult: float = 1.5, rows: int = BLO
     """Fade a streak of ``run`` or more same-sign returns that moved over ``atr_mult`` ATR, then start over.
 
     A change of sign or a zero return starts a new streak whatever came before, so streaks are
-    independent groups; the start over after a signal happens inside one streak.
+    independent groups; the start over after a signal happens inside one streak. Every bar of a streak
+    moves at least one tick, so its length is bounded by the price range over the tick size.
     """
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         prev = F.lag("close", 1).over(w)

@@ -95,6 +95,19 @@ def with_breaks(points: DataFrame, bars: DataFrame) -> DataFrame:
     return first_cross(marked, bars.select(*KEYS, "ix", "close"), out="break_ix").drop("up", "down")
 
 
+def with_recent_breaks(tail: DataFrame, bars: DataFrame) -> DataFrame:
+    """``break_ix`` for a few swings per series, in one pass over the bars.
+
+    Crossings are reduced to the first per swing before any shuffle, so the pass costs no more than a
+    filter with as many conditions as there are swings.
+    """
+    swing = tail.select(*KEYS, "side", F.col("ix").alias("_six"), F.col("price").alias("_level"))
+    beyond = F.when(F.col("side") == "high", F.col("close") > F.col("_level")).otherwise(F.col("close") < F.col("_level"))
+    hits = bars.select(*KEYS, "ix", "close").join(swing, [*KEYS]).filter((F.col("ix") > F.col("_six")) & beyond)
+    first = hits.groupBy(*KEYS, "side", F.col("_six").alias("ix")).agg(F.min("ix").alias("break_ix"))
+    return tail.join(first, [*KEYS, "side", "ix"], "left")
+
+
 def breaks(points: DataFrame, bars: DataFrame, k: int = 5) -> DataFrame:
     """Breaks of the last ``k`` swings per side, labelled by the current trend, with recency rank.
 
@@ -102,7 +115,7 @@ def breaks(points: DataFrame, bars: DataFrame, k: int = 5) -> DataFrame:
     """
     tail = tail_rows(points, k, F.col("ix").desc(), keys=(*KEYS, "side"))
     trend = recent(points, 2).select(*KEYS, trend_of(F.col("highs"), F.col("lows")).alias("trend"))
-    found = with_breaks(tail, bars).filter(F.col("break_ix").isNotNull()).join(trend, [*KEYS])
+    found = with_recent_breaks(tail, bars).filter(F.col("break_ix").isNotNull()).join(trend, [*KEYS])
     up = F.col("side") == "high"
     with_trend = (up & (F.col("trend") == "bullish")) | (~up & (F.col("trend") == "bearish"))
     return found.select(
@@ -133,11 +146,11 @@ def last_break_parts(trend: Column, bull: Column, bear: Column) -> dict[str, Col
 def snapshot(bars: DataFrame, points: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Structure at the last bar of each series: one row with swing arrays (newest first, 10 per side).
 
-    ``bars`` is read once per search level, so pass a written table rather than a long plan.
+    ``bars`` is read several times, so pass a written table rather than a long plan.
     """
     points = swings(bars) if points is None else points
-    tail = cut(tail_rows(points, 10, F.col("ix").desc(), keys=(*KEYS, "side")))
-    arrays = recent(with_breaks(tail, bars), 10)
+    tail = tail_rows(points, 10, F.col("ix").desc(), keys=(*KEYS, "side"))
+    arrays = recent(with_recent_breaks(tail, bars), 10)
     last = last_bars(bars, "ts", "ix", "close", *extra)
     out = last.join(arrays, [*KEYS], "left")
     none = F.array().cast(arrays.schema["highs"].dataType)

@@ -92,7 +92,7 @@ def bars_min_history(spark: SparkSession, sf: str) -> DataFrame:
 @query("bars_date_range", f"""WITH {sql.daily_bars()} SELECT {sql.out(*BARS_OUT)} FROM bars
 WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1998-12-31'""")
 def bars_date_range(spark: SparkSession, sf: str) -> DataFrame:
-    return present(src.date_range(tables.daily_bars(spark, sf), "1996-01-01", "1998-12-31"))
+    return present(tables.daily_bars(spark, sf, "1996-01-01", "1998-12-31"))
 
 
 _CODES = [(s, dims.VENDOR_CODE[p], dims.FALLBACK_CODE[p]) for s, p in dims.STAND_IN.items()]

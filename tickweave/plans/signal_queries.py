@@ -294,7 +294,32 @@ def sig_vote(spark: SparkSession, sf: str) -> DataFrame:
     return present(signals.to_long(out), "symbol", "ts", "strategy", "signal")
 
 
-@query("sig_registry")
+def _beyond(n: int) -> tuple[str, str]:
+    up, down = f"close > {sql.prev_extreme('max(high)', n)}", f"close < {sql.prev_extreme('min(low)', n)}"
+    return f"{up} AND NOT coalesce({down}, FALSE)", down
+
+
+_HOURS = "hour(ts) >= {} AND hour(ts) < {}"
+_SPIKE = "rvol >= {0} AND close > open", "rvol >= {0} AND close < open"
+_ALL_RULES = _VOTERS | {
+    "ma_50_200": (f"{_lag('ema_50')} <= {_lag('ema_200')} AND ema_50 > ema_200", f"{_lag('ema_50')} >= {_lag('ema_200')} AND ema_50 < ema_200"),
+    "rsi_25_75": ("rsi < 25", "rsi > 75"), "rsi_20_80": ("rsi < 20", "rsi > 80"),
+    "rsi_divergence": (f"ix >= 20 AND close < min(close) {_PAST} AND rsi > min(rsi) {_PAST}", f"ix >= 20 AND close > max(close) {_PAST} AND rsi < max(rsi) {_PAST}"),
+    "breakout_10": _beyond(10), "breakout_20": _beyond(20), "breakout_50": _beyond(50),
+    "vol_2x": tuple(c.format("2.0") for c in _SPIKE),
+    "london_session": (_HOURS.format(7, 12), "FALSE"), "ny_session": (_HOURS.format(12, 21), "FALSE"), "overlap_session": (_HOURS.format(12, 16), "FALSE"),
+    "ema_rsi": (_edge("close > ema_9 AND rsi > 50"), _edge("close < ema_9 AND rsi < 50")),
+    "bb_walk": (_streak("close <= bb_lower"), _streak("close >= bb_upper")),
+    "vol_disc": (f"{_QUIET} AND return_1h > 0", f"{_QUIET} AND return_1h < 0"),
+    "false_bo": (f"low < {_BOTTOM} AND lead(close, 2) OVER ({sql.W}) > {_BOTTOM}", f"high > {_TOP} AND lead(close, 2) OVER ({sql.W}) < {_TOP}"),
+    "momentum_3": (f"close > {_lag('close', 3)}", f"close < {_lag('close', 3)}"),
+}
+_ALL_SQL = "v AS (SELECT symbol, ts, unnest([" + ", ".join(
+    f"{{'strategy': '{n}', 'signal': CASE WHEN {u} THEN 1 WHEN {d} THEN -1 ELSE 0 END}}" for n, (u, d) in _ALL_RULES.items()
+) + "], recursive := true) FROM rs)"
+
+
+@query("sig_registry", f"WITH {sql.event_bars('1h')}, {_RS}, {_ALL_SQL} SELECT symbol, {sql.tx('ts')} AS ts, strategy, signal FROM v WHERE signal <> 0")
 def sig_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Every registered strategy, and a user's pandas strategy next to them."""
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:

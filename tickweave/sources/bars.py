@@ -167,11 +167,15 @@ def min_history(bars: DataFrame, n: int) -> DataFrame:
     return bars.join(long_enough, [*KEYS], "left_semi")
 
 
-def date_range(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Closed range on time; written as plain comparisons so that it reaches the file scan."""
-    out = bars
+def date_range(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
+    """Closed range on a time column, compared in the column's own type so that it reaches the file scan.
+
+    Cut ticks before building bars from them: a filter on bars only runs after the aggregation.
+    """
+    kind = df.schema[ts].dataType
+    out = df
     if start is not None:
-        out = out.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+        out = out.filter(F.col(ts) >= F.lit(start).cast(kind))
     if end is not None:
-        out = out.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
+        out = out.filter(F.col(ts) <= F.lit(end).cast(kind))
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators.frames import index_bars
 from tickweave.session import cut, prepare
-from tickweave.sources.bars import bars_from_ticks
+from tickweave.sources.bars import bars_from_ticks, date_range
 from tickweave.sources.dims import STAND_IN, pairs
 
 
@@ -27,11 +27,12 @@ def event_bars(spark: SparkSession, sf_dir: str, tf: str = "1h") -> DataFrame:
     return bars_from_ticks(ticks(spark, sf_dir), tf, tie=["event_id"])
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a long daily series per return flag."""
+def daily_bars(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """lineitem as a long daily series per return flag, optionally only some days."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", "l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
+    rows = date_range(rows, first, last, "l_shipdate")
     return bars_from_ticks(
         rows, "1d", symbol="l_returnflag", ts="l_shipdate", price="l_extendedprice",
         tie=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
