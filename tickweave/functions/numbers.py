@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 def fix(c: Column, digits: int = 6) -> Column:
     """Round half up with plain double arithmetic, so that any SQL engine gives the same bits.
 
-    Numbers too large to have such digits stay as they are.
+    For prices, ratios and percentages; ``fix_any`` takes numbers of any size.
     """
     scale = float(10**digits)
-    return F.when(F.abs(c) * scale < 9e15, F.floor(c * scale + 0.5) / F.lit(scale)).otherwise(c)
+    return F.floor(c * scale + 0.5) / F.lit(scale)
+
+
+def fix_any(c: Column, digits: int = 6) -> Column:
+    """``fix`` that leaves numbers too large to have such digits as they are; for plain columns."""
+    return F.when(F.abs(c) * float(10**digits) < 9e15, fix(c, digits)).otherwise(c)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

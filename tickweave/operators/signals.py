@@ -61,37 +61,31 @@ def add_false_breakout_setups(
         "_entry": F.lead("open", 1).over(w),
     })
 
-    def side(name: str, sign: int) -> Column:
-        level, gap, trap = (
-            (F.col("_bottom"), F.col("_bottom") - F.col("low"), (F.col("low") < F.col("_bottom")) & (F.col("_later") > F.col("_bottom")))
-            if sign > 0 else
-            (F.col("_top"), F.col("high") - F.col("_top"), (F.col("high") > F.col("_top")) & (F.col("_later") < F.col("_top")))
-        )
-        atr = F.coalesce(F.col("atr"), F.col("_entry") * 0.005)
-        gap_r = F.when(atr > 0, F.greatest(F.lit(0.0), F.try_divide(gap, atr))).otherwise(0.0)
-        return F.when(trap, F.struct(
-            F.lit(name).alias("direction"),
-            F.col("_entry").alias("entry"),
-            (F.col("_entry") - sign * atr * sl).alias("stop_loss"),
-            *[(F.col("_entry") + sign * atr * m).alias(f"tp{k}") for k, m in enumerate(tps, 1)],
-            F.least(F.lit(50.0) + gap_r * 12.5, F.lit(75.0)).alias("confidence"),
-            gap_r.alias("gap_atr_ratio"),
-            atr.alias("atr_value"),
-            F.format_string(
-                f"FB {name.capitalize()}: %s broke {lookback}-bar swing {'low' if sign > 0 else 'high'} @ %.5f "
-                f"but closed back {'above' if sign > 0 else 'below'} (gap %.1fx ATR)",
-                F.col("symbol"), level, gap_r,
-            ).alias("reason"),
-        ))
-
-    found = F.array_compact(F.array(side("sell", -1), side("buy", 1)))
-    return (
-        df.withColumn("_setup", F.explode(found))
-        .withColumn("available_ix", F.col("ix") + 2)
-        .drop("_top", "_bottom", "_later", "_entry")
-        .select("*", "_setup.*")
-        .drop("_setup")
-    )
+    sell = (F.col("high") > F.col("_top")) & (F.col("_later") < F.col("_top"))
+    buy = (F.col("low") < F.col("_bottom")) & (F.col("_later") > F.col("_bottom"))
+    sides = F.array_compact(F.array(F.when(sell, F.lit(-1)), F.when(buy, F.lit(1))))
+    up, entry, atr = F.col("_side") > 0, F.col("entry"), F.col("atr_value")
+    df = df.withColumn("_side", F.explode(sides)).withColumnRenamed("_entry", "entry")
+    df = df.withColumns({
+        "direction": F.when(up, "buy").otherwise("sell"),
+        "available_ix": F.col("ix") + 2,
+        "atr_value": F.coalesce(F.col("atr"), F.col("entry") * 0.005),
+        "_level": F.when(up, F.col("_bottom")).otherwise(F.col("_top")),
+        "_gap": F.when(up, F.col("_bottom") - F.col("low")).otherwise(F.col("high") - F.col("_top")),
+    })
+    df = df.withColumns({
+        "stop_loss": entry - F.col("_side") * atr * sl,
+        **{f"tp{k}": entry + F.col("_side") * atr * m for k, m in enumerate(tps, 1)},
+        "gap_atr_ratio": F.when(atr > 0, F.greatest(F.lit(0.0), F.try_divide(F.col("_gap"), atr))).otherwise(0.0),
+    })
+    text = f"FB %s: %s broke {lookback}-bar swing %s @ %.5f but closed back %s (gap %.1fx ATR)"
+    return df.withColumns({
+        "confidence": F.least(F.lit(50.0) + F.col("gap_atr_ratio") * 12.5, F.lit(75.0)),
+        "reason": F.format_string(
+            text, F.initcap("direction"), F.col("symbol"), F.when(up, "low").otherwise("high"), F.col("_level"),
+            F.when(up, "above").otherwise("below"), F.col("gap_atr_ratio"),
+        ),
+    }).drop("_top", "_bottom", "_later", "_side", "_level", "_gap")
 
 
 def pick_best(setups: DataFrame, keys: Sequence[str] = (*KEYS, "ix")) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.functions.numbers import fix
+from tickweave.functions.numbers import fix_any
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,6 @@ def present(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
         elif isinstance(t, T.BooleanType):
             c = c.cast("int")
         elif isinstance(t, (T.DoubleType, T.FloatType)):
-            c = fix(c, digits)
+            c = fix_any(c, digits)
         out.append(c.alias(name))
     return df.select(*out)

@@ -63,7 +63,7 @@ def scan(
     rich = cut(rich.withColumnsRenamed({"ema_21": "ema_fast", "ema_50": "ema_slow", "ema_200": "ema_trend"}))
     now_cols = ("ts", "ix", "close", "rsi", "rvol", "ema_fast", "ema_slow", "ema_trend", "div_buy", "div_sell", "regime")
     now = structure.last_bars(rich, *now_cols).filter(F.col("ix") >= MIN_BARS - 1)
-    now = now.filter(cal.session_of(F.col("ts")) != cal.NO_SESSION)
+    now = now.filter(cal.session_of(F.col("ts")).isin(*cal.ALLOWED_SESSIONS))
     if blocked is not None:
         now = now.join(blocked.select(*KEYS), [*KEYS], "left_anti")
     setups = entry_setups(rich).filter(rules.trend_prefilter(F.col("direction"), F.col("trend"), F.col("choch_direction")))

@@ -19,14 +19,15 @@ SIMS = 2000
 _BY = ["symbol"]
 
 
-def regimes_daily(spark: SparkSession, sf: str) -> DataFrame:
+def regimes_daily(bars: DataFrame) -> DataFrame:
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         return regime.add_research_regime(ind.add_atr_sma(df, w), w)
-    return in_frames(tables.indexed_daily(spark, sf), build, before=80)
+    return in_frames(bars, build, before=80)
 
 
-def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    return regime.as_of(fb_daily(spark, sf), regimes_daily(spark, sf))
+def tagged(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = tables.indexed_daily(spark, sf) if bars is None else bars
+    return regime.as_of(fb_daily(spark, sf, bars), regimes_daily(bars))
 
 
 # Trades happen at any time of the day and regimes come from 4-hour bars, so most lookups fall between bars.
@@ -131,17 +132,17 @@ def rb_spread_stress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rb_bootstrap")
 def rb_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.bootstrap(fb_daily(spark, sf), _BY, ["ts"], block_of(), sims=SIMS))
+    return present(robustness.bootstrap(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of(), sims=SIMS))
 
 
 @query("rb_permutation_dd")
 def rb_permutation_dd(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.permutation_drawdown(fb_daily(spark, sf), _BY, ["ts"], block_of(), sims=SIMS))
+    return present(robustness.permutation_drawdown(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of(), sims=SIMS))
 
 
 @query("rb_trade_removal")
 def rb_trade_removal(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.trade_removal(fb_daily(spark, sf), _BY, ["ts"], block_of()))
+    return present(robustness.trade_removal(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of()))
 
 
 def _suite(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,8 +168,8 @@ sp AS (SELECT * REPLACE (coalesce(atr, close*0.005) AS atr), 1 AS signal FROM sp
 {sql.barrier_trades('sp', name='smc', warm_up=25, by='regime')}"""
 
 
-def smc_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return research.smc_proxy_trades(tables.indexed_daily(spark, sf), tables.stand_in_pairs(spark))
+def smc_daily(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataFrame:
+    return research.smc_proxy_trades(tables.indexed_daily(spark, sf) if bars is None else bars, tables.stand_in_pairs(spark))
 
 
 @query("sig_smc_proxy", f"WITH {TAGGED}, {_SMC} SELECT symbol, {sql.tx('ts')} AS ts, direction, regime, exit_reason, {sql.out('~entry_price', '~net_pnl_r')} FROM smc")
@@ -180,8 +181,8 @@ def sig_smc_proxy(spark: SparkSession, sf: str) -> DataFrame:
 SELECT f.symbol, strftime(f.day, '%Y-%m-%d') AS day, count(CASE WHEN f.direction <> s.direction THEN 1 END) AS conflicts FROM fa f JOIN sa s ON f.symbol = s.symbol AND f.day = s.day GROUP BY f.symbol, f.day""")
 def rb_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Daily series rarely trade twice a day, so trades are compared by month here."""
-    month = F.date_trunc("month", "ts")
-    days = robustness.overlaps(fb_daily(spark, sf).withColumn("ts", month), smc_daily(spark, sf).withColumn("ts", month))
+    month, bars = F.date_trunc("month", "ts"), tables.indexed_daily(spark, sf)
+    days = robustness.overlaps(fb_daily(spark, sf, bars).withColumn("ts", month), smc_daily(spark, sf, bars).withColumn("ts", month))
     return present(days, "symbol", "day", "conflicts")
 
 
@@ -189,7 +190,8 @@ def rb_overlap(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT f.symbol, f.day, count(CASE WHEN f.direction <> s.direction THEN 1 END) AS c FROM fa f JOIN sa s ON f.symbol = s.symbol AND f.day = s.day GROUP BY f.symbol, f.day)
 SELECT CAST(sum(c) AS BIGINT) AS conflict_count, count(*) AS common_days, {sql.fx('sum(c)*100.0/count(*)')} AS conflict_pct FROM d""")
 def rb_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.overlap_summary(robustness.overlaps(fb_daily(spark, sf), smc_daily(spark, sf))))
+    bars = tables.indexed_daily(spark, sf)
+    return present(robustness.overlap_summary(robustness.overlaps(fb_daily(spark, sf, bars), smc_daily(spark, sf, bars))))
 
 
 @query("rb_regime_portfolio", f"""WITH {TAGGED}, {_SMC}, po AS (SELECT 'portfolio' AS name, symbol, ts, ix, direction, 'false_breakout' AS source, net_pnl_r FROM tg WHERE regime IN ('RANGING', 'LOW_VOL', 'MIXED')
@@ -198,7 +200,8 @@ def rb_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {sql.out(*sql.STATS_OUT)}, {sql.fx('fb_share')} AS fb_share FROM st CROSS JOIN sh""")
 def rb_regime_portfolio(spark: SparkSession, sf: str) -> DataFrame:
     """One account over both strategies, first all false breakouts, then all breakouts, symbol by symbol."""
-    both = cut(robustness.regime_portfolio(tagged(spark, sf), smc_daily(spark, sf))).withColumn("name", F.lit("portfolio"))
+    bars = tables.indexed_daily(spark, sf)
+    both = cut(robustness.regime_portfolio(tagged(spark, sf, bars), smc_daily(spark, sf, bars))).withColumn("name", F.lit("portfolio"))
     piece = F.struct("source", "symbol", block_of().alias("b"))
     out = stats.trade_stats(both, ["name"], order=("source", "symbol", "ix", "direction"), slice_expr=piece)
     share = both.agg((F.avg((F.col("source") == "false_breakout").cast("double")) * 100).alias("fb_share"), F.lit("portfolio").alias("name"))

@@ -93,7 +93,7 @@ z AS (SELECT symbol, side, ix, strength, CASE WHEN strength >= 2 THEN {sql.fx('m
 SELECT symbol, {sql.fx('level', 5)} AS level, kind, strength, CAST(swept AS INTEGER) AS swept FROM z
 QUALIFY row_number() OVER (PARTITION BY symbol, floor(level*1000 + 0.5) ORDER BY CASE side WHEN 'high' THEN 0 ELSE 1 END, ix) = 1""")
 def st_liquidity(spark: SparkSession, sf: str) -> DataFrame:
-    bars = in_frames(tables.indexed(spark, sf), ind.add_atr_sma, before=15)
+    bars = cut(in_frames(tables.indexed(spark, sf), ind.add_atr_sma, before=15))
     out = structure.liquidity_zones(structure.swings(bars), structure.last_bars(bars, "close", "atr"))
     return present(out, "symbol", "level", "kind", "strength", "swept", digits=5)
 

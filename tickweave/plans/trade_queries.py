@@ -29,9 +29,9 @@ def fb_1h(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return research.false_breakout_trades(tables.indexed(spark, sf), tables.stand_in_pairs(spark), **kw)
 
 
-def fb_daily(spark: SparkSession, sf: str) -> DataFrame:
+def fb_daily(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataFrame:
     return research.false_breakout_trades(
-        tables.indexed_daily(spark, sf), tables.stand_in_pairs(spark), warm_up=20, close_exit_at="close"
+        tables.indexed_daily(spark, sf) if bars is None else bars, tables.stand_in_pairs(spark), warm_up=20, close_exit_at="close"
     )
 
 

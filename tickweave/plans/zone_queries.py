@@ -18,6 +18,7 @@ from tickweave.plans.signal_queries import _FB_LIVE, fb_setups
 from tickweave.plans.structure_queries import BROKEN, SWINGS, VECTOR, as_of
 from tickweave.session import cut
 from tickweave.sources import tables
+from tickweave.sources.bars import resample
 
 # Several series at once: events at 1h and 4h and the daily series, each a symbol of its own.
 _MIXED = f"""{sql.event_bars('1h', 'e1')}, {sql.event_bars('4h', 'e4')}, {sql.daily_bars('dd')},
@@ -25,7 +26,9 @@ bars AS (SELECT symbol || ' ' || tf AS symbol, tf, ts, open, high, low, close, v
 
 
 def mixed(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [tables.event_bars(spark, sf, "1h"), tables.event_bars(spark, sf, "4h"), tables.daily_bars(spark, sf)]
+    hourly = cut(tables.event_bars(spark, sf, "1h"))
+    # Longer bars come from the hourly ones, so the ticks are read once.
+    parts = [hourly, resample(hourly, "4h"), tables.daily_bars(spark, sf)]
     bars = index_bars(cut(reduce(DataFrame.unionByName, parts)))
     return bars.withColumn("symbol", F.concat_ws(" ", "symbol", "tf"))
 
