@@ -346,7 +346,30 @@ def sc_dedupe_id(spark: SparkSession, sf: str) -> DataFrame:
     return present(rules.dedupe(base.unionByName(again)), "sig_id", "symbol", "ts", "direction")
 
 
-@query("live_scan")
+_SESSION_POINTS = f"CASE {sql.session('a.ts')} WHEN 'overlap' THEN 3 WHEN 'london' THEN 2 WHEN 'new_york' THEN 2 WHEN 'asia' THEN 1 ELSE 0 END"
+_ALLOWED = f"{sql.session('a.ts')} IN ('london', 'new_york', 'overlap')"
+_SCAN = f"""{_MIXED}, {_LIVE}, atrs AS (SELECT * FROM lc), {_NOW}, {_OB}, {_FVG}, {_MATCH}, {_ENTRY}, {_ASSESS}, {_REGIME}, {_FB_LIVE.replace(sql.atr_sma() + ', ', '')},
+sm0 AS (SELECT e.*, least(CASE WHEN trend = e.want THEN 2 ELSE 0 END + CASE WHEN bos_direction = e.want THEN 2 ELSE 0 END + CASE WHEN choch_direction = e.want THEN 1 ELSE 0 END
+    + CASE WHEN price_zone = CASE e.direction WHEN 'buy' THEN 'discount' ELSE 'premium' END THEN 1 ELSE 0 END, 5)
+  + least(CASE WHEN strength IS NULL THEN 0 WHEN strength >= 2 THEN 2 ELSE 1 END + CASE WHEN gt IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN fib_confluence THEN 1 ELSE 0 END
+    + CASE WHEN conf <> 'none' THEN 1 ELSE 0 END, 4)
+  + least(CASE WHEN rsi_signal = e.want THEN 1 ELSE 0 END + CASE WHEN rsi_divergence THEN 1 ELSE 0 END + CASE WHEN ema_bias = e.want THEN 1 ELSE 0 END + CASE WHEN volume_elevated THEN 1 ELSE 0 END, 3)
+  + {_SESSION_POINTS} AS total
+  FROM en e JOIN now n ON n.symbol = e.symbol JOIN asx a ON a.symbol = e.symbol AND a.direction = e.direction AND a.ix = n.ix
+  WHERE {_ALLOWED} AND n.ix >= 49 AND NOT (e.direction = 'buy' AND trend = 'bearish' AND coalesce(choch_direction, '') <> 'bullish')
+    AND NOT (e.direction = 'sell' AND trend = 'bullish' AND coalesce(choch_direction, '') <> 'bearish')),
+sm AS (SELECT symbol, direction, entry, stop_loss, tp1, tp2, tp3, {sql.fx('total/20*100', 1)} AS confidence, total AS score, reason FROM sm0
+  WHERE total >= 11 AND {sql.fx('abs(tp1 - entry)/nullif(abs(entry - stop_loss), 0)', 2)} >= 1.5 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, direction) = 1),
+fs AS (SELECT f.symbol, f.direction, f.entry, f.stop_loss, f.tp1, f.tp2, f.tp3, f.confidence, 14 AS score, f.reason FROM fb f JOIN now a ON a.symbol = f.symbol AND a.ix = f.available_ix
+  WHERE {_ALLOWED} AND a.ix >= 49 QUALIFY row_number() OVER (PARTITION BY f.symbol ORDER BY f.confidence DESC, f.direction DESC) = 1),
+fv AS (SELECT * FROM fs WHERE {sql.fx('abs(tp1 - entry)/nullif(abs(entry - stop_loss), 0)', 2)} >= 1.5 AND confidence >= 50),
+rl AS (SELECT r.symbol, r.regime FROM rg r JOIN now n ON n.symbol = r.symbol AND n.ix = r.ix),
+rt AS (SELECT rl.symbol, rl.regime, sm.symbol IS NOT NULL AND (fv.symbol IS NULL OR regime IN ('VOLATILE', 'TRENDING') OR (regime NOT IN ('RANGING', 'QUIET') AND sm.confidence >= fv.confidence)) AS s
+  FROM rl LEFT JOIN sm ON sm.symbol = rl.symbol LEFT JOIN fv ON fv.symbol = rl.symbol WHERE sm.symbol IS NOT NULL OR fv.symbol IS NOT NULL),
+ch AS (SELECT rt.regime, 'smc_8gate' AS strategy, sm.* FROM rt JOIN sm ON sm.symbol = rt.symbol WHERE rt.s UNION ALL SELECT rt.regime, 'false_breakout', fv.* FROM rt JOIN fv ON fv.symbol = rt.symbol WHERE NOT rt.s)"""
+
+
+@query("live_scan", f"""WITH {_SCAN} SELECT symbol, regime, strategy, direction, {', '.join(sql.fx(c, 5) + ' AS ' + c for c in (*_ENTRY_COLS, 'confidence'))}, score, reason FROM ch""")
 def live_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The whole scan: structure setups and false breakouts at the last bar of every series, scored and routed."""
     out = live.scan(mixed(spark, sf))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickweave.session import shared_folder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder the cluster names; a temporary one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tickweave-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder the cluster names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
