@@ -11,7 +11,7 @@ from tickweave.operators.frames import in_frames
 from tickweave.plans import sql
 from tickweave.plans import zone_queries  # noqa: F401  (registers the statements reused here)
 from tickweave.plans.catalogue import ORACLES, present, query
-from tickweave.plans.signal_queries import fb_setups
+from tickweave.plans.signal_queries import _FB_LIVE, fb_setups
 from tickweave.session import prepare
 from tickweave.sources import tables
 from tickweave.sources.bars import BAR_SCHEMA
@@ -92,7 +92,28 @@ def trade_events(spark: SparkSession, sf: str) -> DataFrame:
     return setups.unionByName(prices)
 
 
-@query("ss_trade_tracking")
+def _step(k: int) -> str:
+    """Trades open at level k after their next decisive price: one target further, or closed."""
+    line = "stop_loss" if k == 0 else "entry"
+    lost = "CASE WHEN go THEN 'open' ELSE 'closed' END" if k < 2 else "'closed'"
+    result = {0: "CASE WHEN NOT go THEN 'loss' END", 1: "CASE WHEN NOT go THEN 'win' END", 2: "'win'"}[k]
+    rr = {0: "CASE WHEN NOT go THEN -1.0::DOUBLE END", 1: "CASE WHEN NOT go THEN 0.0::DOUBLE END",
+          2: "CASE WHEN go THEN coalesce(abs(tp3 - entry)/nullif(abs(entry - stop_loss), 0), 0) ELSE 0.0::DOUBLE END"}[k]
+    return f"""n{k} AS (SELECT s.id, min(p.t) AS nt, arg_min(p.price, p.t) AS np FROM s{k} s JOIN px p ON p.symbol = s.symbol AND p.t > s.t
+  AND (s.side*(p.price - s.tp{k + 1}) >= 0 OR s.side*(p.price - s.{line}) <= 0) WHERE s.status = 'open' GROUP BY s.id),
+g{k} AS (SELECT s.*, n.nt, side*(np - tp{k + 1}) >= 0 AS go FROM s{k} s JOIN n{k} n ON n.id = s.id),
+s{k + 1} AS (SELECT * EXCLUDE (t, status, result, actual_rr, level, nt, go), nt AS t, {lost} AS status, {result} AS result, {rr} AS actual_rr, CASE WHEN go THEN {k + 1} ELSE {k} END AS level FROM g{k})"""
+
+
+@query("ss_trade_tracking", f"""WITH {sql.event_bars('1h')}, {_FB_LIVE},
+px AS (SELECT symbol, b + INTERVAL 15 MINUTE AS t, last(price ORDER BY ts, event_id) AS price
+  FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS b, ts, value AS price, event_id FROM events) GROUP BY symbol, b),
+s0 AS (SELECT symbol, symbol || '-' || ix || '-' || direction AS id, CASE direction WHEN 'buy' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side, entry, stop_loss, tp1, tp2, tp3,
+  ts + INTERVAL 3 HOUR AS t, 'open' AS status, NULL::VARCHAR AS result, NULL::DOUBLE AS actual_rr, 0 AS level FROM fb),
+{_step(0)}, {_step(1)}, {_step(2)},
+al AS (SELECT * FROM s0 UNION ALL BY NAME SELECT * FROM s1 UNION ALL BY NAME SELECT * FROM s2 UNION ALL BY NAME SELECT * FROM s3)
+SELECT symbol, id, {sql.tx('t')} AS ts, status, result, {sql.fx('actual_rr')} AS actual_rr, level FROM al
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY t DESC, level DESC) = 1""")
 def ss_trade_tracking(spark: SparkSession, sf: str) -> DataFrame:
     """Latest state of every trade after the stream's changes went through the versioned sink."""
     events = read_folder(prepare(spark), stage(trade_events(spark, sf), "events"), stateful.EVENT_COLUMNS)
