@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import mixing
+from tickweave.llm import minhash, mixing
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of each document; its smallest doc_id is kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mix of the sources; ``draws`` says to which shards."""
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.taken)
@@ -22,5 +27,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(f"{ROW}.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
