@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import minhash, mixing
+from tickweave.llm import minhash, mixing, pieces
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
@@ -21,11 +21,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents")).select(f"{ROW}.doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of each document's whole text, and whether decoding them gives the text back."""
+    rows = pieces.with_round_trip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip", "ids")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict for each document."""
     done = rules.quality(table(spark, sf_dir, "documents"))
     return done.select(f"{ROW}.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
