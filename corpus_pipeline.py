@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import mixing
+from tickweave.llm import minhash, mixing, pieces, privacy
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 from tickweave.session import shared_folder
@@ -17,12 +17,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.quality(docs).filter("kept").select(f"{ROW}.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id, once."""
+    return minhash.without_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and the terms that reveal it replaced."""
+    return privacy.sanitise(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources, one row for each draw of a document."""
     return mixing.mix(docs).select(f"{ROW}.*")
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each drawn text."""
+    return pieces.with_round_trip(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix_sources", mix_sources),
+    ("sentencepiece", sentencepiece),
+]
 
 #: No SQL: the near-duplicate search, the mix and the tokenizer are not SQL; a brute-force version tests them.
 ORACLE_SQL = None

@@ -178,3 +178,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and every row without words or doc_id.
+
+    Of rows that repeat a kept doc_id one stays.
+    """
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(cut(gone.distinct()), docs["doc_id"] == F.col("__gone"), "left_anti")
+    return kept

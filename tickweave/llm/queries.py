@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import minhash, mixing, pieces
+from tickweave.llm import minhash, mixing, pieces, privacy
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
@@ -33,5 +33,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(f"{ROW}.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op9_quality_rules)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of each document, and counts of each kind."""
+    rows = privacy.personal_data(table(spark, sf_dir, "documents"))
+    said = lambda c: F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.stop))
+    kinds = [f"{k}_spans" for k in privacy.PATTERNS]
+    base = F.array_join(F.concat(*[said(F.col(c)) for c in kinds]), ",")
+    every = F.array_join(F.concat(*[said(F.col(c)) for c in [*kinds, "term_spans"]]), ",")
+    return rows.select(
+        f"{ROW}.doc_id", *[F.size(c).cast("long").alias("n_" + c.removesuffix("_spans")) for c in kinds], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"),
+        F.size("term_spans").cast("long").alias("n_term"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op9_quality_rules, op10_personal_data)}
 ORACLES: dict[str, str] = {}
