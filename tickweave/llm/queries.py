@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import minhash, mixing, pieces, privacy
+from tickweave.llm import lattice, minhash, mixing, pieces, privacy
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
@@ -27,6 +27,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip", "ids")
 
 
+def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict for each document."""
     done = rules.quality(table(spark, sf_dir, "documents"))
@@ -45,5 +50,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("term_spans").cast("long").alias("n_term"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op9_quality_rules, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
 ORACLES: dict[str, str] = {}
