@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import lattice, minhash, mixing, pieces, privacy
+from tickweave.llm import html_text, lattice, minhash, mixing, pieces, privacy
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
@@ -21,6 +21,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents")).select(f"{ROW}.doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of each document's whole text, and whether decoding them gives the text back."""
     rows = pieces.with_round_trip(table(spark, sf_dir, "documents"))
@@ -50,5 +55,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("term_spans").cast("long").alias("n_term"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
 ORACLES: dict[str, str] = {}
