@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import html_text, lattice, minhash, mixing, pieces, privacy
+from tickweave.llm import html_text, lattice, licences, minhash, mixing, pieces, privacy, secrets, toxicity
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 
@@ -15,6 +15,34 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of each document."""
+    rows = licences.scanned(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    starts, n = F.col("places.start"), F.size("places").cast("long")
+    best = F.greatest(F.when(n > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max("blocks.share"), F.lit(0.0)))
+    return rows.select(
+        "doc_id", "n_words", n.alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "blocks.label")).alias("labels"), best.alias("score"), F.size("blocks").cast("long").alias("n_blocks"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document."""
+    rows = secrets.scanned(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda c: F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.stop))
+    rank = lambda s: F.when(s.kind == "assign", 0).when(s.kind == "access", 1).when(s.kind == "hex", 2).otherwise(3)
+    keyed = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), rank(s).alias("rank"), s.stop.alias("stop"), s.kind.alias("kind")))
+    every = F.array_join(said(F.sort_array(F.concat(keyed("base"), keyed("values")))), ",")
+    return rows.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(F.array_join(said("base"), ","), 256).alias("base_sha256"), every.alias("spans"), F.size("values").cast("long").alias("n_guess"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mix of the sources; ``draws`` says to which shards."""
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.taken)
@@ -55,5 +83,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("term_spans").cast("long").alias("n_term"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_toxicity, op4_secret_scan, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
 ORACLES: dict[str, str] = {}
