@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,19 @@ def uniform(*parts: Column | int | str) -> Column:
     """A number in [0, 1) that depends on nothing but its parts."""
     hashed = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def groups(batches: Iterator[pd.DataFrame], *key: str) -> Iterator[pd.DataFrame]:
+    """Rows with one key, from the batches of a partition sorted by it."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        keys = pdf[list(key)].to_numpy()
+        bounds = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield pdf.iloc[a:b]
+        rest = pdf.iloc[bounds[-1] :]
+    if rest is not None and len(rest):
+        yield rest

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickweave.llm.common import groups
 from tickweave.llm.components import components
 from tickweave.session import cut
 
@@ -76,26 +77,10 @@ def _hashed(tables: int, probes: int, cell: float, seed: int):
     return run
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Groups of rows with one key of a sorted partition."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        key = pdf[["bucket", "i", "j"]].to_numpy()
-        bounds = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield pdf.iloc[a:b]
-        rest = pdf.iloc[bounds[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _linked(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, held = [], 0
-        for g in _groups(batches):
+        for g in groups(batches, "bucket", "i", "j"):
             left, right = g.left.to_numpy(), ~g.left.to_numpy()
             if not left.any() or not right.any():
                 continue

@@ -84,4 +84,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_toxicity, op4_secret_scan, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_duplicates": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d),
+        x AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT p.a, p.b FROM pairs p JOIN sets m ON m.doc_id = p.a JOIN sets n ON n.doc_id = p.b WHERE 100 * p.k >= 80 * (len(m.s) + len(n.s) - p.k)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id),
+        low AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN low l ON l.id = s.doc_id""",
+    "op8_near_duplicate_vectors": """
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        good AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(id, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
+        low AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+        FROM e JOIN low l ON l.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}
