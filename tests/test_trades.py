@@ -163,9 +163,8 @@ def test_as_of_looks_back_over_empty_buckets(spark):
 RS = np.random.default_rng(5).normal(0.15, 1, 300).round(4)
 
 
-@pytest.mark.parametrize("rows", [64, 4096])
-def test_bootstrap_centres_on_the_sample(spark, rows):
-    b = robustness.bootstrap(r_trades(spark, RS), ["symbol"], ["ts"], block_of(rows=rows), sims=1500, rows=rows, chunks=3).collect()[0]
+def test_bootstrap_centres_on_the_sample(spark):
+    b = robustness.bootstrap(r_trades(spark, RS), ["symbol"], ["ts"], sims=1500).collect()[0]
     assert b["n_simulations"] == 1500
     assert abs(b["avg_r_mean"] - RS.mean()) < 0.01
     assert abs((b["avg_r_p95"] - b["avg_r_p5"]) / (2 * 1.645) - RS.std() / np.sqrt(len(RS))) < 0.006
@@ -174,7 +173,7 @@ def test_bootstrap_centres_on_the_sample(spark, rows):
 
 @pytest.mark.parametrize("rows", [64, 4096])
 def test_shuffling_keeps_the_final_balance(spark, rows):
-    p = robustness.permutation_drawdown(r_trades(spark, RS), ["symbol"], ["ts"], block_of(rows=rows), sims=300, rows=rows).collect()[0]
+    p = robustness.permutation_drawdown(r_trades(spark, RS), ["symbol"], ["ts"], sims=300, rows=rows).collect()[0]
     final = 1000 * np.prod(1 + RS * 0.01)
     assert p["n_simulations"] == 300 and p["prob_ruin"] == 0
     assert all(np.isclose(p[c], final) for c in ("mean_final", "median_final", "p5_final", "p95_final"))
@@ -187,7 +186,7 @@ def test_shuffling_keeps_the_final_balance(spark, rows):
 
 @pytest.mark.parametrize("rows", [32, 4096])
 def test_removing_winners_never_helps(spark, rows):
-    got = robustness.trade_removal(r_trades(spark, RS), ["symbol"], ["ts"], block_of(rows=rows), sims=200, rows=rows).orderBy("share").collect()
+    got = robustness.trade_removal(r_trades(spark, RS), ["symbol"], ["ts"], sims=200, rows=rows).orderBy("share").collect()
     wins, losses = RS[RS > 0], -RS[RS < 0].sum()
     base = wins.sum() / losses
     for g, share in zip(got, (0.1, 0.2, 0.3)):
@@ -196,6 +195,14 @@ def test_removing_winners_never_helps(spark, rows):
         assert abs(g["mean_pf"] - (wins.sum() - k * wins.mean()) / losses) < 0.02
 
 
+def test_resampling_is_one_path_for_every_size(spark):
+    trades = r_trades(spark, RS).persist()
+    for test in (robustness.permutation_drawdown, robustness.trade_removal):
+        small, large = (test(trades, ["symbol"], ["ts"], sims=100, rows=rows).collect() for rows in (40, 300))
+        assert len(small) == len(large) > 0
+        assert all(np.isclose(a[c], b[c]) for a, b in zip(sorted(small), sorted(large)) for c in a.asDict() if c != "symbol")
+
+
 def test_walk_forward_uses_equal_folds(spark):
     got = robustness.walk_forward(r_trades(spark, RS), ["symbol"], ["ts"], block_of(rows=50)).orderBy("fold").collect()
     assert [g["fold"] for g in got] == [1, 2, 3, 4, 5] and all(g["train_trades"] == g["test_trades"] == 50 for g in got)

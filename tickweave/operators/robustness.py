@@ -1,28 +1,21 @@
 """Robustness of a set of trades: folds, cost stress, resampling, verdicts.
 
-Resampling works on blocks of numbered trades. A bootstrap sample of a whole set is drawn exactly by
-first drawing how many of its members fall into each block (multinomial, the same random stream in
-every task) and then drawing inside each block; the sums of the blocks add up. Removing winners works
-the same way with a hypergeometric split. No sample is ever materialised or shuffled.
+Resampling draws a number for each trade and replicate by integer arithmetic on a hash of the trade, the
+same on any engine, at any size and on every retry. Samples, orders and removals follow from these numbers.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickweave.functions.numbers import ratio
 from tickweave.operators import stats
 from tickweave.operators.frames import BLOCK_ROWS, dense_index
 
-BATCH = 256
-
 
 # --- grids and folds -------------------------------------------------------------------------
 
@@ -74,64 +67,61 @@ def spread_stress(
 
 # --- resampling ------------------------------------------------------------------------------
 
-def _seed(seed: int, head: dict, *more: int) -> np.random.Generator:
-    name = "|".join(str(v) for v in head.values())
-    return np.random.default_rng([seed, zlib.crc32(name.encode()), *more])
+#: Random numbers are residues of this prime (fixed value), so that products fit 64 bits and any engine gets the same ones.
+PRIME = 2147483647
+#: Numbers below these give 0, 1, ... 7 occurrences of a trade in a sample (Poisson with mean 1), the rest 8.
+OCCURRENCES = tuple(int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
 
+def trade_key(seed: int, by: Sequence[str], order: Sequence[str]) -> Column:
+    """A number in [1, PRIME) for each trade from the md5 of its seed, group and order columns as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*by, *order]])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % (PRIME - 1) + 1
 
-def _sizes(n: int, rows: int) -> np.ndarray:
-    full, rest = divmod(n, rows)
-    return np.array([rows] * full + ([rest] if rest else []), dtype=np.int64)
 
+def draw_number(key: Column, rep: Column) -> Column:
+    """A number in [0, PRIME) for a trade and a replicate: products and squares of both, so that no two replicates order
+    the trades alike and no two trades move together."""
+    p = F.lit(PRIME)
+    b = (rep + 1) * 48271 % p
+    b = (b * b + rep + 1) % p
+    x = key * b % p
+    y = (x * x + key) % p
+    return (y * y + b) % p
 
-def _blocks(trades: DataFrame, by: Sequence[str], order: Sequence[str], slice_expr: Column, value: Column, rows: int, chunks: int) -> DataFrame:
-    """One row per block of at most ``rows`` numbered values and chunk of replicates, with the set's size."""
+
+def _drawn(trades: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, sims: int, seed: int, least: int) -> DataFrame:
+    """One row for each valued trade and replicate of the sets of at least ``least`` trades: _x, _n, _rep and _z."""
     vals = trades.withColumn("_x", value).filter(F.col("_x").isNotNull())
-    numbered = dense_index(vals, by, order, slice_expr, out="_no")
-    blocks = numbered.groupBy(*by, F.floor(F.col("_no") / rows).alias("_blk")).agg(F.collect_list("_x").alias("_xs"))
-    sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return blocks.join(sizes, list(by)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    keyed = vals.join(sizes, list(by)).select(*by, *[c for c in order if c not in by], "_x", "_n", trade_key(seed, by, order).alias("_key"))
+    reps = keyed.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
+    return reps.withColumn("_z", draw_number(F.col("_key"), F.col("_rep"))).drop("_key")
+
+
+def _piece(rows: int) -> Column:
+    """Ranges of the random number: consecutive pieces of a random order, each of about ``rows`` trades."""
+    return F.floor(F.col("_z") / F.lit(float(PRIME)) * F.ceil(F.col("_n") / rows))
 
 
 def bootstrap(
-    trades: DataFrame, by: Sequence[str], order: Sequence[str], slice_expr: Column, pnl: str = "net_pnl_r",
-    sims: int = 10000, seed: int = 42, chunks: int = 8, rows: int = BLOCK_ROWS, min_trades: int = 10,
+    trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", sims: int = 10000, seed: int = 42, min_trades: int = 10,
 ) -> DataFrame:
-    """Profit factor, mean and win rate over samples drawn with replacement; no losses counts as 10."""
+    """Profit factor, mean and win rate over samples drawn with replacement; no losses counts as 10.
+
+    Each trade occurs in each sample a Poisson(1) number of times, drawn from its own numbers, so samples are summed where
+    the trades lie and only sums are shuffled. A sample's size therefore varies about the set's.
+    """
     by = list(by)
-    blocks = _blocks(trades, by, order, slice_expr, F.col(pnl), rows, chunks).filter(F.col("_n") >= min_trades)
-    key_fields = [f for f in blocks.schema.fields if f.name in by]
-    sums = ["_win", "_loss", "_sum", "_wins"]
-    schema = T.StructType([*key_fields, T.StructField("_rep", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("_n", T.LongType())])
-    per_chunk = -(-sims // chunks)
-
-    def draw(block: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        head = {c: row[c] for c in by}
-        xs, n, blk, chunk = np.asarray(row["_xs"], dtype=float), int(row["_n"]), int(row["_blk"]), int(row["_chunk"])
-        sizes = _sizes(n, rows)
-        split, inner = _seed(seed, head, 1, chunk), _seed(seed, head, 2, chunk, blk)
-        xs = np.sort(xs)
-        win, loss, hit = np.where(xs > 0, xs, 0.0), np.where(xs < 0, -xs, 0.0), (xs > 0).astype(float)
-        reps = np.arange(chunk * per_chunk, min((chunk + 1) * per_chunk, sims))
-        parts = []
-        for lo in range(0, len(reps), BATCH):
-            batch = reps[lo:lo + BATCH]
-            # The same stream in every block of the set, so that the counts add up to n.
-            counts = split.multinomial(n, sizes / n, size=len(batch))[:, blk]
-            picks = inner.integers(0, len(xs), counts.sum())
-            owner = np.repeat(np.arange(len(batch)), counts)
-            parts.append(np.column_stack([
-                np.bincount(owner, v[picks], minlength=len(batch)) for v in (win, loss, xs, hit)
-            ]))
-        out = pd.DataFrame(np.vstack(parts) if parts else np.empty((0, 4)), columns=sums)
-        return out.assign(_rep=reps, _n=n, **head)[schema.names]
-
-    drawn = blocks.groupBy(*by, "_blk", "_chunk").applyInPandas(draw, schema)
-    reps = drawn.groupBy(*by, "_rep").agg(*[F.sum(c).alias(c) for c in sums], F.first("_n").alias("_n"))
+    drawn = _drawn(trades, by, order, F.col(pnl), sims, seed, min_trades)
+    w, x = sum(((F.col("_z") >= t).cast("double") for t in OCCURRENCES), F.lit(0.0)), F.col("_x")
+    reps = drawn.withColumn("_w", w).groupBy(*by, "_rep").agg(
+        F.sum(F.col("_w") * F.when(x > 0, x).otherwise(0.0)).alias("_win"), F.sum(F.col("_w") * F.when(x < 0, -x).otherwise(0.0)).alias("_loss"),
+        F.sum(F.col("_w") * x).alias("_sum"), F.sum(F.col("_w") * (x > 0).cast("double")).alias("_wins"), F.sum("_w").alias("_size"),
+    )
     reps = reps.withColumns({
         "pf": F.when(F.col("_loss") > 0, F.try_divide(F.col("_win"), F.col("_loss"))).otherwise(10.0),
-        "avg_r": F.col("_sum") / F.col("_n"), "wr": F.col("_wins") / F.col("_n"),
+        "avg_r": F.try_divide(F.col("_sum"), F.col("_size")), "wr": F.try_divide(F.col("_wins"), F.col("_size")),
     })
     p = lambda c, q: F.percentile(c, F.lit(q))
     return reps.groupBy(*by).agg(
@@ -145,39 +135,23 @@ def bootstrap(
 
 
 def trade_removal(
-    trades: DataFrame, by: Sequence[str], order: Sequence[str], slice_expr: Column, pnl: str = "net_pnl_r",
-    shares: Sequence[float] = (0.1, 0.2, 0.3), sims: int = 1000, seed: int = 42, chunks: int = 4, rows: int = BLOCK_ROWS,
+    trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", shares: Sequence[float] = (0.1, 0.2, 0.3),
+    sims: int = 1000, seed: int = 42, rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Profit factor after removing a share of the winners at random (at least one), per share."""
+    """Profit factor after removing a share of the winners at random (at least one), per share: those with the smallest
+    numbers of the replicate. Ranks are counts of earlier pieces plus the place in the own one."""
     by = list(by)
-    wins = F.when(F.col(pnl) > 0, F.col(pnl))
-    blocks = _blocks(trades, by, order, slice_expr, wins, rows, chunks)
-    blocks = blocks.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    key_fields = [f for f in blocks.schema.fields if f.name in by]
-    schema = T.StructType([*key_fields, T.StructField("share", T.DoubleType()), T.StructField("_rep", T.LongType()),
-                           T.StructField("_gone", T.DoubleType()), T.StructField("n_removed", T.LongType())])
-    per_chunk = -(-sims // chunks)
-
-    def remove(block: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        head = {c: row[c] for c in by}
-        xs, n, blk, chunk, share = np.sort(np.asarray(row["_xs"], dtype=float)), int(row["_n"]), int(row["_blk"]), int(row["_chunk"]), float(row["share"])
-        k = max(1, int(n * share))
-        sizes = _sizes(n, rows)
-        mark = int(round(share * 1000))
-        split, inner = _seed(seed, head, 3, chunk, mark), _seed(seed, head, 4, chunk, mark, blk)
-        reps = np.arange(chunk * per_chunk, min((chunk + 1) * per_chunk, sims))
-        gone = np.empty(len(reps))
-        for lo in range(0, len(reps), BATCH):
-            size = len(reps[lo:lo + BATCH])
-            counts = split.multivariate_hypergeometric(sizes, k, size=size, method="marginals")[:, blk]
-            for r, m in enumerate(counts):
-                gone[lo + r] = inner.choice(xs, int(m), replace=False).sum()
-        return pd.DataFrame({"_rep": reps, "_gone": gone}).assign(share=share, n_removed=k, **head)[schema.names]
-
-    removed = blocks.groupBy(*by, "_blk", "_chunk", "share").applyInPandas(remove, schema)
-    per_rep = removed.groupBy(*by, "share", "_rep").agg(F.sum("_gone").alias("_gone"), F.first("n_removed").alias("n_removed"))
     v = F.col(pnl)
+    drawn = _drawn(trades, by, order, F.when(v > 0, v), sims, seed, 1).withColumn("_piece", _piece(rows))
+    part = [*by, "_rep"]
+    counts = drawn.groupBy(*part, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*part).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*part, "_piece").orderBy("_z", *order))
+    ranked = drawn.withColumn("_place", place).join(counts, [*part, "_piece"]).withColumn("_rank", F.col("_place") + F.col("_before"))
+    ranked = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    k = F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("share"))).cast("long")
+    per_rep = ranked.groupBy(*by, "share", "_rep").agg(F.sum(F.when(F.col("_rank") <= k, F.col("_x"))).alias("_gone"), F.max(k).alias("n_removed"))
     totals = trades.groupBy(*by).agg(F.sum(F.when(v > 0, v).otherwise(0.0)).alias("_w"), F.sum(F.when(v < 0, -v).otherwise(0.0)).alias("_l"))
     pf = F.when(F.col("_l") > 0, F.try_divide(F.col("_w") - F.col("_gone"), F.col("_l"))).otherwise(0.0)
     return per_rep.join(totals, by).withColumn("pf", pf).groupBy(*by, "share").agg(
@@ -186,48 +160,22 @@ def trade_removal(
     )
 
 
-def _path_figures(growth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Final balance factor, largest drawdown in percent and ruin of paths (rows) of growth factors."""
-    path = np.cumprod(growth, axis=1)
-    ruined = (path <= 0).any(axis=1)
-    dead = np.maximum.accumulate(path <= 0, axis=1)
-    path = np.where(dead, 0.0, path)
-    peak = np.maximum.accumulate(np.maximum(path, 1.0), axis=1)
-    return path[:, -1], ((peak - path) / peak).max(axis=1) * 100, ruined
-
-
 def permutation_drawdown(
-    trades: DataFrame, by: Sequence[str], order: Sequence[str], slice_expr: Column, pnl: str = "net_pnl_r", sims: int = 10000,
-    start: float = 1000.0, risk_pct: float = 1.0, seed: int = 42, chunks: int = 8, rows: int = BLOCK_ROWS, min_trades: int = 10,
+    trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", sims: int = 10000,
+    start: float = 1000.0, risk_pct: float = 1.0, seed: int = 42, rows: int = BLOCK_ROWS, min_trades: int = 10,
 ) -> DataFrame:
     """Drawdown, ruin and final balance of a compounding account over random orders of the trades.
 
-    A set that fits one block is shuffled in memory, its replicates spread over tasks. A larger set gets
-    a random number per (trade, replicate): ranges of it are consecutive pieces of the shuffled order,
-    each summed on its own and then combined.
+    A replicate orders the trades by their numbers. Ranges of the number are consecutive pieces of that order, each summed
+    on its own and then combined, whatever the set's size.
     """
     by = list(by)
-    blocks = _blocks(trades, by, order, slice_expr, F.col(pnl), rows, chunks).filter((F.col("_n") >= min_trades) & (F.col("_n") <= rows))
-    key_fields = [f for f in blocks.schema.fields if f.name in by]
-    schema = T.StructType([*key_fields, T.StructField("_rep", T.LongType()), T.StructField("final", T.DoubleType()),
-                           T.StructField("dd", T.DoubleType()), T.StructField("ruin", T.DoubleType())])
-    per_chunk = -(-sims // chunks)
-
-    def shuffle(block: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        head = {c: row[c] for c in by}
-        growth, chunk = 1.0 + np.sort(np.asarray(row["_xs"], dtype=float)) * (risk_pct / 100), int(row["_chunk"])
-        rng = _seed(seed, head, 5, chunk)
-        reps = np.arange(chunk * per_chunk, min((chunk + 1) * per_chunk, sims))
-        step = max(1, 2_000_000 // len(growth))
-        cols = [_path_figures(rng.permuted(np.tile(growth, (len(reps[lo:lo + step]), 1)), axis=1)) for lo in range(0, len(reps), step)]
-        final, dd, ruin = (np.concatenate(c) if cols else np.empty(0) for c in zip(*cols)) if cols else (np.empty(0),) * 3
-        return pd.DataFrame({"_rep": reps, "final": final, "dd": dd, "ruin": ruin.astype(float)}).assign(**head)[schema.names]
-
-    small = blocks.groupBy(*by, "_chunk").applyInPandas(shuffle, schema)
-    sizes = trades.groupBy(*by).agg(F.count(pnl).alias("_n")).filter(F.col("_n") > rows)
-    large = _shuffled_large(trades.join(sizes, by), by, order, pnl, sims, risk_pct, seed, rows).select(*schema.names)
-    reps = small.unionByName(large)
+    reps = _drawn(trades, by, order, F.col(pnl), sims, seed, min_trades).withColumn("_piece", _piece(rows))
+    parts = stats._drawdown_parts(reps, [*by, "_rep"], stats.log_growth(F.col("_x"), risk_pct), ["_z", *order], F.col("_piece"), {})
+    parts = stats._join_drawdown(parts, [*by, "_rep"], start=0.0)
+    reps = parts.groupBy(*by, "_rep").agg(F.sum("_sum").alias("_g"), F.max("_drop").alias("_d")).select(
+        *by, "_rep", F.exp("_g").alias("final"), ((1 - F.exp(-F.col("_d"))) * 100).alias("dd"), (F.col("_g") == float("-inf")).cast("double").alias("ruin"),
+    )
     p = lambda c, q: F.percentile(c, F.lit(q))
     money = F.col("final") * start
     return reps.withColumn("_money", money).groupBy(*by).agg(
@@ -239,21 +187,6 @@ def permutation_drawdown(
     )
 
 
-def _shuffled_large(trades: DataFrame, by: list[str], order: Sequence[str], pnl: str, sims: int, risk_pct: float, seed: int, rows: int) -> DataFrame:
-    """Permutation figures of sets above one block; the random number is a hash, so a retry repeats it."""
-    reps = trades.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    draw = F.xxhash64(F.lit(seed), "_rep", *order, *by)
-    unit = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
-    reps = reps.withColumn("_u", unit).withColumn("_piece", F.floor(F.col("_u") * F.ceil(F.col("_n") / rows)))
-    g = stats.log_growth(F.col(pnl), risk_pct)
-    parts = stats._drawdown_parts(reps, [*by, "_rep"], g, ["_u", *order], F.col("_piece"), {})
-    parts = stats._join_drawdown(parts, [*by, "_rep"], start=0.0)
-    return parts.groupBy(*by, "_rep").agg(F.sum("_sum").alias("_g"), F.max("_drop").alias("_d")).select(
-        *by, "_rep", F.exp("_g").alias("final"), ((1 - F.exp(-F.col("_d"))) * 100).alias("dd"),
-        (F.col("_g") == float("-inf")).cast("double").alias("ruin"),
-    )
-
-
 # --- suite and verdict -----------------------------------------------------------------------
 
 def _long(df: DataFrame, by: Sequence[str], test: str, metrics: Sequence[str], label: Column | None = None) -> DataFrame:
@@ -279,9 +212,9 @@ def suite(
         _long(stats.plain_stats(trades, [*by, "year"]), by, "year", short, F.col("year")),
         _long(walk_forward(trades, by, order, sl), by, "walk_forward", ("train_pf", "test_pf", "degradation"), F.col("fold")),
         _long(spread_stress(trades, by), by, "spread", short, F.col("mult").cast("int")),
-        _long(permutation_drawdown(trades, by, order, sl, sims=sims, seed=seed), by, "permutation", ("prob_ruin", "mean_max_dd_pct", "p95_max_dd_pct", "p99_max_dd_pct", "median_final")),
-        _long(bootstrap(trades, by, order, sl, sims=sims, seed=seed), by, "bootstrap", ("pf_mean", "pf_p5", "pf_p95", "pf_below_1_pct", "avg_r_mean")),
-        _long(trade_removal(trades, by, order, sl, sims=removal_sims, seed=seed), by, "removal", ("mean_pf", "p5_pf", "pf_below_1_pct", "n_removed"), (F.col("share") * 100).cast("int")),
+        _long(permutation_drawdown(trades, by, order, sims=sims, seed=seed), by, "permutation", ("prob_ruin", "mean_max_dd_pct", "p95_max_dd_pct", "p99_max_dd_pct", "median_final")),
+        _long(bootstrap(trades, by, order, sims=sims, seed=seed), by, "bootstrap", ("pf_mean", "pf_p5", "pf_p95", "pf_below_1_pct", "avg_r_mean")),
+        _long(trade_removal(trades, by, order, sims=removal_sims, seed=seed), by, "removal", ("mean_pf", "p5_pf", "pf_below_1_pct", "n_removed"), (F.col("share") * 100).cast("int")),
     ]
     for split in splits:
         parts.append(_long(stats.plain_stats(trades, [*by, split]), by, split, short, F.col(split)))

@@ -15,7 +15,7 @@ from tickweave.plans.zone_queries import RESEARCH_REGIME
 from tickweave.session import cut
 from tickweave.sources import tables
 
-SIMS = 2000
+SIMS, REMOVALS = 10000, 1000
 _BY = ["symbol"]
 
 
@@ -130,31 +130,97 @@ def rb_spread_stress(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- resampling ------------------------------------------------------------------------------
 
-@query("rb_bootstrap")
+def _draws(sims: int, where: str = "net_pnl_r IS NOT NULL", least: int = 10, src: str = "trades", name: str = "dz") -> str:
+    """CTEs with one row for each trade and replicate and its random number z; the arithmetic of ``robustness.draw_number``."""
+    p = robustness.PRIME
+    key = f"('0x' || substr(md5('42|' || symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % {p - 1} + 1"
+    return f"""{name}_t AS (SELECT symbol, ts, net_pnl_r AS x, {key} AS a, count(*) OVER (PARTITION BY symbol) AS n FROM {src} WHERE {where}),
+{name}_r AS (SELECT rep, (b*b + rep + 1) % {p} AS b FROM (SELECT range AS rep, (range + 1)*48271 % {p} AS b FROM range({sims}))),
+{name}_x AS (SELECT symbol, ts, x, n, rep, a, b, (a*b % {p})*(a*b % {p}) AS xx FROM {name}_t CROSS JOIN {name}_r WHERE n >= {least}),
+{name} AS (SELECT symbol, ts, x, n, rep, (((xx + a) % {p})*((xx + a) % {p}) + b) % {p} AS z FROM {name}_x)"""
+
+
+_WEIGHT = " + ".join(f"CAST(z >= {t} AS INTEGER)" for t in robustness.OCCURRENCES)
+_BOOT = f"""{_draws(SIMS, name='bz')}, bw AS (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS w FROM bz),
+bs AS (SELECT symbol, rep, sum(w*greatest(x, 0.0)) AS win, sum(w*greatest(-x, 0.0)) AS loss, sum(w*x) AS total, sum(CASE WHEN x > 0 THEN w ELSE 0 END) AS wins, sum(w) AS size FROM bw GROUP BY symbol, rep),
+bp AS (SELECT symbol, CASE WHEN loss > 0 THEN win/loss ELSE 10.0 END AS pf, total/nullif(size, 0) AS avg_r, wins/nullif(size, 0) AS wr FROM bs),
+boot AS (SELECT symbol, count(*) AS n_simulations, avg(pf) AS pf_mean, quantile_cont(pf, 0.5) AS pf_median, quantile_cont(pf, 0.01) AS pf_p1, quantile_cont(pf, 0.05) AS pf_p5,
+  quantile_cont(pf, 0.95) AS pf_p95, quantile_cont(pf, 0.99) AS pf_p99, avg(CASE WHEN pf < 1 THEN 1.0 ELSE 0.0 END)*100 AS pf_below_1_pct, avg(avg_r) AS avg_r_mean,
+  quantile_cont(avg_r, 0.05) AS avg_r_p5, quantile_cont(avg_r, 0.95) AS avg_r_p95, avg(wr) AS wr_mean, quantile_cont(wr, 0.05) AS wr_p5 FROM bp GROUP BY symbol)"""
+_PERM = f"""{_draws(SIMS, name='pz')}, pc AS (SELECT symbol, rep, sum(ln(1 + x*0.01)) OVER (PARTITION BY symbol, rep ORDER BY z, ts ROWS UNBOUNDED PRECEDING) AS cum,
+  row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts) AS k, n FROM pz),
+pk AS (SELECT *, greatest(0.0, max(cum) OVER (PARTITION BY symbol, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) AS peak FROM pc),
+pd AS (SELECT symbol, rep, exp(max(CASE WHEN k = n THEN cum END))*1000.0 AS money, (1 - exp(-max(peak - cum)))*100 AS dd FROM pk GROUP BY symbol, rep),
+perm AS (SELECT symbol, count(*) AS n_simulations, 0.0 AS prob_ruin, avg(money) AS mean_final, quantile_cont(money, 0.5) AS median_final, quantile_cont(money, 0.05) AS p5_final,
+  quantile_cont(money, 0.95) AS p95_final, avg(dd) AS mean_max_dd_pct, quantile_cont(dd, 0.95) AS p95_max_dd_pct, quantile_cont(dd, 0.99) AS p99_max_dd_pct,
+  avg(CASE WHEN money > 1000 THEN 1.0 ELSE 0.0 END)*100 AS still_profitable_pct FROM pd GROUP BY symbol)"""
+_REMOVE = f"""{_draws(REMOVALS, 'net_pnl_r > 0', 1, name='rz')}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts) AS k FROM rz), sh(share) AS (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)),
+rg AS (SELECT symbol, share, rep, max(greatest(1, CAST(floor(n*share) AS BIGINT))) AS n_removed, sum(CASE WHEN k <= greatest(1, floor(n*share)) THEN x END) AS gone FROM rk CROSS JOIN sh GROUP BY symbol, share, rep),
+rt AS (SELECT symbol, sum(greatest(net_pnl_r, 0.0)) AS w, sum(greatest(-net_pnl_r, 0.0)) AS l FROM trades GROUP BY symbol),
+rp AS (SELECT symbol, share, n_removed, CASE WHEN l > 0 THEN (w - gone)/l ELSE 0.0 END AS pf FROM rg JOIN rt USING (symbol)),
+gone AS (SELECT symbol, share, avg(pf) AS mean_pf, quantile_cont(pf, 0.5) AS median_pf, quantile_cont(pf, 0.05) AS p5_pf, avg(CASE WHEN pf < 1 THEN 1.0 ELSE 0.0 END)*100 AS pf_below_1_pct,
+  min(n_removed) AS n_removed FROM rp GROUP BY symbol, share)"""
+_BOOT_OUT = ("n_simulations", *(f"~{c}" for c in ("pf_mean", "pf_median", "pf_p1", "pf_p5", "pf_p95", "pf_p99", "pf_below_1_pct", "avg_r_mean", "avg_r_p5", "avg_r_p95", "wr_mean", "wr_p5")))
+_PERM_OUT = ("n_simulations", *(f"~{c}" for c in ("prob_ruin", "mean_final", "median_final", "p5_final", "p95_final", "mean_max_dd_pct", "p95_max_dd_pct", "p99_max_dd_pct", "still_profitable_pct")))
+
+
+@query("rb_bootstrap", f"WITH {FB_DAILY}, {_BOOT} SELECT {sql.out('symbol', *_BOOT_OUT)} FROM boot")
 def rb_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.bootstrap(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of(), sims=SIMS))
+    return present(robustness.bootstrap(cut(fb_daily(spark, sf)), _BY, ["ts"], sims=SIMS))
 
 
-@query("rb_permutation_dd")
+@query("rb_permutation_dd", f"WITH {FB_DAILY}, {_PERM} SELECT {sql.out('symbol', *_PERM_OUT)} FROM perm")
 def rb_permutation_dd(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.permutation_drawdown(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of(), sims=SIMS))
+    return present(robustness.permutation_drawdown(cut(fb_daily(spark, sf)), _BY, ["ts"], sims=SIMS))
 
 
-@query("rb_trade_removal")
+@query("rb_trade_removal", f"WITH {FB_DAILY}, {_REMOVE} SELECT {sql.out('symbol', '~share', '~mean_pf', '~median_pf', '~p5_pf', '~pf_below_1_pct', 'n_removed')} FROM gone")
 def rb_trade_removal(spark: SparkSession, sf: str) -> DataFrame:
-    return present(robustness.trade_removal(cut(fb_daily(spark, sf)), _BY, ["ts"], block_of()))
+    return present(robustness.trade_removal(cut(fb_daily(spark, sf)), _BY, ["ts"], sims=REMOVALS))
+
+
+def _long(src: str, test: str, *metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT symbol, {test} AS test, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {src}" for m in metrics)
+
+
+_SHORT = ("total_trades", "pf", "wr", "avg_r")
+_SUITE = f"""{TAGGED}, {sql.stats('tg', 'symbol', name='s_all')}, yr AS (SELECT *, year(ts) AS y FROM tg), {sql.stats('yr', 'symbol, y', name='s_year')},
+wn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS no, count(*) OVER (PARTITION BY symbol) AS held FROM tg),
+wf AS (SELECT *, no // (held // 6) AS fold FROM wn WHERE held >= 20 AND no // (held // 6) <= 5), {sql.stats('wf', 'symbol, fold', name='s_fold')},
+wo AS (SELECT a.symbol, CAST(a.fold + 1 AS BIGINT) AS fold, a.pf AS train_pf, b.pf AS test_pf, b.pf/nullif(a.pf, 0) AS degradation FROM s_fold a JOIN s_fold b ON a.symbol = b.symbol AND b.fold = a.fold + 1
+  WHERE a.total_trades >= 5 AND b.total_trades >= 5), mu(mult) AS (VALUES (1), (2), (3), (5)),
+st AS (SELECT t.symbol, t.ts, mult, net_pnl_r - coalesce(p.spread_pips*p.pip_size*(mult - 1)/nullif(risk, 0), 0) AS x FROM tg t JOIN pairs p ON p.symbol = t.symbol CROSS JOIN mu), {sql.stats('st', 'symbol, mult', pnl='x', name='s_mult')},
+{sql.stats('tg', 'symbol, regime', name='s_regime')}, {sql.stats('tg', 'symbol, direction', name='s_side')}, {_PERM}, {_BOOT}, {_REMOVE},
+suite AS ({_long('s_all', "'baseline'", 'total_trades', 'pf', 'wr', 'avg_r', 'mdd_r', 'sharpe')} UNION ALL {_long('s_year', "'year:' || y", *_SHORT)}
+  UNION ALL {_long('wo', "'walk_forward:' || fold", 'train_pf', 'test_pf', 'degradation')} UNION ALL {_long('s_mult', "'spread:' || mult", *_SHORT)}
+  UNION ALL {_long('perm', "'permutation'", 'prob_ruin', 'mean_max_dd_pct', 'p95_max_dd_pct', 'p99_max_dd_pct', 'median_final')}
+  UNION ALL {_long('boot', "'bootstrap'", 'pf_mean', 'pf_p5', 'pf_p95', 'pf_below_1_pct', 'avg_r_mean')}
+  UNION ALL {_long('gone', "'removal:' || CAST(round(share*100) AS INTEGER)", 'mean_pf', 'p5_pf', 'pf_below_1_pct', 'n_removed')}
+  UNION ALL {_long('s_regime', "'regime:' || regime", *_SHORT)} UNION ALL {_long('s_side', "'direction:' || direction", *_SHORT)})"""
 
 
 def _suite(spark: SparkSession, sf: str) -> DataFrame:
-    return robustness.suite(cut(tagged(spark, sf)), _BY, slice_expr=block_of(), sims=SIMS)
+    return robustness.suite(cut(tagged(spark, sf)), _BY, slice_expr=block_of(), sims=SIMS, removal_sims=REMOVALS)
 
 
-@query("rb_suite")
+@query("rb_suite", f"WITH {_SUITE} SELECT {sql.out('symbol', 'test', 'metric', '~value')} FROM suite")
 def rb_suite(spark: SparkSession, sf: str) -> DataFrame:
     return present(_suite(spark, sf))
 
 
-@query("rb_verdict")
+def _pick(test: str, metric: str) -> str:
+    return f"max(CASE WHEN test = '{test}' AND metric = '{metric}' THEN value END)"
+
+
+@query("rb_verdict", f"""WITH {_SUITE}, fg AS (SELECT symbol, {_pick('baseline', 'pf')} AS pf, min(CASE WHEN test LIKE 'walk_forward:%' AND metric = 'test_pf' THEN value END) AS wf_min,
+  avg(CASE WHEN test LIKE 'walk_forward:%' AND metric = 'test_pf' THEN value END) AS wf_avg, {_pick('spread:3', 'pf')} AS s3, {_pick('permutation', 'prob_ruin')} AS ruin,
+  {_pick('permutation', 'p95_max_dd_pct')} AS dd, {_pick('bootstrap', 'pf_p5')} AS p5, {_pick('removal:10', 'pf_below_1_pct')} AS rem FROM suite GROUP BY symbol),
+ck AS (SELECT symbol, coalesce(pf > 1.2, false) AS a, coalesce(wf_min > 1.0 AND wf_avg > 1.0, false) AS b, coalesce(s3 > 1.0, false) AS c, coalesce(ruin < 0.05 AND dd < 30, false) AS d,
+  coalesce(p5 > 0.9, false) AS e, coalesce(rem < 50, false) AS f FROM fg),
+vd AS (SELECT symbol, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) + CAST(d AS INTEGER) + CAST(e AS INTEGER) + CAST(f AS INTEGER) AS score,
+  concat_ws(', ', CASE WHEN a THEN 'PF>1.2' ELSE 'PF<=1.2' END, CASE WHEN b THEN 'WF+' ELSE 'WF-' END, CASE WHEN c THEN 'Spread+' ELSE 'Spread-' END, CASE WHEN d THEN 'MC+' ELSE 'MC-' END,
+    CASE WHEN e THEN 'Bootstrap+' ELSE 'Bootstrap-' END, CASE WHEN f THEN 'Removal+' ELSE 'Removal-' END) AS details FROM ck)
+SELECT symbol, score, details, CASE WHEN score >= 5 THEN 'PASS' WHEN score >= 3 THEN 'MARGINAL' ELSE 'FAIL' END || ' (' || score || '/6): ' || details AS verdict FROM vd""")
 def rb_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return present(robustness.verdict(_suite(spark, sf), _BY))
 
