@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from tickweave.plans.all_queries import QUERIES
 from conftest import random_bars, rows_of
 from pyspark.sql import functions as F
 
@@ -101,3 +102,14 @@ def test_delayed_ticks_wait_for_the_watermark(spark, tmp_path):
     stream = read_folder(spark, write_parts(spark, [(first, TICKS), (second, TICKS)], tmp_path / "in"), TICKS, files_per_batch=1)
     got = drain(windows.delayed_feed(stream, 30), "delay")
     assert rows_of(got, "price") == [(1.0,)]
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file" / "events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/folder/events.parquet")
+    for name in ("ss_bars", "ss_late", "ss_delayed_feed"):
+        file, folder = (sorted(map(str, QUERIES[name](spark, f"{tmp_path}/{kind}").collect())) for kind in ("file", "folder"))
+        assert file == folder and len(file) > 100, name

@@ -21,7 +21,7 @@ from tickweave.streaming.run import drain, read_folder, stage, work_folder
 
 def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = tables.table(spark, sf, "events").schema
-    raw = read_folder(spark, sf, schema, only="events.parquet")
+    raw = read_folder(spark, f"{sf}/events.parquet", schema)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id"
     )
@@ -145,7 +145,7 @@ SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS from_ts, strftime(a + INTERVAL 30 DAY
   floor(count(CASE s WHEN 'F' THEN 1 END)/count(*)*100*1e6 + 0.5)/1e6 AS win_rate FROM w GROUP BY a HAVING a + INTERVAL 30 DAY <= (SELECT max(t) FROM o) - INTERVAL 1 DAY""")
 def ss_rolling_perf(spark: SparkSession, sf: str) -> DataFrame:
     schema = tables.table(spark, sf, "orders").schema
-    raw = read_folder(spark, sf, schema, only="orders.parquet").filter(F.col("o_orderstatus") != "O")
+    raw = read_folder(spark, f"{sf}/orders.parquet", schema).filter(F.col("o_orderstatus") != "O")
     closed = raw.select(
         F.col("o_orderdate").cast("timestamp").alias("opened_at"), F.when(F.col("o_orderstatus") == "F", "win").otherwise("loss").alias("result")
     )

@@ -21,14 +21,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def read_folder(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, only: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; ``only`` is a file name pattern."""
+def read_folder(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files.
+
+    The path is given as a pattern that only it matches, since a stream takes a plain path for a folder.
+    """
     reader = spark.readStream.schema(schema)
-    if only:
-        reader = reader.option("pathGlobFilter", only)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
