@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import LOWER, UPPER
+from tickweave.llm.common import LOWER, UPPER, groups
 from tickweave.llm.components import components
 from tickweave.session import cut
 
@@ -19,8 +19,10 @@ BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 #: Words of a shingle and least similarity in percent.
 WORDS, SIMILAR = 2, 80
-#: Estimates below the similarity by more than this are not verified: seven standard errors of 128 registers.
-SLACK = 0.25
+#: Estimates below the similarity by more than this are not verified: five standard errors of 128 registers.
+SLACK = 0.18
+#: Rows of a bucket that one block holds when components are compared.
+BLOCK_ROWS = 2048
 #: Expected share of colliding registers of unrelated large sets, from the sketch's published analysis (fixed value).
 COLLISIONS = 0.169919487159739093975315012348
 
@@ -131,48 +133,112 @@ def _verified(words: int, percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the estimate and then the comparison of full sets."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("bands").alias("bands_a"), F.col("n_shingles").alias("n_a"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("bands").alias("bands_b"), F.col("n_shingles").alias("n_b"))
     # a set can only be similar to one of about its size
     sized = pairs.join(right, "b").join(left, "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = cut(sized.mapInPandas(_promising(percent / 100 - SLACK), "a long, b long"))
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = cut(docs.join(needed, "doc_id", "left_semi"))
     with_b = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(both.mapInPandas(_verified(words, percent), "a long, b long").distinct())
 
 
+def _small_sets(words: int):
+    """Sets as sorted 32-bit hashes, enough to tell all but close calls."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _Hashes()
+        for pdf in batches:
+            sets = [np.unique((shingle_set(t, words, seen) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in pdf.text]
+            yield pdf[["doc_id"]].assign(members=sets)
+
+    return run
+
+
+def _across(percent: int, least: float):
+    """Pairs of a block pair that are linked, or may be, and lie in different components.
+
+    A pair is looked at in the first band that it shares only. Components that a sure link has joined are one from then on.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, "bucket", "i", "j"):
+            if len(g) < 2 or g.c.nunique() < 2:
+                continue
+            ids, n, c, block = (g[k].to_numpy() for k in ("doc_id", "n_shingles", "c", "block"))
+            bands = np.stack(g.bands.to_numpy()).astype(np.int64)
+            registers_, band = bands.view(np.uint16), int(g.band.iloc[0])
+            sets = [np.frombuffer(m, np.uint32) for m in g.members]
+            alone = g.i.iloc[0] == g.j.iloc[0]
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            found = []
+            for k in range(len(g)):
+                others = np.arange(k + 1, len(g)) if alone else np.flatnonzero(block != block[k]) if block[k] == g.i.iloc[0] else ()
+                if not len(others):
+                    continue
+                others = others[(c[others] != c[k]) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k]))]
+                if not len(others):
+                    continue
+                likely = estimate(registers_[others], registers_[k][None], n[others].astype(float), np.full(len(others), float(n[k]))) >= least
+                others = others[likely]
+                others = others[np.argmax(bands[others] == bands[k], axis=1) == band]
+                for o in others.tolist():
+                    if top(c[k]) == top(c[o]):
+                        continue
+                    a, b = sets[k], sets[o]
+                    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                    # hashes that fall together change the count by less than two but once in some billion pairs
+                    if 100 * (common + 2) >= percent * (n[k] + n[o] - common - 2):
+                        found.append((min(ids[k], ids[o]), max(ids[k], ids[o])))
+                        if 100 * (common - 2) >= percent * (n[k] + n[o] - common + 2):
+                            up[max(top(c[k]), top(c[o]))] = min(top(c[k]), top(c[o]))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
     """Components of similar documents: (doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
-    Documents with equal sets are one node. Each band's bucket first compares all nodes with its smallest one; nodes of
-    other components that are left in a bucket are then compared with all of that bucket outside their own component, so
-    a link between documents that share a bucket is lost by neither step. Two documents of similarity 0.8 share no bucket
-    with probability 5e-8.
+    Documents with equal sets are one node. Each band's bucket first compares all its nodes with one of them, drawn by a
+    hash, so that a large group is linked by several nodes of it at a cost in proportion to its size. Buckets that still
+    hold more than one component are then compared across components, block by block, so a link between documents that
+    share a bucket is not lost. Two documents of similarity 0.8 share no bucket with probability 5e-8.
 
-    Null text and text without words have an empty set and link with nothing. Rows that
-    share a doc_id are one node each for its text's set; rows without one link with nothing and are kept. Other columns are not looked at; empty tables give empty results.
+    Null text and text without words have an empty set and link with nothing. Rows that share a doc_id are one node each
+    for their text's set; rows without one link with nothing and are kept. Other columns are not looked at; empty tables
+    give empty results.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(base.mapInPandas(_sketches(words), "doc_id long, n_shingles long, same binary, bands array<long>"))
     linked = sketched.filter("n_shingles > 0 and doc_id is not null")
     first = cut(linked.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    reps = cut(linked.join(first.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "same", "n_shingles", "bands"))
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id")
-    low = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket", "low")
-    shared = cut(rows.join(low, "bucket"))
-    pairs = shared.filter("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirm(pairs, reps, base, words, percent)
-    labels = cut(components(links))
-    label = lambda key, name: labels.select(F.col("id").alias(key), F.col("component").alias(name))
-    named = shared.join(label("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")).join(label("low", "low_c"), "low", "left").withColumn("low_c", F.coalesce("low_c", "low"))
-    apart = cut(named.filter("c != low_c").select("bucket", F.col("doc_id").alias("x"), F.col("c").alias("c_x"), "low"))
-    mixed = cut(named.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("doc_id").alias("y"), F.col("c").alias("c_y"), "low"))
-    more = apart.drop("low").join(mixed, "bucket").filter("c_x != c_y and y != low").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = _confirm(more, reps, base, words, percent)
+    reps = cut(linked.join(first.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "n_shingles", "bands"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "doc_id")
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id")).alias("drawn")
+    pivots = rows.groupBy("bucket").agg(drawn, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("drawn.doc_id").alias("pivot"))
+    shared = cut(rows.join(pivots, "bucket"))
+    texts = cut(base.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    pairs = shared.filter("doc_id != pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    links = _confirm(pairs, reps, texts, words, percent)
+    labels = components(links).select(F.col("id").alias("doc_id"), "component")
+    named = cut(shared.select("bucket", "band", "doc_id").join(labels, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
+    split = named.groupBy("bucket").agg(F.count_if(F.lit(True)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    split = split.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    open_ = cut(named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    small = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_small_sets(words), "doc_id long, members binary")
+    each = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("bucket", "band", "doc_id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = each.join(reps.dropDuplicates(["doc_id"]).join(small, "doc_id"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    close = cut(dealt.mapInPandas(_across(percent, percent / 100 - SLACK), "a long, b long").distinct())
+    late = _confirm(close, reps, texts, words, percent)
     found = cut(components(links.unionByName(late)))
     out = sketched.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(first, "same", "left")
     out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left")
