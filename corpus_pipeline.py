@@ -14,7 +14,7 @@ from tickweave.session import shared_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, compared with the languages of all documents."""
-    return rules.quality(docs).filter("kept").select(f"{ROW}.*")
+    return rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

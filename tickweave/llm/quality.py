@@ -126,3 +126,13 @@ def quality(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     far = guard & ((F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
     return df.withColumn("kept", ~F.col("base_failed") & ~far).select(
         ROW, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def passing(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """The rows of documents that the rules keep.
+
+    The verdict goes through a generator: a filter right on it would be pushed below the steps that work it out, with
+    their arrays written into each other's lambdas and worked out again for each element.
+    """
+    judged = quality(docs, refs).select(ROW, F.explode(F.array("kept")).alias("stays"))
+    return judged.filter("stays").select(f"{ROW}.*")
