@@ -21,8 +21,8 @@ BUCKETS = 1 << BUCKET_BITS
 WORDS, SIMILAR = 2, 80
 #: Estimates below the similarity by more than this are not verified: five standard errors of 128 registers.
 SLACK = 0.18
-#: Rows of a bucket that one block holds when components are compared.
-BLOCK_ROWS = 2048
+#: Bands whose pairs are compared first, and rows of a bucket that one block holds when components are compared.
+FIRST_BANDS, BLOCK_ROWS = 4, 2048
 #: Expected share of colliding registers of unrelated large sets, from the sketch's published analysis (fixed value).
 COLLISIONS = 0.169919487159739093975315012348
 
@@ -226,8 +226,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     pivots = rows.groupBy("bucket").agg(drawn, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("drawn.doc_id").alias("pivot"))
     shared = cut(rows.join(pivots, "bucket"))
     texts = cut(base.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
-    pairs = shared.filter("doc_id != pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    links = _confirm(pairs, reps, texts, words, percent)
+    pairs = shared.filter("doc_id != pivot").groupBy(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).agg(F.min("band").alias("band"))
+    pairs = cut(pairs)
+    # the first bands link most of a group; pairs of later ones within one component need no comparison any more
+    links = _confirm(pairs.filter(F.col("band") < FIRST_BANDS).select("a", "b"), reps, texts, words, percent)
+    labels = cut(components(links))
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    rest = pairs.filter(F.col("band") >= FIRST_BANDS).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = links.unionByName(_confirm(rest, reps, texts, words, percent))
     labels = components(links).select(F.col("id").alias("doc_id"), "component")
     named = cut(shared.select("bucket", "band", "doc_id").join(labels, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
     split = named.groupBy("bucket").agg(F.count_if(F.lit(True)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
