@@ -1,7 +1,7 @@
 """Personal data: patterned values, and terms that reveal them by co-occurrence, in DataFrame functions only.
 
 A value found by a pattern is a protected entity. For each term near an entity the corpus gives p(entity | term), the share of
-the term's documents in which it stands near that entity; the bits by which a term discloses an entity of information content
+the term's texts in which it stands near that entity; the bits by which a term discloses an entity of information content
 -log2 p(entity) are that content less -log2 p(entity | term). A term that leaves at most ``doubt`` bits is generalised, one
 that leaves none is removed.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import BROADCAST_ROWS, ROW, join_small, packed, whole_text
+from tickweave.llm.common import ROW, SPACE_RUN, SPACES, join_small, packed, whole_text
 from tickweave.session import cut
 
 #: Patterns (fixed values) in the order of the kinds. A match begins at the start of a run or where the last one ended, which
@@ -81,26 +81,25 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(found: DataFrame, contexts: int = CONTEXTS, doubt: float = DOUBT) -> DataFrame:
     """(term, left): terms that disclose an entity, and the bits of doubt left, from rows with entities.
 
-    Only the surroundings of entities become rows, and each partition sums them before the shuffle; a copied passage counts
-    once. Documents with a term are counted over the whole corpus for terms that stand near an entity often enough.
+    Only the surroundings of entities become rows; different texts are counted, so copies count once. Texts with a term
+    are counted over the whole corpus for the terms that stand near one entity often enough.
     """
-    spans = found.filter(F.size(_entities()) > 0).select("plain", F.explode(_entities()).alias("s"))
+    spans = found.filter(F.size(_entities()) > 0).select("plain", "text_key", F.explode(_entities()).alias("s"))
     # NEAR_WORDS words on either side lie in a stretch of bounded length unless a word is longer than 40 letters
     before = F.substring("plain", F.greatest(F.col("s.start") + 1 - 40 * NEAR_WORDS, F.lit(1)), F.least(F.col("s.start"), F.lit(40 * NEAR_WORDS)))
     after = F.substring("plain", F.col("s.stop") + 1, F.lit(40 * NEAR_WORDS))
-    words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    words = lambda c: F.split(F.btrim(c, F.lit(SPACES)), SPACE_RUN)
     around = F.concat_ws(" ", F.slice(F.reverse(words(before)), 1, NEAR_WORDS), F.slice(words(after), 1, NEAR_WORDS))
-    rows = spans.select(F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), around.alias("around"))
-    rows = rows.groupBy("entity", "around").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = rows.select("entity", "copies", F.explode(_terms(F.col("around"))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("copies").alias("together"))
-    pairs = cut(pairs.filter(F.col("contexts") >= contexts))
+    near = spans.select(F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), "text_key", F.explode(_terms(around)).alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("text_key").alias("together")).filter(F.col("contexts") >= contexts)
+    # a term stands in at least as many texts as those in which it is near any entity: most need no count over the corpus
+    some = near.groupBy("term").agg(F.countDistinct("text_key").alias("some"))
+    pairs = cut(pairs.join(some, "term").filter(F.col("together") * 2.0**doubt >= F.col("some")).select("entity", "term", "together"))
     asked = cut(pairs.select("term").distinct())
     if asked.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("left")).limit(0)
-    each = found.select(F.explode(_terms(F.col("plain"))).alias("term"))
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    counted = each.join(F.broadcast(asked), "term", "left_semi") if few else each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(asked, "term", "left_semi")
-    counts = counted.groupBy("term").agg(F.count(F.lit(1)).alias("documents") if few else F.sum("n").alias("documents"))
+    each = found.select("text_key", F.explode(_terms(F.col("plain"))).alias("term"))
+    counts = join_small(each, asked, "term", "left_semi").groupBy("term").agg(F.countDistinct("text_key").alias("documents"))
     left = -F.log2(F.least(F.col("together") / F.col("documents"), F.lit(1.0)))
     return cut(pairs.join(counts, "term").withColumn("left", left).groupBy("term").agg(F.min("left").alias("left")).filter(F.col("left") <= doubt))
 
@@ -112,11 +111,10 @@ def personal_data(docs: DataFrame, contexts: int = CONTEXTS, doubt: float = DOUB
     Offsets are code points, ends exclusive. Null text counts as empty. Equal texts get equal spans; an empty table gives
     an empty result. Terms are marked wherever they stand, also in texts without an entity.
     """
-    found = with_entities(packed(docs, "text"))
+    found = with_entities(packed(docs, "text")).withColumn("text_key", F.xxhash64("plain"))
     terms = disclosing_terms(found, contexts, doubt)
     if terms.isEmpty():
-        return found.withColumn("term_spans", F.array().cast(_SPAN))
-    found = found.withColumn("text_key", F.xxhash64("plain"))
+        return found.drop("text_key").withColumn("term_spans", F.array().cast(_SPAN))
     held = found.select("text_key", F.explode(_terms(F.col("plain"))).alias("term"))
     held = join_small(held, terms, "term", "inner").groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("term", "left"))).alias("held"))
     rows = join_small(found, cut(held), "text_key")
