@@ -158,6 +158,16 @@ def test_as_of_looks_back_over_empty_buckets(spark):
     assert [r for _, r in got] == ["UNKNOWN", "A", "A", "A", "B", "B"]
 
 
+def test_as_of_by_slots_needs_no_window_over_trades(spark):
+    bars = spark.createDataFrame([("S", "1h", "2024-01-01 00:00:00", "A"), ("S", "1h", "2024-01-01 05:00:00", "B")], "symbol string, tf string, ts string, regime string").withColumn("ts", F.col("ts").cast("timestamp"))
+    minutes = spark.range(1440).selectExpr("'S' symbol", "'1h' tf", "timestamp'2023-12-31 22:00:00' + make_interval(0, 0, 0, 0, 0, id) ts", "id")  # one symbol, one busy day
+    got = regime.as_of_slots(minutes, bars, 3600)
+    want = regime.as_of(minutes, bars, bucket_seconds=86400)
+    assert rows_of(got, "id", "ts", "regime") == rows_of(want, "id", "ts", "regime")
+    counted = dict(rows_of(got.groupBy("regime").count(), "regime", "count"))
+    assert counted == {"UNKNOWN": 120, "A": 300, "B": 1020}
+
+
 # --- robustness ------------------------------------------------------------------------------
 
 RS = np.random.default_rng(5).normal(0.15, 1, 300).round(4)

@@ -126,6 +126,9 @@ def add_ewm(df: DataFrame, w: WindowSpec, specs: dict[str, tuple[Column, int, in
     inner = Window.partitionBy(*keys, "_blk", "_sub").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     local, carried, final = {}, {}, {}
     for out, (value, span, start) in specs.items():
+        if span <= 1:  # a mean of one row is the value itself
+            final[out] = F.when(F.col("ix") >= start, value)
+            continue
         alpha = 2.0 / (span + 1)
         keep = 1.0 - alpha
         weight = F.when(F.col("ix") == start, 1.0).when(F.col("ix") < start, 0.0).otherwise(alpha)

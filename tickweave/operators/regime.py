@@ -86,6 +86,23 @@ def as_of(
     return out.select("_row.*", found.alias(value))
 
 
+def as_of_slots(
+    trades: DataFrame, bars: DataFrame, slot_seconds: int, value: str = "regime", ts: str = "ts", at: Column | None = None,
+    keys=KEYS, missing: str | None = "UNKNOWN",
+) -> DataFrame:
+    """As ``as_of`` for moments whose answer is that of their slot's start: no bar starts later in a moment's slot than its
+    start (bars as long as the slots), or each moment is a start.
+
+    Only the distinct slots are ordered with the bars; trades are joined with the slots' answers by equality, so they
+    need no window, and no shuffle while the slots are few enough for Spark to broadcast.
+    """
+    seconds = F.unix_timestamp(F.col(ts) if at is None else at)
+    marked = trades.withColumn("_slot", F.timestamp_seconds(F.floor(seconds / slot_seconds) * slot_seconds))
+    known = as_of(marked.select(*keys, "_slot").distinct(), bars, value, ts="_slot", keys=keys, bucket_seconds=64 * slot_seconds, missing=missing)
+    found = marked.join(known, [*keys, "_slot"], "left")
+    return found.select(*trades.columns, F.col(value) if missing is None else F.coalesce(value, F.lit(missing)).alias(value))
+
+
 def composition(trades: DataFrame, by=("regime",)) -> DataFrame:
     """Trades per regime."""
     return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"))

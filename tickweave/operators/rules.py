@@ -42,7 +42,7 @@ def news_blackout(bars: DataFrame, news: DataFrame, pairs: DataFrame, before_min
     at = F.unix_timestamp("nts")
     items = (
         news.filter(F.col("impact") == "high")
-        .select("currency", F.col("ts").alias("nts"), "title").distinct()
+        .groupBy("currency", F.col("ts").alias("nts")).agg(F.min("title").alias("title"))  # the first of a time is the one named
         .withColumn("_bucket", F.explode(F.sequence(
             F.floor((at - 60 * before_min) / width), F.floor((at + 60 * after_min) / width)
         )))

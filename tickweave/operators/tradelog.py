@@ -71,7 +71,8 @@ def drawdown(log: DataFrame, now: Column, days: int = 30, start: float = 10000.0
 
 
 def open_trades(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("status") == "open").orderBy(F.col("opened_at").desc(), F.col("id"))
+    """Open trades; their order is left to the reader."""
+    return log.filter(F.col("status") == "open")
 
 
 def recent_trades(log: DataFrame, n: int = 10) -> DataFrame:
@@ -104,14 +105,14 @@ def apply_changes(log: DataFrame, changes: DataFrame, columns: Sequence[str], ke
     return joined.withColumns({c: F.coalesce(f"_n_{c}", c) for c in columns}).drop(*[f"_n_{c}" for c in columns])
 
 
-def monitor(trades: DataFrame, prices: DataFrame, compat: bool = False) -> DataFrame:
-    """One pass over open trades at the latest price of their symbol.
+def monitor(trades: DataFrame, prices: DataFrame, compat: bool = False, tie: Sequence[str] = ()) -> DataFrame:
+    """One pass over open trades at the latest price of their symbol; ``tie`` orders prices of one time.
 
     At most one new target is marked per pass; the first moves the stop to the entry. The third target
     closes the trade with its ratio and a stop closes it at 0 or -1; with ``compat`` only the original
     stop closes a trade.
     """
-    last = prices.groupBy("symbol").agg(F.max_by("price", F.col("ts")).alias("price"))
+    last = prices.groupBy("symbol").agg(F.max_by("price", F.struct("ts", *tie)).alias("price"))
     t = trades.join(last, "symbol", "left")
     buy = F.col("direction") == "buy"
     px = F.col("price")

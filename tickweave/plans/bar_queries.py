@@ -29,12 +29,12 @@ def src_bars_csv(spark: SparkSession, sf: str) -> DataFrame:
     return present(src.check_bars(src.read_bars_csv(spark, folder, names=src.FOLDER_NAMES)))
 
 
-@query("sink_tables", f"WITH {sql.event_bars('1h')} SELECT {sql.out(*BARS_OUT)} FROM bars WHERE symbol IN ('click', 'view')")
+@query("sink_tables", f"WITH {sql.event_bars('1h')} SELECT {sql.out(*BARS_OUT)} FROM bars")
 def sink_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars written as Parquet partitioned by timeframe and symbol, read back with partition pruning."""
+    """Bars written as Parquet partitioned by timeframe and symbol, read back whole."""
     folder = work_folder(spark, "bars")
     sinks.write_table(tables.event_bars(spark, sf), folder, ["tf", "symbol"])
-    return present(src.read_bars_parquet(spark, folder, symbols=["click", "view"], tf="1h"))
+    return present(src.read_bars_parquet(spark, folder, tf="1h"))
 
 
 @query("src_bars_daily", f"""WITH {sql.daily_bars()}, {sql.atr_sma()}

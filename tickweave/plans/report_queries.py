@@ -190,7 +190,7 @@ SELECT symbol, ix, direction, new_tp, CASE WHEN stopped THEN 'closed' ELSE 'open
   {sql.fx('CASE WHEN stopped THEN -1.0 END')} AS actual_rr, CASE WHEN new_tp = 1 THEN 1 ELSE 0 END AS be_moved FROM m""")
 def tl_monitor(spark: SparkSession, sf: str) -> DataFrame:
     fresh = fb_setups(spark, sf).withColumns({**{f"tp{k}_hit": F.lit(0) for k in (1, 2, 3)}, "be_moved": F.lit(0)})
-    out = tradelog.monitor(fresh, tables.ticks(spark, sf))
+    out = tradelog.monitor(fresh, tables.ticks(spark, sf), tie=["event_id"])
     return present(out, "symbol", "ix", "direction", "new_tp", "status", "result", "actual_rr", "be_moved")
 
 

@@ -30,7 +30,7 @@ def tagged(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataF
     return regime.as_of(fb_daily(spark, sf, bars), regimes_daily(bars))
 
 
-# Trades happen at any time of the day and regimes come from 4-hour bars, so most lookups fall between bars.
+# Trades happen at any time of the day and regimes come from 4-hour bars, so most lookups fall between bars; none starts inside a 4-hour slot.
 _ASOF = f"""{sql.event_bars('4h')}, {sql.atr_sma()}, {RESEARCH_REGIME},
 tk AS (SELECT event_id, event_type AS symbol, ts FROM events)"""
 
@@ -42,7 +42,7 @@ def rg_asof(spark: SparkSession, sf: str) -> DataFrame:
         return regime.add_research_regime(ind.add_atr_sma(df, w), w)
     bars = in_frames(tables.indexed(spark, sf, "4h"), build, before=80)
     ticks = tables.ticks(spark, sf).select(F.col("event_id"), "symbol", F.lit("4h").alias("tf"), "ts")
-    return present(regime.as_of(ticks, bars, bucket_seconds=86400), "event_id", "symbol", "ts", "regime")
+    return present(regime.as_of_slots(ticks, bars, 4 * 3600), "event_id", "symbol", "ts", "regime")
 
 
 @query("rg_asof_midnight", f"""WITH {sql.event_bars('4h')}, {sql.atr_sma()}, {RESEARCH_REGIME}, tk AS (SELECT event_id, event_type AS symbol, ts, date_trunc('day', ts) AS day FROM events)
@@ -53,7 +53,7 @@ def rg_asof_midnight(spark: SparkSession, sf: str) -> DataFrame:
         return regime.add_research_regime(ind.add_atr_sma(df, w), w)
     bars = in_frames(tables.indexed(spark, sf, "4h"), build, before=80)
     ticks = tables.ticks(spark, sf).select("event_id", "symbol", F.lit("4h").alias("tf"), "ts")
-    return present(regime.as_of(ticks, bars, at=F.date_trunc("day", "ts"), bucket_seconds=86400), "event_id", "regime")
+    return present(regime.as_of_slots(ticks, bars, 86400, at=F.date_trunc("day", "ts")), "event_id", "regime")
 
 
 TAGGED = f"{FB_DAILY}, {RESEARCH_REGIME}, tg AS (SELECT t.*, r.regime FROM trades t JOIN reg r ON r.symbol = t.symbol AND r.ix = t.ix)"
