@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What a worker keeps at most: encoded stretches, the first ones met, of so many characters, and answers on pairs.
-REMEMBERED, KEPT_CHARS, MOST_PAIRS = 800_000, 64, 2_000_000
+REMEMBERED, KEPT_CHARS, MOST_PAIRS = 400_000, 64, 1_000_000
 #: Characters that one index covers, and characters of texts that are taken together, unless one is longer.
-INDEX_CHARS, BATCH_CHARS = 1 << 20, 1 << 22
+INDEX_CHARS, BATCH_CHARS = 1 << 18, 1 << 21
 _GAP = "\0"
 
 
