@@ -11,6 +11,9 @@ from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
 from tickweave.session import shared_folder
 
+#: Words of a shingle in the near-duplicate stage; op1 alone compares pairs of words, which link more.
+STAGE_WORDS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, compared with the languages of all documents."""
@@ -19,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id, once."""
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, words=STAGE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from tests.llm.test_near_duplicates import roots, sets_of, similar
+from tests.llm.test_near_duplicates import LOW, roots, sets_of, similar
 from tests.llm.test_quality_and_mixing import WORD, base, fill
 from tests.llm.test_texts import KINDS, base_private
 from tickweave.llm import pieces, quality
@@ -82,3 +82,16 @@ def test_run_on_awkward_and_empty_tables(spark, odd, tmp_path):
     rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
     assert {r.doc_id for r in rows} <= {r.doc_id for r in odd.collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_duplicate_stage_takes_five_words(spark, sample):
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    rows, sets = docs.collect(), {}
+    for r in rows:
+        w = (r.text or "").encode().translate(LOW).split()
+        sets[r.doc_id] = frozenset(zip(*[w[k:] for k in range(min(5, len(w)))]))
+    top, pairs = roots(list(sets), similar(sets)), sets_of([(r.doc_id, r.text) for r in rows])
+    want = {i for i in sets if top[i] == i}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sample).collect()} == want
+    two = roots(list(pairs), similar(pairs))
+    assert want - {i for i in pairs if two[i] == i}
