@@ -309,6 +309,27 @@ def test_grammar():
     assert toxicity.raw_score(None, weights) == toxicity.raw_score("", weights) == 0
 
 
+def test_targets_after_the_verb_or_insult():
+    weights = toxicity._Weights(toxicity.Lexicon({"idiot": 4.0}))
+    assert toxicity.raw_score("i will hurt you", weights) == toxicity.raw_score("they will kill", weights) == toxicity.AIMED
+    assert toxicity.raw_score("i will not hurt you", weights) == pytest.approx(toxicity.AIMED * toxicity.NEGATED)
+    assert toxicity.raw_score("idiot, that is what you are", weights) == 5.0
+    assert toxicity.raw_score("i will hurt. you", weights) == toxicity.raw_score("i hurt you", weights) == 0
+
+
+def test_reports_of_quotations():
+    weights = toxicity._Weights(toxicity.Lexicon({"idiot": 4.0}))
+    told, full = pytest.approx(5 * toxicity.REPORTED), 5.0
+    for text in (
+        'he said: "you are an idiot"', "he said: you are an idiot", 'he said "you are an idiot"', "he said:\n\n“you are an idiot”", "er sagte: „du bist ein idiot“",
+        '"you are an idiot" she wrote', '"you are an idiot. go away!", she wrote', "«tu es un idiot» dit elle", 'he said: "go away. you are an idiot." then left', 'he said: "you are an idiot',
+    ):
+        assert toxicity.raw_score(text, weights) == told, text
+    for text in ('"you are an idiot"', '"you are an idiot". she wrote', 'he said "hello" you are an idiot', "he said hello. you are an idiot", 'he left: "you are an idiot"', '"you are an idiot\n\nshe wrote', 'he said: "hello there.\n\nyou are an idiot'):
+        assert toxicity.raw_score(text, weights) == full, text
+    assert toxicity.raw_score('"you said that you are an idiot" she wrote', weights) == told
+
+
 def test_toxicity_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 0), (5, 1), (8, 0), (None, 1), (10, None)], "doc_id long, toxic int")
     lexicon = toxicity.learn(odd, labels)

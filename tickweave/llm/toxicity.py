@@ -34,7 +34,8 @@ AIMED, NEGATED, REPORTED, THREAT = 1.25, 0.6, 0.6, 1.0
 #: Words that a negation reaches.
 REACH = 3
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n,()\"“”«»]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n,()\"“”„«»]")
+_ENDS, QUOTES = frozenset(".!?;:\n()\"“”„«»"), frozenset("\"“”„«»")
 _KEPT = 1 << 19
 
 
@@ -70,29 +71,31 @@ class _Weights(dict):
         return value
 
 
-def clauses(text: str | None) -> Iterator[list[str]]:
-    """Lower-case words of each clause; a clause ends at a stop, a line end or a quotation mark. Commas stay inside as a sign."""
+def clauses(text: str | None) -> Iterator[tuple[list[str], str]]:
+    """Lower-case words of each clause and the sign that ends it: a stop, a line end, a quotation mark, or none at the text's end.
+
+    Commas stay inside as a sign; signs that follow each other have empty clauses between them.
+    """
     clause: list[str] = []
     for token in _WORD.findall((text or "").lower()):
-        if token in ".!?;:\n()\"“”«»":
-            if clause:
-                yield clause
+        if token in _ENDS:
+            yield clause, token
             clause = []
         else:
             clause.append(token)
-    if clause:
-        yield clause
+    yield clause, ""
 
 
-def matched(clause: list[str], weights) -> float:
-    """Weight of a clause under the composed transducers.
+def matched(clause: list[str], weights, reported: bool = False) -> tuple[float, float, bool]:
+    """Weight of a clause under the composed transducers, its weight were all of it reported, and the report state at its end.
 
     Each is a small machine over the clause's words: targets open an aim, negations a reach of some words, reports a state
-    that lasts to the clause's end, intents a readiness for threats. Their states together decide what an insult or a
-    threat that is read adds; a clause without either adds nothing.
+    that lasts to the clause's end (or is open from its start), intents a readiness for threats. An insult or threat takes
+    negation, report and readiness as they are where it is read and waits for its target until the clause's end, so the
+    target may stand on either side. A threat without a target adds nothing, and neither does a clause without either.
     """
-    aimed = reported = ready = False
-    reach, total = 0, 0.0
+    aimed = ready = False
+    reach, insults, threats = 0, [0.0, 0.0], [0.0, 0.0]
     for word in clause:
         if word == ",":
             reach = 0
@@ -103,16 +106,54 @@ def matched(clause: list[str], weights) -> float:
             reported = True
         aimed = aimed or word in TARGETS
         insult = weights[word]
-        if insult or (word in THREATS and ready and aimed):
-            value = insult or THREAT
-            total += value * (AIMED if aimed else 1.0) * (NEGATED if reach > 0 else 1.0) * (REPORTED if reported else 1.0)
+        if insult or (word in THREATS and ready):
+            value = (insult or THREAT) * (NEGATED if reach > 0 else 1.0)
+            held = insults if insult else threats
+            held[0] += value * (REPORTED if reported else 1.0)
+            held[1] += value * REPORTED
         ready = ready or word in INTENTS
         reach = max(0, reach - 1)
-    return total
+    read, told = (AIMED * (i + t) if aimed else i for i, t in zip(insults, threats))
+    return read, told, reported
 
 
 def raw_score(text: str | None, weights) -> float:
-    return sum(matched(c, weights) for c in clauses(text))
+    """Sum over the clauses of a text, with the report state carried between them.
+
+    A report goes on over a colon into the next clause and over a quotation mark into the whole quotation; a report in the
+    clause that directly follows a quotation reaches back into it. A quotation that is not closed ends with its paragraph
+    and counts as read.
+    """
+    total, read, told = 0.0, 0.0, 0.0  # the last two: the quotation that is open or waits for what follows it
+    inside = led = follows = report = False
+    before = ""
+    for clause, sign in clauses(text):
+        if clause:
+            as_read, as_told, report = matched(clause, weights, report)
+            if inside:
+                read, told = read + as_read, told + as_told
+            else:
+                total += as_read + (told if follows and report else read)
+                read = told = 0.0
+                follows = False
+        if sign in QUOTES:
+            if inside:
+                inside, follows, report = False, not led, False
+                if led:
+                    total += told
+                    read = told = 0.0
+            else:
+                total += read
+                read = told = 0.0
+                inside, led, follows = True, report, False
+        elif sign != ":" and not (sign == "\n" and before == ":" and not clause):
+            report = False
+            if not inside or sign == "\n" == before and not clause:
+                total += read
+                read = told = 0.0
+                inside = follows = False
+        before = before if sign == "\n" and before == ":" and not clause else sign
+    return total + read
 
 
 def held_out(doc_id: Column) -> Column:
