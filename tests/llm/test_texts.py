@@ -219,6 +219,22 @@ def test_guess_costs():
     assert secrets.guesses("ab1" * 20_000) < 10 * 20_000
 
 
+HIDDEN = "xK9qL2vT8mZ4"
+
+
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "MYSQL_PWD=", "app_private_key: ", "GITHUB_AUTH=", "dbPass = ", "2nd_key: ", "SECRET_KEY_BASE=", "pwd: ", "DB_PASS_1 = "])
+def test_names_with_other_parts(before):
+    _, values = secrets.spans(f"so {before}{HIDDEN} here")
+    assert [(a, b) for _, a, b, _ in values] == [(3 + len(before), 3 + len(before) + len(HIDDEN))]
+
+
+def test_values_of_letters():
+    found = lambda text: [text[a:b] for _, a, b, _ in secrets.spans(text)[1]]
+    assert found("pwd=xKqZvBnWpLmRtYhGcDsF") == ["xKqZvBnWpLmRtYhGcDsF"] and found("MYSQL_PWD=qzvkxwjfhbpgtmcd") == ["qzvkxwjfhbpgtmcd"]
+    assert found("pass theguestpassword, key is Constantinople, login whatever. monkey xK9qL2vT8mZ4") == []
+    assert secrets.spans("key_" * 50_000) == ([], [])
+
+
 def test_secret_rows(odd, none):
     assert secrets.scanned(odd).count() == odd.count()
     assert secrets.scanned(none).count() == 0

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Words before a value that make it a credential, beyond those of the pattern above.
-CONTEXT = re.compile(r"""(?i:\b(?:pwd|pass|passphrase|passcode|pin|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|secret_?key|client_?secret|login|key))["']?[\x20\t]*(?::=|=>|[:=]|\x20is\x20|\x20)[\x20\t]*(?:[Bb]earer\x20+)?["'`]?([A-Za-z0-9+/_.=!@#$%^&*~-]{6,})""")
+#: Words before a value that make it a credential, beyond those of the pattern above. Other parts of a name may stand before
+#: them (DB_PASS, dbPass) and, if a sign of assignment follows, after them (KEY_ID), of which eight keep long names linear.
+CONTEXT = re.compile(r"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:(?:pwd|pass|passphrase|passcode|pin|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|secret_?key|client_?secret|login|key)(?:(?:[_-][A-Za-z0-9]+){1,8}(?=["']?[\x20\t]*[:=]))?)["']?[\x20\t]*(?::=|=>|[:=]|\x20is\x20|\x20)[\x20\t]*(?:[Bb]earer\x20+)?["'`]?([A-Za-z0-9+/_.=!@#$%^&*~-]{6,})""")
 #: A value is a secret from this many decimal digits of guesses on; shorter context values than six signs are none.
 HARD = 10.0
+#: So many more for a value of letters alone, which costs as much as a rare word does as long as it is short.
+LETTERS = 10.0
 
 #: Words that guessing tries first, the likelier the earlier.
 WORDS = (
@@ -97,6 +100,12 @@ def _cheapest(value: str) -> float:
     return best[n]
 
 
+def _cases(value: str) -> float:
+    """Decimal digits of the guesses for where the capitals stand, none for a word in lower case, in capitals or with one first."""
+    capitals = sum(x.isupper() for x in value)
+    return 0.0 if capitals in (0, len(value)) or value[1:].islower() else math.log10(math.comb(len(value), capitals))
+
+
 def spans(text: str | None, hard: float = HARD) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
     """Base spans (kind, start, stop) by start and kind, and values of the method (kind ``guess``, start, stop, digits)."""
     text = text or ""
@@ -111,9 +120,10 @@ def spans(text: str | None, hard: float = HARD) -> tuple[list[tuple[str, int, in
     contexts = CONTEXT.finditer(text) if any(w in small for w in ("pass", "pwd", "pin", "credential", "auth", "bearer", "key", "secret", "login")) else ()
     for found, group in ((assigns, 2), (contexts, 1)):
         for m in found:
-            digits = guesses(m[group])
-            # a value of letters alone is a word of some language, however rare
-            if len(m[group]) >= LEAST["assign"] and digits >= hard and not m[group].rstrip(".=-_!").isalpha():
+            value, digits, least = m[group], guesses(m[group]), hard
+            if value.rstrip(".=-_!").isalpha():
+                digits, least = digits + _cases(value), hard + LETTERS
+            if len(value) >= LEAST["assign"] and digits >= least:
                 values.append(("guess", m.start(group), m.end(group), digits))
     return base, sorted(set(values), key=lambda s: s[1:])
 
