@@ -47,6 +47,22 @@ def test_traps_continue_over_micro_batches(spark, tmp_path):
     assert rows_of(got, "t", "signal") == [(t.strftime("%Y-%m-%d %H"), int(s)) for t, s in zip(pdf["ts"], sig) if s]
 
 
+def test_files_out_of_time_order(spark, tmp_path):
+    pdf = random_bars(120, 3)
+    end = pdf[-1:].assign(ts=pdf["ts"].max() + pd.Timedelta(days=30))
+    names = BAR_SCHEMA.names
+    parts = [(x[names], BAR_SCHEMA) for x in (pdf[60:], pdf[:60], end)]
+    folder = write_parts(spark, parts, tmp_path / "in")
+    stream = read_folder(spark, folder, BAR_SCHEMA, files_per_batch=1)
+    got = drain(stateful.indicators(stream, delay="10 days"), "ind").toPandas().sort_values("ts").reset_index(drop=True)
+    want = in_frames(spark.createDataFrame(pdf), ind.add_core, before=ind.core_margin()).toPandas().sort_values("ix").reset_index(drop=True)
+    assert len(got) == 120
+    for c in ("atr", "rsi", "ema_9", "ema_200"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-9)
+    traps = lambda f, **k: rows_of(drain(stateful.false_breakouts(read_folder(spark, f, BAR_SCHEMA, files_per_batch=1), **k), "traps"), "ts", "available_ts", "signal", "entry")
+    assert traps(folder, delay="10 days") == traps(write_parts(spark, [(pdf[names], BAR_SCHEMA)], tmp_path / "one")) != []
+
+
 def ticks(rows):
     return pd.DataFrame([("S", pd.Timestamp(f"2024-01-0{d} {t}"), float(p), k) for k, (d, t, p) in enumerate(rows)], columns=["symbol", "ts", "price", "event_id"])
 

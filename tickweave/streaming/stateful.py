@@ -1,8 +1,9 @@
 """Streams with their own state per key: indicators, trap detection, trade tracking, caps.
 
 Bars reach a symbol's state at the pace of the clock, one per bar length, so a busy symbol has busy
-ticks but no more bars than any other. Rows of one micro-batch are put in time order before use; a
-bar not newer than the last one processed is skipped.
+ticks but no more bars than any other. Bars wait in state until the watermark has reached their start,
+when all before them have ended, and are used in time order then, however they arrived. Bars later than
+the delay are dropped and counted by Spark (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickweave.operators.indicators import EMA_SPANS
+from tickweave.sources.bars import WINDOW_TEXT
 from tickweave.streaming.run import use_rocksdb
 
 
@@ -27,96 +29,148 @@ def _micros(ts) -> int:
     return pd.Timestamp(ts).value // 1000
 
 
+# --- bars in time order ---------------------------------------------------------------------
+
+class InOrder(StatefulProcessor):
+    """Bars of a series wait until the watermark reaches their start; ``use`` gets them in time order, each once.
+
+    One timer stands for the earliest bar; when it fires, all that are due are used and it moves to the next.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "open double, high double, low double, close double")
+        self.done = handle.getValueState("done", "at long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, timer = self.done.get() if self.done.exists() else (-1, -1)
+        earliest = None
+        for bar in _rows(rows, ["ts"]).itertuples(index=False):
+            at = _micros(bar.ts)
+            if at <= last or self.waiting.containsKey((at,)):  # the same bar once more: one before it would be late
+                continue
+            self.waiting.updateValue((at,), (bar.open, bar.high, bar.low, bar.close))
+            earliest = at if earliest is None else earliest
+        if earliest is not None and (timer < 0 or earliest < timer):
+            self._wake(last, earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        held = sorted((k[0], *v) for k, v in self.waiting.iterator())
+        due = [b for b in held if b[0] <= passed]
+        if not due:
+            return
+        for bar in due:
+            self.waiting.removeKey((bar[0],))
+        if len(held) > len(due):
+            self._wake(due[-1][0], held[len(due)][0])
+        else:
+            self.done.update((due[-1][0], -1))
+        yield self.use(key, due)
+
+    def _wake(self, last: int, at: int) -> None:
+        self.handle.registerTimer(at // 1000)
+        self.done.update((last, at))
+
+    def use(self, key, bars: list[tuple]) -> pd.DataFrame:
+        """Result of bars (microseconds, open, high, low, close) newer than all before."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(bars: DataFrame, delay: str) -> DataFrame:
+    """Bars grouped by series under a watermark on their ends; a last bar longer than the delay is due at once."""
+    ends = F.lit(None).cast("timestamp")
+    for tf, length in WINDOW_TEXT.items():
+        ends = F.when(F.col("tf") == tf, F.col("ts") + F.expr(f"interval {length}")).otherwise(ends)
+    timed = bars.withColumn("_end", F.coalesce(ends, F.col("ts"))).withWatermark("_end", delay)
+    return timed.groupBy("symbol", "tf")
+
+
 # --- indicators ------------------------------------------------------------------------------
 
-class Indicators(StatefulProcessor):
+class Indicators(InOrder):
     """EMA of close, ATR and RSI carried from bar to bar."""
 
     def __init__(self, spans: tuple[int, ...], n: int):
         self.spans, self.n = spans, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ["last long", "seen long", "prev double", "atr double", "gain double", "loss double"]
+        super().init(handle)
+        fields = ["seen long", "prev double", "atr double", "gain double", "loss double"]
         self.state = handle.getValueState("carry", ", ".join(fields + [f"e{s} double" for s in self.spans]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bars = _rows(rows, ["ts"])
+    def use(self, key, bars: list[tuple]) -> pd.DataFrame:
         kept = self.state.get() if self.state.exists() else None
-        last, seen, prev, atr, gain, loss = kept[:6] if kept else (-1, 0, 0.0, 0.0, 0.0, 0.0)
-        emas = list(kept[6:]) if kept else [0.0] * len(self.spans)
+        seen, prev, atr, gain, loss = kept[:5] if kept else (0, 0.0, 0.0, 0.0, 0.0)
+        emas = list(kept[5:]) if kept else [0.0] * len(self.spans)
         mix = lambda old, new, span: old + (new - old) * 2.0 / (span + 1)
         out = []
-        for bar in bars.itertuples(index=False):
-            at = _micros(bar.ts)
-            if at <= last:
-                continue
-            tr = bar.high - bar.low
+        for at, _, high, low, close in bars:
+            tr = high - low
             if seen:
-                tr = max(tr, abs(bar.high - prev), abs(bar.low - prev))
-                up, down = max(bar.close - prev, 0.0), max(prev - bar.close, 0.0)
+                tr = max(tr, abs(high - prev), abs(low - prev))
+                up, down = max(close - prev, 0.0), max(prev - close, 0.0)
                 gain, loss = (up, down) if seen == 1 else (mix(gain, up, self.n), mix(loss, down, self.n))
             atr = mix(atr, tr, self.n) if seen else tr
-            emas = [mix(e, bar.close, s) if seen else bar.close for e, s in zip(emas, self.spans)]
+            emas = [mix(e, close, s) if seen else close for e, s in zip(emas, self.spans)]
             rsi = 100 - 100 / (1 + gain / loss) if seen and loss else None
-            last, seen, prev = at, seen + 1, bar.close
-            out.append((*key, bar.ts, bar.close, atr, rsi, *emas))
-        self.state.update((last, seen, prev, atr, gain, loss, *emas))
+            seen, prev = seen + 1, close
+            out.append((*key, at, close, atr, rsi, *emas))
+        self.state.update((seen, prev, atr, gain, loss, *emas))
         columns = ["symbol", "tf", "ts", "close", "atr", "rsi", *[f"ema_{s}" for s in self.spans]]
-        yield pd.DataFrame(out, columns=columns).astype({"rsi": "float64"})
+        frame = pd.DataFrame(out, columns=columns).astype({"rsi": "float64"})
+        frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+        return frame
 
-    def close(self) -> None:
-        pass
 
-
-def indicators(bars: DataFrame, spans: tuple[int, ...] = EMA_SPANS, n: int = 14) -> DataFrame:
+def indicators(bars: DataFrame, spans: tuple[int, ...] = EMA_SPANS, n: int = 14, delay: str = "10 minutes") -> DataFrame:
     """Bar stream with atr, rsi and EMAs by the same recurrence as the batch operators."""
     use_rocksdb(bars.sparkSession)
     schema = "symbol string, tf string, ts timestamp, close double, atr double, rsi double, " + ", ".join(f"ema_{s} double" for s in spans)
-    return bars.groupBy("symbol", "tf").transformWithStateInPandas(Indicators(spans, n), schema, "Append", "None")
+    return _timed(bars, delay).transformWithStateInPandas(Indicators(spans, n), schema, "Append", "EventTime")
 
 
 # --- false breakout --------------------------------------------------------------------------
 
-class Traps(StatefulProcessor):
+class Traps(InOrder):
     """Keeps the last lookback + 3 bars and tests the one two bars back."""
 
     def __init__(self, lookback: int):
         self.keep = lookback + 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.bars = handle.getListState("bars", "at long, open double, high double, low double, close double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def use(self, key, bars: list[tuple]) -> pd.DataFrame:
         held = [tuple(r) for r in self.bars.get()] if self.bars.exists() else []
         out = []
-        for bar in _rows(rows, ["ts"]).itertuples(index=False):
-            at = _micros(bar.ts)
-            if held and at <= held[-1][0]:
-                continue
-            held = [*held, (at, bar.open, bar.high, bar.low, bar.close)][-self.keep:]
+        for bar in bars:
+            held = [*held, bar][-self.keep:]
             if len(held) < self.keep:
                 continue
             past, broke, entry = held[:-3], held[-3], held[-2][1]
             top, bottom, close = max(b[2] for b in past), min(b[3] for b in past), held[-1][4]
             if broke[3] < bottom < close:
-                out.append((*key, broke[0], at, 1, entry))
+                out.append((*key, broke[0], bar[0], 1, entry))
             elif broke[2] > top > close:
-                out.append((*key, broke[0], at, -1, entry))
+                out.append((*key, broke[0], bar[0], -1, entry))
         self.bars.put(held)
         found = pd.DataFrame(out, columns=["symbol", "tf", "ts", "available_ts", "signal", "entry"])
         for c in ("ts", "available_ts"):
             found[c] = pd.to_datetime(found[c], unit="us")
-        yield found.astype({"signal": "int32", "entry": "float64"})
-
-    def close(self) -> None:
-        pass
+        return found.astype({"signal": "int32", "entry": "float64"})
 
 
-def false_breakouts(bars: DataFrame, lookback: int = 10) -> DataFrame:
-    """Traps of a bar stream, emitted when the bar that completes them arrives."""
+def false_breakouts(bars: DataFrame, lookback: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """Traps of a bar stream, emitted when the bar that completes them is due."""
     use_rocksdb(bars.sparkSession)
     schema = "symbol string, tf string, ts timestamp, available_ts timestamp, signal int, entry double"
-    return bars.groupBy("symbol", "tf").transformWithStateInPandas(Traps(lookback), schema, "Append", "None")
+    return _timed(bars, delay).transformWithStateInPandas(Traps(lookback), schema, "Append", "EventTime")
 
 
 # --- trades ----------------------------------------------------------------------------------
