@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import html_text, lattice, licences, minhash, mixing, pieces, privacy, secrets, toxicity
+from tickweave.llm import bitplanes, codes, html_text, lattice, licences, minhash, mixing, pieces, prefix_trie, privacy, secrets, toxicity
 from tickweave.llm import quality as rules
 from tickweave.llm.common import ROW, table
+from tickweave.session import shared_folder
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,72 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("term_spans").cast("long").alias("n_term"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_toxicity, op4_secret_scan, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector, its squared distance, inertia and digest of the centroid."""
+    return bitplanes.with_inertia(*bitplanes.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's token ids, read back from the files written."""
+    folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    codes.write(table(spark, sf_dir, "documents"), folder)
+    return codes.read(spark, folder)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _clusters_sql() -> str:
+    """Each round as two common table expressions: the assignment and the moved centroids."""
+    steps = ["""
+        q AS (
+            SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS INTEGER) AS cluster, v AS c FROM q QUALIFY cluster < 16)"""]
+    for k in range(bitplanes.ROUNDS + 1):
+        steps.append(f"""
+        far{k} AS (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM q, c{k}),
+        a{k} AS (SELECT vec_id, v, cluster, CAST(d AS BIGINT) AS distance FROM far{k} QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, cluster) = 1)""")
+        if k < bitplanes.ROUNDS:
+            steps.append(f"""
+        u{k} AS (SELECT cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{k}),
+        s{k} AS (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM u{k} GROUP BY ALL),
+        m{k} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY cluster),
+        c{k + 1} AS (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (cluster))""")
+    last = bitplanes.ROUNDS
+    return "WITH" + ",".join(steps) + f"""
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{last} JOIN c{last} USING (cluster)"""
+
+
+_CLUSTERS = _clusters_sql()
+_TRIE = """
+    WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    crc AS (
+        SELECT conv_id, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: CAST(k AS BIGINT))), lambda u, w: xor(u >> 1, 3988292384 * (u & 1))))) % 6 AS BIGINT) AS h
+        FROM ids),
+    own AS (
+        SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS t
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    re AS (
+        SELECT o.conv_id, list_concat(coalesce(s.t[1:c.h], o.t[1:0]), o.t[c.h + 1:]) AS t FROM own o JOIN crc c USING (conv_id) LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 100),
+    p AS (SELECT conv_id, d AS depth, t[1:d] AS prefix, len(t) AS n, CASE WHEN d = 0 THEN 0 ELSE length(t[d].text) END AS chars FROM re, unnest(range(0, len(t) + 1)) AS r(d)),
+    g AS (
+        SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS childless, any_value(chars) AS chars,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+        FROM p GROUP BY depth, prefix),
+    below AS (
+        SELECT p.prefix AS prefix, p.depth AS depth, count(*) FILTER (g.childless) AS n_leaves, sum((g.n_convs - 1) * g.chars) AS saved, count(*) FILTER (g.depth = p.depth + 1) AS n_children
+        FROM g JOIN p ON p.conv_id = g.conv_id AND p.depth <= g.depth GROUP BY ALL)
+    SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs, CAST(b.n_children AS BIGINT) AS n_children,
+        CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, g.ends_sha256
+    FROM g JOIN below b ON b.depth = g.depth AND b.prefix = g.prefix LEFT JOIN g up ON up.depth = g.depth - 1 AND up.prefix = g.prefix[1:g.depth - 1]"""
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_toxicity, op4_secret_scan, op5_mix_sources, op6_html_text, op7_sentencepiece, op8_near_duplicate_vectors, op9_quality_rules, op10_personal_data, op11_centroid_clusters, op12_token_files, op13_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": """
         WITH RECURSIVE d AS (
@@ -108,4 +176,6 @@ ORACLES: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
         FROM e JOIN low l ON l.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op11_centroid_clusters": _CLUSTERS,
+    "op13_prefix_trie": _TRIE,
 }
