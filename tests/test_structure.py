@@ -32,14 +32,14 @@ def test_swings_match_a_loop(spark, rows):
     assert got == sorted(brute_swings(pdf))
 
 
-@pytest.mark.parametrize("fan", [4, 256])
-def test_first_crossing_matches_a_loop(spark, fan):
+@pytest.mark.parametrize("rows, fan", [(7, 3), (16, 256), (4096, 256)])
+def test_first_crossing_matches_a_loop(spark, rows, fan):
     pdf = random_bars(300, 5)
     close = pdf["close"].to_numpy()
     ev = pdf[["symbol", "tf", "ix"]].assign(up=close + 3, down=close - 4)
     ev.loc[ev["ix"] % 3 == 0, "down"] = np.nan
     events = spark.createDataFrame(ev).withColumn("down", F.when(~F.isnan("down"), F.col("down")))
-    got = dict(rows_of(first_cross(events, spark.createDataFrame(pdf), fan=fan, levels=2).select("ix", "cross_ix"), "ix", "cross_ix"))
+    got = dict(rows_of(first_cross(events, spark.createDataFrame(pdf), rows=rows, fan=fan).select("ix", "cross_ix"), "ix", "cross_ix"))
     for i in range(300):
         hits = [j for j in range(i + 1, 300) if close[j] > close[i] + 3 or (i % 3 and close[j] < close[i] - 4)]
         assert got[i] == (hits[0] if hits else None)

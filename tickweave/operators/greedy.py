@@ -2,8 +2,9 @@
 
 Whether a candidate is taken depends on all earlier ones, but only through one number: the bar until
 which the account is busy. A block of candidates therefore acts on that number as a step function.
-Blocks compute their functions independently, one short pass per series applies them in order, and
-each block then replays from the number it was entered with.
+Blocks compute their functions independently, functions of neighbouring blocks are composed in a tree
+(``scan``), and each block then replays from the number it was entered with. Neighbouring steps with one
+result are one step, so composed functions stay short unless trades hardly ever end on a common bar.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.operators import scan
 from tickweave.operators.frames import BLOCK_ROWS
 
 NEVER = 2**62
@@ -30,8 +32,29 @@ def _block_steps(ix: np.ndarray, busy: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for i in range(n - 1, -1, -1):
         if nxt[i] < n:
             out[i] = out[nxt[i]]
+    return _runs(ix, out)
+
+
+def _runs(upper: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last_of_run = np.append(out[1:] != out[:-1], True)
-    return ix[last_of_run], out[last_of_run]
+    return upper[last_of_run], out[last_of_run]
+
+
+def _after(busy: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Busy until, after a block with these steps (upper, out)."""
+    k = np.searchsorted(steps[:, 0], busy, side="right")
+    return np.where(k < len(steps), np.append(steps[:, 1], 0.0)[k], busy)
+
+
+def _composed(first: bytes, second: bytes) -> bytes:
+    """Step function of a block followed by a later one."""
+    a, b = scan.from_bytes(first, 2), scan.from_bytes(second, 2)
+    upper, out = np.r_[a[:, 0], b[:, 0]], np.r_[_after(a[:, 1], b), b[:, 1]]
+    return scan.to_bytes(np.stack(_runs(upper, out), axis=1))
+
+
+def _moved(busy: bytes, steps: bytes) -> bytes:
+    return scan.to_bytes(_after(scan.from_bytes(busy, 1)[0], scan.from_bytes(steps, 2)))
 
 
 def _replay(ix: np.ndarray, busy: np.ndarray, entered: int) -> np.ndarray:
@@ -45,7 +68,7 @@ def _replay(ix: np.ndarray, busy: np.ndarray, entered: int) -> np.ndarray:
 
 def non_overlapping(
     trades: DataFrame, keys: Sequence[str], ix: str = "ix", exit_ix: str = "exit_ix",
-    tie: Sequence[str] = (), rows: int = BLOCK_ROWS,
+    tie: Sequence[str] = (), rows: int = BLOCK_ROWS, fan: int = scan.FAN,
 ) -> DataFrame:
     """Trades taken when the next may start only after the bar on which the last one ended.
 
@@ -58,33 +81,22 @@ def non_overlapping(
     )
     key_fields = [f for f in blocked.schema.fields if f.name in keys]
     long = T.LongType()
-    step_schema = T.StructType([*key_fields, *[T.StructField(c, long) for c in ("_blk", "_upper", "_out")]])
-    entry_schema = T.StructType([*key_fields, T.StructField("_blk", long), T.StructField("_entered", long)])
+    step_schema = T.StructType([*key_fields, T.StructField("_blk", long), T.StructField("_effect", T.BinaryType())])
 
     def steps(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values([ix, *tie])
-        upper, out = _block_steps(block[ix].to_numpy(), block["_busy"].to_numpy())
-        head = {c: block[c].iloc[0] for c in (*keys, "_blk")}
-        return pd.DataFrame({"_upper": upper, "_out": out}).assign(**head)[step_schema.names]
-
-    def chain(series: pd.DataFrame) -> pd.DataFrame:
-        entered, rows_out = FREE, []
-        for blk, part in series.sort_values(["_blk", "_upper"]).groupby("_blk", sort=True):
-            rows_out.append((blk, entered))
-            later = part["_upper"].to_numpy() > entered
-            if later.any():
-                entered = int(part["_out"].to_numpy()[later.argmax()])
-        head = {c: series[c].iloc[0] for c in keys}
-        return pd.DataFrame(rows_out, columns=["_blk", "_entered"]).assign(**head)[entry_schema.names]
+        found = _block_steps(block[ix].to_numpy(), block["_busy"].to_numpy())
+        return block.iloc[:1].assign(_effect=[scan.to_bytes(np.stack(found, axis=1))])[step_schema.names]
 
     slim = blocked.select(*keys, "_blk", ix, "_busy", *[c for c in tie if c not in keys])
-    entered = slim.groupBy(*keys, "_blk").applyInPandas(steps, step_schema).groupBy(*keys).applyInPandas(chain, entry_schema)
+    effects = slim.groupBy(*keys, "_blk").applyInPandas(steps, step_schema)
+    entered = scan.entered(effects, keys, _composed, _moved, scan.to_bytes(np.array([FREE])), fan)
     joined = slim.join(entered, [*keys, "_blk"])
     taken_schema = T.StructType([*key_fields, *[f for f in slim.schema.fields if f.name in (ix, *tie) and f.name not in keys]])
 
     def select(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values([ix, *tie])
-        keep = _replay(block[ix].to_numpy(), block["_busy"].to_numpy(), int(block["_entered"].iloc[0]))
+        keep = _replay(block[ix].to_numpy(), block["_busy"].to_numpy(), int(scan.from_bytes(block["_state"].iloc[0], 1)[0, 0]))
         return block.loc[keep, taken_schema.names]
 
     taken = joined.groupBy(*keys, "_blk").applyInPandas(select, taken_schema)

@@ -7,14 +7,17 @@ same on any engine, at any size and on every retry. Samples, orders and removals
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.functions.numbers import ratio
 from tickweave.operators import stats
-from tickweave.operators.frames import BLOCK_ROWS, dense_index
+from tickweave.operators.frames import dense_index
 
 
 # --- grids and folds -------------------------------------------------------------------------
@@ -69,56 +72,128 @@ def spread_stress(
 
 #: Random numbers are residues of this prime (fixed value), so that products fit 64 bits and any engine gets the same ones.
 PRIME = 2147483647
+#: Trades of a block and of a piece of a random order; random numbers a task holds; ranges of replicates at least.
+RESAMPLED_ROWS, NUMBERS, SPREAD = 1 << 18, 1 << 22, 32
 #: Numbers below these give 0, 1, ... 7 occurrences of a trade in a sample (Poisson with mean 1), the rest 8.
 OCCURRENCES = tuple(int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8))
 
 
-def trade_key(seed: int, by: Sequence[str], order: Sequence[str]) -> Column:
-    """A number in [1, PRIME) for each trade from the md5 of its seed, group and order columns as text."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*by, *order]])
+def trade_key(seed: int, by: Sequence[str], order: Sequence[str], no: str) -> Column:
+    """A number in [1, PRIME) for each trade from the md5 of its seed, group, order columns and number among equals as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*by, *order, no]])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % (PRIME - 1) + 1
 
 
-def draw_number(key: Column, rep: Column) -> Column:
-    """A number in [0, PRIME) for a trade and a replicate: products and squares of both, so that no two replicates order
-    the trades alike and no two trades move together."""
-    p = F.lit(PRIME)
-    b = (rep + 1) * 48271 % p
-    b = (b * b + rep + 1) % p
-    x = key * b % p
-    y = (x * x + key) % p
-    return (y * y + b) % p
+def draw_numbers(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Numbers in [0, PRIME) for replicates (rows) and trades (columns): products and squares of both, so that no two
+    replicates order the trades alike and no two trades move together."""
+    b = (rep + 1) * 48271 % PRIME
+    b = ((b * b + rep + 1) % PRIME)[:, None]
+    x = key * b % PRIME
+    y = (x * x + key) % PRIME
+    return (y * y + b) % PRIME
 
 
-def _drawn(trades: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, sims: int, seed: int, least: int) -> DataFrame:
-    """One row for each valued trade and replicate of the sets of at least ``least`` trades: _x, _n, _rep and _z."""
+def _packed(trades: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, seed: int, least: int, rows: int) -> DataFrame:
+    """Valued trades of the sets of at least ``least``, as arrays in blocks of about ``rows``: (by, _n, _x, _key, _tie).
+
+    ``_tie`` orders trades whose numbers are equal: the order columns, then the value.
+    """
     vals = trades.withColumn("_x", value).filter(F.col("_x").isNotNull())
     sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    keyed = vals.join(sizes, list(by)).select(*by, *[c for c in order if c not in by], "_x", "_n", trade_key(seed, by, order).alias("_key"))
-    reps = keyed.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    return reps.withColumn("_z", draw_number(F.col("_key"), F.col("_rep"))).drop("_key")
-
-
-def _piece(rows: int) -> Column:
-    """Ranges of the random number: consecutive pieces of a random order, each of about ``rows`` trades."""
-    return F.floor(F.col("_z") / F.lit(float(PRIME)) * F.ceil(F.col("_n") / rows))
+    types = {f.name: f.dataType for f in trades.schema.fields}
+    place = [F.unix_micros(c) if isinstance(types[c], T.TimestampType) else F.col(c).cast("long") for c in order]
+    vals = vals.withColumn("_no", F.row_number().over(Window.partitionBy(*dict.fromkeys([*by, *order])).orderBy("_x")))
+    vals = vals.join(sizes, list(by)).withColumn("_key", trade_key(seed, by, order, "_no"))
+    vals = vals.withColumn("_blk", F.pmod(F.xxhash64("_key", *order, "_no"), F.ceil(F.col("_n") / rows)))
+    item = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(place)], F.col("_no").cast("long").alias("_no"), "_key", "_x")
+    packed = vals.groupBy(*by, "_n", "_blk").agg(F.sort_array(F.collect_list(item)).alias("_t"))  # about ``rows`` trades
+    tie = F.array(*[F.col(f"_t.{c}") for c in (*[f"_o{k}" for k in range(len(place))], "_no")])
+    return packed.select(*by, "_n", "_blk", F.col("_t._x").alias("_x"), F.col("_t._key").alias("_key"), tie.alias("_tie"))
+
+
+def _ranges(packed: DataFrame, sims: int, rows: int) -> DataFrame:
+    """Blocks given to each range of replicates (_from, _to), so long that a range's numbers are a few million."""
+    span = F.least(F.lit(-(-sims // SPREAD)), F.greatest(F.lit(1), F.floor(F.lit(NUMBERS) / F.least(F.col("_n"), F.lit(rows))))).cast("long")
+    firsts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"), F.col("_span")))
+    return packed.withColumn("_span", span).withColumn("_from", firsts).withColumn("_to", F.least(F.col("_from") + F.col("_span"), F.lit(sims))).drop("_span")
+
+
+def _ordered(part: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Values of one replicate's piece in the order of their numbers."""
+    z, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
+    at = np.argsort(z, kind="stable")
+    if len(z) > 1 and (np.diff(z[at]) == 0).any():
+        at = np.lexsort((*np.concatenate([p[2] for p in part], axis=1)[::-1], z))
+    return x[at]
+
+
+def _in_order(packed: DataFrame, by: Sequence[str], sims: int, rows: int, reduce: Callable[[np.ndarray, int, int], tuple], out: str) -> DataFrame:
+    """``reduce(values in order, trades before, trades in all)`` for each replicate and piece of its order: (by, _rep, _s, out).
+
+    A piece is a range of the random number that holds about ``rows`` trades. A task takes a range of replicates and a piece,
+    reads the set's blocks as they stream, draws their numbers itself and keeps those of its piece; so trades are sent, not
+    numbers, and a task's memory depends on neither the set's size nor the replicates.
+    """
+    by, part = list(by), [*by, "_from", "_piece"]
+    pieces = F.ceil(F.col("_n") / rows)
+    dealt = _ranges(packed, sims, rows).withColumn("_pieces", pieces).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+    dealt = dealt.repartition(*part).sortWithinPartitions(*part, "_blk")
+    fields = [f for f in packed.schema.fields if f.name in by]
+    schema = T.StructType([*fields, *T.StructType.fromDDL(f"_rep long, _s long, {out}").fields])
+
+    def finish(head: pd.Series, held: list[list], before: np.ndarray) -> pd.DataFrame:
+        rows_out = [(r, head["_piece"], *reduce(_ordered(kept), int(n), int(head["_n"]))) for r, kept, n in zip(range(head["_from"], head["_to"]), held, before) if kept]
+        return pd.DataFrame(rows_out, columns=schema.names[len(by):]).assign(**{c: head[c] for c in by})[schema.names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, head, held, before = None, None, [], np.empty(0)
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                this = tuple(row[c] for c in part)
+                if this != last:
+                    if last is not None:
+                        yield finish(head, held, before)
+                    last, head, held = this, row.drop(["_x", "_key", "_tie"]), [[] for _ in range(row["_from"], row["_to"])]
+                    before = np.zeros(len(held), np.int64)
+                x, tie = np.asarray(row["_x"], np.float64), np.stack(list(row["_tie"]))
+                numbers = draw_numbers(np.asarray(row["_key"], np.int64), np.arange(row["_from"], row["_to"]))
+                piece = np.floor(numbers / float(PRIME) * row["_pieces"])
+                before += (piece < row["_piece"]).sum(axis=1)
+                for kept, z, mine in zip(held, numbers, piece == row["_piece"]):
+                    if mine.any():
+                        kept.append((z[mine], x[mine], tie[:, mine]))
+        if last is not None:
+            yield finish(head, held, before)
+
+    return dealt.mapInPandas(run, schema)
 
 
 def bootstrap(
     trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", sims: int = 10000, seed: int = 42, min_trades: int = 10,
+    rows: int = RESAMPLED_ROWS,
 ) -> DataFrame:
-    """Profit factor, mean and win rate over samples drawn with replacement; no losses counts as 10.
+    """Profit factor, mean and win rate over samples drawn with replacement; no losses counts as 10, empty samples are left out.
 
-    Each trade occurs in each sample a Poisson(1) number of times, drawn from its own numbers, so samples are summed where
-    the trades lie and only sums are shuffled. A sample's size therefore varies about the set's.
+    Each trade occurs in each sample a Poisson(1) number of times, drawn from its own numbers, so the sums of a range of
+    samples over a block of trades are one product of matrices and only sums are shuffled. A sample's size varies about the set's.
     """
     by = list(by)
-    drawn = _drawn(trades, by, order, F.col(pnl), sims, seed, min_trades)
-    w, x = sum(((F.col("_z") >= t).cast("double") for t in OCCURRENCES), F.lit(0.0)), F.col("_x")
-    reps = drawn.withColumn("_w", w).groupBy(*by, "_rep").agg(
-        F.sum(F.col("_w") * F.when(x > 0, x).otherwise(0.0)).alias("_win"), F.sum(F.col("_w") * F.when(x < 0, -x).otherwise(0.0)).alias("_loss"),
-        F.sum(F.col("_w") * x).alias("_sum"), F.sum(F.col("_w") * (x > 0).cast("double")).alias("_wins"), F.sum("_w").alias("_size"),
-    )
+    blocks = _ranges(_packed(trades, by, order, F.col(pnl), seed, min_trades, rows), sims, rows).drop("_tie")
+    fields = [f for f in blocks.schema.fields if f.name in by]
+    schema = T.StructType([*fields, *T.StructType.fromDDL("_rep long, _win double, _loss double, _sum double, _wins double, _size double").fields])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                x, rep = np.asarray(row["_x"], np.float64), np.arange(row["_from"], row["_to"])
+                weight = np.searchsorted(OCCURRENCES, draw_numbers(np.asarray(row["_key"], np.int64), rep), side="right").astype(np.float64)
+                of = weight @ np.stack([np.maximum(x, 0), np.maximum(-x, 0), x, x > 0, np.ones(len(x))], axis=1)
+                out = pd.DataFrame(of, columns=schema.names[-5:]).assign(_rep=rep, **{c: row[c] for c in by})
+                yield out[schema.names]
+
+    parts = blocks.repartition(*by, "_blk", "_from").mapInPandas(sums, schema)
+    reps = parts.groupBy(*by, "_rep").agg(*[F.sum(c).alias(c) for c in schema.names[-5:]]).filter(F.col("_size") > 0)
     reps = reps.withColumns({
         "pf": F.when(F.col("_loss") > 0, F.try_divide(F.col("_win"), F.col("_loss"))).otherwise(10.0),
         "avg_r": F.try_divide(F.col("_sum"), F.col("_size")), "wr": F.try_divide(F.col("_wins"), F.col("_size")),
@@ -136,22 +211,23 @@ def bootstrap(
 
 def trade_removal(
     trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", shares: Sequence[float] = (0.1, 0.2, 0.3),
-    sims: int = 1000, seed: int = 42, rows: int = BLOCK_ROWS,
+    sims: int = 1000, seed: int = 42, rows: int = RESAMPLED_ROWS,
 ) -> DataFrame:
     """Profit factor after removing a share of the winners at random (at least one), per share: those with the smallest
-    numbers of the replicate. Ranks are counts of earlier pieces plus the place in the own one."""
+    numbers of the replicate. A piece knows how many trades come before it, so each adds its own part of the sum."""
     by = list(by)
     v = F.col(pnl)
-    drawn = _drawn(trades, by, order, F.when(v > 0, v), sims, seed, 1).withColumn("_piece", _piece(rows))
-    part = [*by, "_rep"]
-    counts = drawn.groupBy(*part, "_piece").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*part).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("_c")
-    place = F.row_number().over(Window.partitionBy(*part, "_piece").orderBy("_z", *order))
-    ranked = drawn.withColumn("_place", place).join(counts, [*part, "_piece"]).withColumn("_rank", F.col("_place") + F.col("_before"))
-    ranked = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+
+    def gone(x: np.ndarray, before: int, n: int) -> tuple:
+        most = [max(1, math.floor(n * share)) for share in shares]
+        return ([float(x[: max(0, k - before)].sum()) for k in most],)
+
+    packed = _packed(trades, by, order, F.when(v > 0, v), seed, 1, rows)
+    parts = _in_order(packed, by, sims, rows, gone, "_gone array<double>")
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("share"))).cast("long")
-    per_rep = ranked.groupBy(*by, "share", "_rep").agg(F.sum(F.when(F.col("_rank") <= k, F.col("_x"))).alias("_gone"), F.max(k).alias("n_removed"))
+    per_rep = parts.select(*by, "_rep", F.posexplode("_gone").alias("_k", "_gone")).withColumn("share", F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_k")))
+    winners = trades.filter(v > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    per_rep = per_rep.groupBy(*by, "share", "_rep").agg(F.sum("_gone").alias("_gone")).join(winners, by).withColumn("n_removed", k)
     totals = trades.groupBy(*by).agg(F.sum(F.when(v > 0, v).otherwise(0.0)).alias("_w"), F.sum(F.when(v < 0, -v).otherwise(0.0)).alias("_l"))
     pf = F.when(F.col("_l") > 0, F.try_divide(F.col("_w") - F.col("_gone"), F.col("_l"))).otherwise(0.0)
     return per_rep.join(totals, by).withColumn("pf", pf).groupBy(*by, "share").agg(
@@ -162,7 +238,7 @@ def trade_removal(
 
 def permutation_drawdown(
     trades: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str = "net_pnl_r", sims: int = 10000,
-    start: float = 1000.0, risk_pct: float = 1.0, seed: int = 42, rows: int = BLOCK_ROWS, min_trades: int = 10,
+    start: float = 1000.0, risk_pct: float = 1.0, seed: int = 42, rows: int = RESAMPLED_ROWS, min_trades: int = 10,
 ) -> DataFrame:
     """Drawdown, ruin and final balance of a compounding account over random orders of the trades.
 
@@ -170,8 +246,15 @@ def permutation_drawdown(
     on its own and then combined, whatever the set's size.
     """
     by = list(by)
-    reps = _drawn(trades, by, order, F.col(pnl), sims, seed, min_trades).withColumn("_piece", _piece(rows))
-    parts = stats._drawdown_parts(reps, [*by, "_rep"], stats.log_growth(F.col("_x"), risk_pct), ["_z", *order], F.col("_piece"), {})
+
+    def fall(x: np.ndarray, before: int, n: int) -> tuple:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cum = np.cumsum(np.log(np.maximum(1 + x * (risk_pct / 100.0), 0.0)))
+            drop = np.maximum.accumulate(cum) - cum
+        return float(cum[-1]), float(cum.max()), float(cum.min()), float(np.fmax.reduce(drop, initial=0.0))
+
+    packed = _packed(trades, by, order, F.col(pnl), seed, min_trades, rows)
+    parts = _in_order(packed, by, sims, rows, fall, "_sum double, _hi double, _lo double, _dd double")
     parts = stats._join_drawdown(parts, [*by, "_rep"], start=0.0)
     reps = parts.groupBy(*by, "_rep").agg(F.sum("_sum").alias("_g"), F.max("_drop").alias("_d")).select(
         *by, "_rep", F.exp("_g").alias("final"), ((1 - F.exp(-F.col("_d"))) * 100).alias("dd"), (F.col("_g") == float("-inf")).cast("double").alias("ruin"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import calendar as cal
 from tickweave.functions.candles import confirmation
 from tickweave.operators import indicators as ind
-from tickweave.operators import regime, risk, rules, scoring, signals, structure, zones
+from tickweave.operators import open_zones, regime, risk, rules, scoring, signals, structure, zones
 from tickweave.operators.frames import KEYS, in_frames, tail_rows
 from tickweave.session import cut
 
@@ -30,19 +30,20 @@ def entry_setups(bars: DataFrame) -> DataFrame:
 
 
 def scored_history(bars: DataFrame, assess: Callable[[DataFrame], DataFrame], news_configured: bool = True) -> DataFrame:
-    """Score of every bar and direction from what is known at that bar (no order blocks or gaps)."""
+    """Score of every bar and direction from what is known at that bar, open order blocks and gaps included."""
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         return df.withColumns({"confirm_buy": confirmation(w, 1), "confirm_sell": confirmation(w, -1)})
 
+    assessed = cut(assess(bars))
+    zone = open_zones.zones_as_of(assessed.filter("direction = 'buy'")).select(*KEYS, "ix", "direction", "ob_strength", F.col("fvg_ix").isNotNull().alias("has_fvg"))
     pit = structure.point_in_time(cut(in_frames(bars, build, before=2)))
     pit = pit.withColumn("fib_confluence", zones.fib_confluence(F.col("close"), zones.swing_fib(F.col("highs"), F.col("lows"))))
     known = pit.select(
         *KEYS, "ix", "trend", "price_zone", "bos_direction", "choch_direction", "fib_confluence", "confirm_buy", "confirm_sell"
     )
-    both = assess(bars).join(known, [*KEYS, "ix"]).withColumns({
+    both = assessed.join(known, [*KEYS, "ix"]).join(zone, [*KEYS, "ix", "direction"]).withColumns({
         "confirmation": F.when(F.col("direction") == "buy", F.col("confirm_buy")).otherwise(F.col("confirm_sell")),
         "session": cal.session_of(F.col("ts")),
-        "ob_strength": F.lit(None).cast("double"), "has_fvg": F.lit(False),
     })
     return scoring.score(both, news_configured=news_configured)
 

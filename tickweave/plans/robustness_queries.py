@@ -133,28 +133,29 @@ def rb_spread_stress(spark: SparkSession, sf: str) -> DataFrame:
 def _draws(sims: int, where: str = "net_pnl_r IS NOT NULL", least: int = 10, src: str = "trades", name: str = "dz") -> str:
     """CTEs with one row for each trade and replicate and its random number z; the arithmetic of ``robustness.draw_number``."""
     p = robustness.PRIME
-    key = f"('0x' || substr(md5('42|' || symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % {p - 1} + 1"
-    return f"""{name}_t AS (SELECT symbol, ts, net_pnl_r AS x, {key} AS a, count(*) OVER (PARTITION BY symbol) AS n FROM {src} WHERE {where}),
+    key = f"('0x' || substr(md5('42|' || symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || no), 1, 8))::BIGINT % {p - 1} + 1"
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY net_pnl_r) AS no FROM {src} WHERE {where}),
+{name}_t AS (SELECT symbol, ts, no, net_pnl_r AS x, {key} AS a, count(*) OVER (PARTITION BY symbol) AS n FROM {name}_o),
 {name}_r AS (SELECT rep, (b*b + rep + 1) % {p} AS b FROM (SELECT range AS rep, (range + 1)*48271 % {p} AS b FROM range({sims}))),
-{name}_x AS (SELECT symbol, ts, x, n, rep, a, b, (a*b % {p})*(a*b % {p}) AS xx FROM {name}_t CROSS JOIN {name}_r WHERE n >= {least}),
-{name} AS (SELECT symbol, ts, x, n, rep, (((xx + a) % {p})*((xx + a) % {p}) + b) % {p} AS z FROM {name}_x)"""
+{name}_x AS (SELECT symbol, ts, no, x, n, rep, a, b, (a*b % {p})*(a*b % {p}) AS xx FROM {name}_t CROSS JOIN {name}_r WHERE n >= {least}),
+{name} AS (SELECT symbol, ts, no, x, n, rep, (((xx + a) % {p})*((xx + a) % {p}) + b) % {p} AS z FROM {name}_x)"""
 
 
 _WEIGHT = " + ".join(f"CAST(z >= {t} AS INTEGER)" for t in robustness.OCCURRENCES)
 _BOOT = f"""{_draws(SIMS, name='bz')}, bw AS (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS w FROM bz),
 bs AS (SELECT symbol, rep, sum(w*greatest(x, 0.0)) AS win, sum(w*greatest(-x, 0.0)) AS loss, sum(w*x) AS total, sum(CASE WHEN x > 0 THEN w ELSE 0 END) AS wins, sum(w) AS size FROM bw GROUP BY symbol, rep),
-bp AS (SELECT symbol, CASE WHEN loss > 0 THEN win/loss ELSE 10.0 END AS pf, total/nullif(size, 0) AS avg_r, wins/nullif(size, 0) AS wr FROM bs),
+bp AS (SELECT symbol, CASE WHEN loss > 0 THEN win/loss ELSE 10.0 END AS pf, total/nullif(size, 0) AS avg_r, wins/nullif(size, 0) AS wr FROM bs WHERE size > 0),
 boot AS (SELECT symbol, count(*) AS n_simulations, avg(pf) AS pf_mean, quantile_cont(pf, 0.5) AS pf_median, quantile_cont(pf, 0.01) AS pf_p1, quantile_cont(pf, 0.05) AS pf_p5,
   quantile_cont(pf, 0.95) AS pf_p95, quantile_cont(pf, 0.99) AS pf_p99, avg(CASE WHEN pf < 1 THEN 1.0 ELSE 0.0 END)*100 AS pf_below_1_pct, avg(avg_r) AS avg_r_mean,
   quantile_cont(avg_r, 0.05) AS avg_r_p5, quantile_cont(avg_r, 0.95) AS avg_r_p95, avg(wr) AS wr_mean, quantile_cont(wr, 0.05) AS wr_p5 FROM bp GROUP BY symbol)"""
-_PERM = f"""{_draws(SIMS, name='pz')}, pc AS (SELECT symbol, rep, sum(ln(1 + x*0.01)) OVER (PARTITION BY symbol, rep ORDER BY z, ts ROWS UNBOUNDED PRECEDING) AS cum,
-  row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts) AS k, n FROM pz),
+_PERM = f"""{_draws(SIMS, name='pz')}, pc AS (SELECT symbol, rep, sum(ln(1 + x*0.01)) OVER (PARTITION BY symbol, rep ORDER BY z, ts, no ROWS UNBOUNDED PRECEDING) AS cum,
+  row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts, no) AS k, n FROM pz),
 pk AS (SELECT *, greatest(0.0, max(cum) OVER (PARTITION BY symbol, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) AS peak FROM pc),
 pd AS (SELECT symbol, rep, exp(max(CASE WHEN k = n THEN cum END))*1000.0 AS money, (1 - exp(-max(peak - cum)))*100 AS dd FROM pk GROUP BY symbol, rep),
 perm AS (SELECT symbol, count(*) AS n_simulations, 0.0 AS prob_ruin, avg(money) AS mean_final, quantile_cont(money, 0.5) AS median_final, quantile_cont(money, 0.05) AS p5_final,
   quantile_cont(money, 0.95) AS p95_final, avg(dd) AS mean_max_dd_pct, quantile_cont(dd, 0.95) AS p95_max_dd_pct, quantile_cont(dd, 0.99) AS p99_max_dd_pct,
   avg(CASE WHEN money > 1000 THEN 1.0 ELSE 0.0 END)*100 AS still_profitable_pct FROM pd GROUP BY symbol)"""
-_REMOVE = f"""{_draws(REMOVALS, 'net_pnl_r > 0', 1, name='rz')}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts) AS k FROM rz), sh(share) AS (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)),
+_REMOVE = f"""{_draws(REMOVALS, 'net_pnl_r > 0', 1, name='rz')}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY z, ts, no) AS k FROM rz), sh(share) AS (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)),
 rg AS (SELECT symbol, share, rep, max(greatest(1, CAST(floor(n*share) AS BIGINT))) AS n_removed, sum(CASE WHEN k <= greatest(1, floor(n*share)) THEN x END) AS gone FROM rk CROSS JOIN sh GROUP BY symbol, share, rep),
 rt AS (SELECT symbol, sum(greatest(net_pnl_r, 0.0)) AS w, sum(greatest(-net_pnl_r, 0.0)) AS l FROM trades GROUP BY symbol),
 rp AS (SELECT symbol, share, n_removed, CASE WHEN l > 0 THEN (w - gone)/l ELSE 0.0 END AS pf FROM rg JOIN rt USING (symbol)),

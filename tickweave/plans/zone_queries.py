@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import calendar as cal
 from tickweave.functions.candles import confirmation
 from tickweave.operators import indicators as ind
-from tickweave.operators import regime, rules, scoring, signals, structure, zones
+from tickweave.operators import open_zones, regime, rules, scoring, signals, structure, zones
 from tickweave.operators.frames import KEYS, in_frames, index_bars
 from tickweave.plans import live, sql
 from tickweave.plans.catalogue import present, query
@@ -37,6 +37,7 @@ def mixed_atr(spark: SparkSession, sf: str) -> DataFrame:
     return in_frames(mixed(spark, sf), ind.add_atr_sma, before=15)
 
 
+_BUF = "((top - bottom)*0.002 + top*0.0001)"
 _NOW = "now AS (SELECT symbol, tf, ts, ix, close, atr FROM atrs QUALIFY ix = max(ix) OVER (PARTITION BY symbol))"
 _OB = f"""ob0 AS (SELECT a.*, n.atr AS natr, n.ix AS nix, max(a.high) OVER (PARTITION BY a.symbol ORDER BY a.ix ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS up,
   min(a.low) OVER (PARTITION BY a.symbol ORDER BY a.ix ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS down,
@@ -68,6 +69,44 @@ def ez_fvg(spark: SparkSession, sf: str) -> DataFrame:
     return present(zones.fair_value_gaps(bars, structure.last_bars(bars, "atr")), "symbol", "ts", "kind", "top", "bottom", "filled")
 
 
+def _open_zones(src: str) -> str:
+    """CTEs with the open order block (oz) and gap (gz) that hold the close at each bar of ``src``, per direction."""
+    return f"""oz0 AS (SELECT t.symbol, t.ts, t.ix AS tix, t.close AS px, t.atr AS natr, i.ix, i.open, i.high, i.low, i.close, max(CASE WHEN m.ix <= i.ix + 5 THEN m.high END) AS up,
+    min(CASE WHEN m.ix <= i.ix + 5 THEN m.low END) AS down, min(m.close) AS cmin, max(m.close) AS cmax
+  FROM {src} t JOIN {src} i ON i.symbol = t.symbol AND i.ix BETWEEN t.ix - 19 AND t.ix - 1 AND i.ix >= 3 AND abs(i.close - i.open) >= t.atr*0.1
+  JOIN {src} m ON m.symbol = t.symbol AND m.ix > i.ix AND m.ix <= t.ix GROUP BY ALL),
+oz1 AS (SELECT *, CASE WHEN open > close THEN 'buy' ELSE 'sell' END AS direction, CASE WHEN open > close THEN open ELSE high END AS top, CASE WHEN open > close THEN low ELSE open END AS bottom,
+    CASE WHEN open > close THEN up - low WHEN close > open THEN high - down END AS impulse FROM oz0 WHERE CASE WHEN open > close THEN cmin >= low ELSE cmax <= high END),
+oz AS (SELECT symbol, ts, tix, direction, top, bottom, {sql.fx('least(3.0, impulse/natr)', 2)} AS strength, ix FROM oz1
+  WHERE impulse >= natr*2 AND px BETWEEN bottom - {_BUF} AND top + {_BUF} QUALIFY row_number() OVER (PARTITION BY symbol, tix, direction ORDER BY strength DESC, ix DESC) = 1),
+gz0 AS (SELECT *, lag(high, 2) OVER ({sql.W}) AS h2, lag(low, 2) OVER ({sql.W}) AS l2 FROM {src}),
+gz1 AS (SELECT symbol, ix, CASE WHEN h2 < low THEN 'buy' ELSE 'sell' END AS direction, CASE WHEN h2 < low THEN low ELSE l2 END AS top, CASE WHEN h2 < low THEN h2 ELSE high END AS bottom
+  FROM gz0 WHERE h2 < low OR l2 > high),
+gz2 AS (SELECT g.*, (SELECT min(b.ix) FROM {src} b WHERE b.symbol = g.symbol AND b.ix > g.ix AND CASE WHEN g.direction = 'buy' THEN b.low <= g.bottom ELSE b.high >= g.top END) AS death FROM gz1 g),
+gz3 AS (SELECT t.symbol, t.ts, t.ix AS tix, t.close AS px, g.direction, g.top, g.bottom, g.ix, g.death FROM {src} t JOIN gz2 g ON g.symbol = t.symbol AND g.ix <= t.ix AND g.top - g.bottom >= t.atr*0.3
+  QUALIFY row_number() OVER (PARTITION BY t.symbol, t.ix ORDER BY g.ix DESC) <= 20),
+gz AS (SELECT symbol, ts, tix, direction, top, bottom, ix FROM gz3 WHERE (death IS NULL OR death > tix) AND px BETWEEN bottom - {_BUF} AND top + {_BUF}
+  QUALIFY row_number() OVER (PARTITION BY symbol, tix, direction ORDER BY ix DESC) = 1)"""
+
+
+def open_zones_1h(spark: SparkSession, sf: str) -> DataFrame:
+    return open_zones.zones_as_of(cut(in_frames(tables.indexed(spark, sf), ind.add_atr_sma, before=15)))
+
+
+@query("ez_order_blocks_pit", f"WITH {sql.event_bars('1h')}, {sql.atr_sma()}, {_open_zones('atrs')} SELECT symbol, {sql.tx('ts')} AS ts, direction, {sql.out('~top', '~bottom', '~strength')}, ix FROM oz")
+def ez_order_blocks_pit(spark: SparkSession, sf: str) -> DataFrame:
+    """Open order block that holds the close at every bar, from what is known then."""
+    out = open_zones_1h(spark, sf).filter("ob_ix IS NOT NULL")
+    return present(out.select("symbol", "ts", "direction", F.col("ob_top").alias("top"), F.col("ob_bottom").alias("bottom"), F.col("ob_strength").alias("strength"), F.col("ob_ix").alias("ix")))
+
+
+@query("ez_fvg_pit", f"WITH {sql.event_bars('1h')}, {sql.atr_sma()}, {_open_zones('atrs')} SELECT symbol, {sql.tx('ts')} AS ts, direction, {sql.out('~top', '~bottom')}, ix FROM gz")
+def ez_fvg_pit(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest open gap that holds the close at every bar, from what is known then."""
+    out = open_zones_1h(spark, sf).filter("fvg_ix IS NOT NULL")
+    return present(out.select("symbol", "ts", "direction", F.col("fvg_top").alias("top"), F.col("fvg_bottom").alias("bottom"), F.col("fvg_ix").alias("ix")))
+
+
 _PIT = f"{SWINGS}, {BROKEN}, {as_of()}"
 _RATIOS = "(VALUES (0.5::DOUBLE), (0.618::DOUBLE), (0.786::DOUBLE)) q(ratio)"
 
@@ -100,7 +139,6 @@ def ez_price_in_zone(spark: SparkSession, sf: str) -> DataFrame:
     return present(in_frames(tables.indexed(spark, sf), build, before=1), "symbol", "ts", "inside")
 
 
-_BUF = "((top - bottom)*0.002 + top*0.0001)"
 _MATCH = f"""dirs(direction, want) AS (VALUES ('buy', 'bullish'), ('sell', 'bearish')),
 mob AS (SELECT n.symbol, d.direction, o.top, o.bottom, o.strength, o.ix FROM now n CROSS JOIN dirs d JOIN ob o ON o.symbol = n.symbol AND o.kind = d.want
   AND NOT o.mitigated AND n.close BETWEEN o.bottom - {_BUF} AND o.top + {_BUF} QUALIFY row_number() OVER (PARTITION BY n.symbol, d.direction ORDER BY strength DESC, o.ix DESC) = 1),
@@ -200,20 +238,22 @@ def sc_indicator_assess(spark: SparkSession, sf: str) -> DataFrame:
 _POINTS = f"""sc0 AS (SELECT a.symbol, a.ts, a.ix, a.direction, {sql.session('a.ts')} AS session, p.trend, p.price_zone,
   least(CASE WHEN p.trend = a.want THEN 2 ELSE 0 END + CASE WHEN p.bos_direction = a.want THEN 2 ELSE 0 END + CASE WHEN p.choch_direction = a.want THEN 1 ELSE 0 END
     + CASE WHEN p.price_zone = CASE a.direction WHEN 'buy' THEN 'discount' ELSE 'premium' END THEN 1 ELSE 0 END, 5) AS ms,
-  CASE WHEN f.fib_confluence THEN 1 ELSE 0 END + CASE WHEN CASE a.direction WHEN 'buy' THEN c.cb ELSE c.cs END <> 'none' THEN 1 ELSE 0 END AS ez,
+  least(CASE WHEN oz.strength IS NULL THEN 0 WHEN oz.strength >= 2 THEN 2 ELSE 1 END + CASE WHEN gz.ix IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN f.fib_confluence THEN 1 ELSE 0 END
+    + CASE WHEN CASE a.direction WHEN 'buy' THEN c.cb ELSE c.cs END <> 'none' THEN 1 ELSE 0 END, 4) AS ez,
   least(CASE WHEN rsi_signal = want THEN 1 ELSE 0 END + CASE WHEN rsi_divergence THEN 1 ELSE 0 END + CASE WHEN ema_bias = want THEN 1 ELSE 0 END
     + CASE WHEN volume_elevated THEN 1 ELSE 0 END, 3) AS ip
-  FROM asx a JOIN pit p ON p.symbol = a.symbol AND p.ix = a.ix JOIN f ON f.symbol = a.symbol AND f.ix = a.ix JOIN cc c ON c.symbol = a.symbol AND c.ix = a.ix),
+  FROM asx a JOIN pit p ON p.symbol = a.symbol AND p.ix = a.ix JOIN f ON f.symbol = a.symbol AND f.ix = a.ix JOIN cc c ON c.symbol = a.symbol AND c.ix = a.ix
+  LEFT JOIN oz ON oz.symbol = a.symbol AND oz.tix = a.ix AND oz.direction = a.direction LEFT JOIN gz ON gz.symbol = a.symbol AND gz.tix = a.ix AND gz.direction = a.direction),
 sc1 AS (SELECT *, CASE session WHEN 'overlap' THEN 3 WHEN 'london' THEN 2 WHEN 'new_york' THEN 2 WHEN 'asia' THEN 1 ELSE 0 END AS st FROM sc0),
 sc AS (SELECT *, ms + ez + ip + st + 2 AS total FROM sc1)"""
 
 
-@query("sc_score", f"""WITH {sql.event_bars('1h')}, {_LIVE}, {_ASSESS}, {_PIT}, f AS ({_FIB_HIT}), cc AS (SELECT symbol, ix, {_confirm(1)} AS cb, {_confirm(-1)} AS cs FROM bars), {_POINTS}
+@query("sc_score", f"""WITH {sql.event_bars('1h')}, {_LIVE}, {_ASSESS}, {_open_zones('lc')}, {_PIT}, f AS ({_FIB_HIT}), cc AS (SELECT symbol, ix, {_confirm(1)} AS cb, {_confirm(-1)} AS cs FROM bars), {_POINTS}
 SELECT symbol, {sql.tx('ts')} AS ts, direction, ms AS pts_market_structure, ez AS pts_entry_zone, ip AS pts_indicators, st AS pts_session_timing, total,
   {sql.fx('total/20*100', 1)} AS confidence_pct, CAST(total >= 11 AND total/20*100 >= 55 AS INTEGER) AS passed,
   CASE WHEN total >= 11 THEN '' ELSE 'Score ' || total || '/20 below threshold (11)' END AS reject_reason FROM sc""")
 def sc_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Every bar and direction scored from structure, retracements, candles and indicators known by then."""
+    """Every bar and direction scored from structure, open zones, retracements, candles and indicators known by then."""
     out = live.scored_history(tables.indexed(spark, sf), assessed)
     return present(
         out, "symbol", "ts", "direction", "pts_market_structure", "pts_entry_zone", "pts_indicators", "pts_session_timing",
