@@ -19,8 +19,9 @@ Writing: documents are ranged by doc_id, sorted, encoded and cut into segments a
 Spark's text sink writes the raw bytes of one row a file, through its commit protocol and to any file system it knows, so a
 lost executor leaves no half-written file. Reading: Spark's binaryFile source.
 
-Encoding uses the tokenizers library. Its own word boundaries let the answers for a text's words be kept and joined; texts
-with characters beyond U+024F go to the library whole. Text that looks like a special token is ordinary text.
+Encoding uses the tokenizers library. A text is cut into words where the library cuts it, each word is asked of the library's
+model once and its ids are kept and joined; texts with characters beyond U+024F go to the library whole. Text that looks like
+a special token is ordinary text.
 
 Defined results: null text is empty and has the end id alone; a null doc_id comes first; rows with one doc_id stay separate,
 ordered by a hash of the text; an empty table gives no rows and no files. Columns other than doc_id and text are not read.
@@ -29,7 +30,9 @@ ordered by a hash of the text; an empty table gives no rows and no files. Column
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -42,44 +45,71 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tickweave.llm.common import whole_text
+from tickweave.session import cut
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 MAGIC = b"TWDAC01\0"
 #: Ids after which a segment takes no further document.
-SEGMENT_TOKENS = 1 << 22
-#: Words whose ids a worker keeps; when they are too many it starts anew.
-KEPT_WORDS = 500_000
-#: Characters encoded at a time.
-BATCH_CHARS = 4_000_000
+SEGMENT_TOKENS = 1 << 21
+#: Words whose ids a worker keeps, in two generations: those of the younger one and, of the older one, those met again.
+KEPT_WORDS = 600_000
 BLOCK = 512
 
 #: Letters, digits and white space up to U+024F as the tokenizer's word pattern takes them.
-LETTERS, DIGITS, WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\x0b\\x0c\\x85 "
+LETTERS, DIGITS, WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\x0b\\x0c\\x85\\xa0"
 WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{WHITE}{LETTERS}{DIGITS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 FAR = re.compile("[^\\x00-\\x1b\\x20-ɏ]")
 
 
+def _shown() -> dict[int, str]:
+    """Byte-level models read a byte as the character of its number where that is printable, and the others, in order, as
+    characters from U+0100 on."""
+    plain = {b for a, z in ((33, 126), (161, 172), (174, 255)) for b in range(a, z + 1)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+SHOWN = _shown()
+
+
+class _Words(dict):
+    """Ids of words as bytes, asked of a model when first met; one of the older generation joins the younger when met again."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if (raw := self.older.get(word)) is None:
+            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(SHOWN))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            raw = ids.tobytes()
+        self[word] = raw
+        return raw
+
+    def grown(self, most: int) -> None:
+        if len(self) > most // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes."""
 
     def __init__(self, model: str = MODEL, kept: int = KEPT_WORDS):
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.kept = kept
+        self.words, self.kept = _Words(self.tokenizer.model), kept
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if FAR.search(t) else WORDS.findall(t) for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {}
-        new = list({w for row in words if row for w in row if w not in self.known})
-        self.known.update(zip(new, self._plain(new)))
-        far = iter(self._plain([t for t, row in zip(texts, words) if row is None]))
-        return [next(far) if row is None else b"".join(map(self.known.__getitem__, row)) for row in words]
+    def encode(self, text: str) -> bytes:
+        if FAR.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        raw = b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+        self.words.grown(self.kept)
+        return raw
 
 
 @cache
@@ -130,7 +160,7 @@ class Segment:
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
+            out = np.frombuffer(raw, kind, n, at) if n else np.empty(0, kind)
             at += -(-out.nbytes // 8) * 8
             return out
 
@@ -155,20 +185,15 @@ class Segment:
             i = int(ranks[i // BLOCK]) + int(np.bitwise_count(bits[first:word]).sum()) + below.bit_count()
         return value
 
-    def between(self, a: int, b: int) -> np.ndarray:
+    def between(self, a: int, b: int, level: int = 0) -> np.ndarray:
         """The ids from place a to place b (exclusive): one rank a level, then runs of chunks."""
-        out, where = np.zeros(b - a, np.uint32), np.arange(b - a)
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
-            out[where] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * level)
-            if bits is None or a == b:
-                break
-            low = a // 64 * 64
-            on = np.unpackbits(bits[a >> 6 : -(-b // 64)].view(np.uint8), bitorder="little")[a - low : b - low].astype(bool)
-            block, word = a // BLOCK, a >> 6
-            before = int(np.bitwise_count(bits[block * (BLOCK // 64) : word]).sum()) + (int(bits[word]) & ((1 << (a & 63)) - 1)).bit_count() if a < b else 0
-            where = where[on]
-            a = int(ranks[block]) + before
-            b = a + int(on.sum())
+        chunks, bits, ranks = self.levels[level]
+        out = chunks[a:b].astype(np.uint32)
+        if bits is not None and a < b:
+            low, block, word = a // 64 * 64, a // BLOCK, a >> 6
+            on = np.unpackbits(bits[word : -(-b // 64)].view(np.uint8), bitorder="little")[a - low : b - low].view(bool)
+            first = int(ranks[block]) + int(np.bitwise_count(bits[block * (BLOCK // 64) : word]).sum()) + (int(bits[word]) & ((1 << (a & 63)) - 1)).bit_count()
+            out[on] |= self.between(first, first + int(np.count_nonzero(on)), level + 1) << np.uint32(8)
         return out
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -180,12 +205,8 @@ class Segment:
 def _encoded(batches: Iterable[pd.DataFrame], model: str, end: int) -> Iterator[tuple[int | None, np.ndarray]]:
     code, tail = encoder(model), np.uint32(end).tobytes()
     for pdf in batches:
-        ids, texts = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]], pdf["text"].tolist()
-        bounds = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-        for k in np.unique(bounds):
-            mine = np.flatnonzero(bounds == k)
-            for j, raw in zip(mine, code.encode([texts[j] for j in mine])):
-                yield ids[j], np.frombuffer(raw + tail, "<u4")
+        for ident, none, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"]):
+            yield None if none else ident, np.frombuffer(code.encode(text) + tail, "<u4")
 
 
 def _segments(model: str, end: int, most: int):
@@ -207,8 +228,9 @@ def _segments(model: str, end: int, most: int):
 
 def write(docs: DataFrame, folder: str, model: str = MODEL, end: int = END, most: int = SEGMENT_TOKENS) -> None:
     """Encode all documents and write their ids, in ascending doc_id order, as files of directly addressable codes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ident = F.col("doc_id").cast("long")
+    rows = docs.select(ident.isNotNull().alias("known"), F.coalesce(ident, F.lit(0)).alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text"))
+    ordered = rows.repartitionByRange("known", "doc_id", "tie").sortWithinPartitions("known", "doc_id", "tie").select("doc_id", (~F.col("known")).alias("no_id"), "text")
     files = ordered.mapInPandas(_segments(model, end, most), "content binary")
     files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
@@ -218,33 +240,33 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for raw in pdf["content"]:
             if len(raw) > 1:
                 part = Segment(raw)
-                rows = [(d, a, len(i), zlib.crc32(i.astype("<u4").tobytes())) for d, a, i in part.documents()]
-                out = pd.DataFrame(rows, columns=["doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
-                yield out.assign(place=part.place, turn=part.turn)
+                ids, starts = part.between(0, part.n_ids).astype("<u4", copy=False), part.starts
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                doc = pd.arrays.IntegerArray(part.doc_ids.astype(np.int64), part.nulls.astype(bool))
+                yield pd.DataFrame({"doc_id": doc, "at": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": np.array(crc, np.int64), "place": part.place, "turn": part.turn})
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        parts = [Segment(raw) for raw in pdf["content"] if len(raw) > 1]
-        yield pd.DataFrame({"place": [p.place for p in parts], "turn": [p.turn for p in parts], "n": [p.n_ids for p in parts]}, dtype="int64")
+        rows = [(path, part.place, part.turn, part.n_ids) for path, part in ((p, Segment(r)) for p, r in zip(pdf["path"], pdf["content"]) if len(r) > 1)]
+        yield pd.DataFrame(rows, columns=["path", "place", "turn", "n"])
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
-def places(spark: SparkSession, folder: str) -> DataFrame:
-    """(place, turn, n, first): ids of each segment and of all segments before it."""
-    parts = files(spark, folder).select("content").mapInPandas(_heads, "place long, turn long, n long")
+def _firsts(parts: DataFrame) -> DataFrame:
+    """(place, turn, n, first) of segments from (place, turn, n): the ids before each, by partition and within it."""
     per = parts.groupBy("place").agg(F.sum("n").alias("n"))
     before = per.select("place", (F.sum("n").over(W.orderBy("place")) - F.col("n")).alias("before"))  # a row for each partition written
     return parts.join(before, "place").select("place", "turn", "n", (F.col("before") + F.sum("n").over(W.partitionBy("place").orderBy("turn")) - F.col("n")).alias("first"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a folder."""
-    rows = files(spark, folder).select("content").mapInPandas(_read, "doc_id long, at long, n_tokens long, ids_crc32 long, place long, turn long")
-    firsts = places(spark, folder).select("place", "turn", "first")
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a folder; the files are read once."""
+    rows = cut(files(spark, folder).select("content").mapInPandas(_read, "doc_id long, at long, n_tokens long, ids_crc32 long, place long, turn long"))
+    firsts = _firsts(rows.groupBy("place", "turn").agg(F.sum("n_tokens").alias("n"))).select("place", "turn", "first")
     return rows.join(firsts, ["place", "turn"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -260,11 +282,11 @@ def lookup(spark: SparkSession, folder: str, positions: DataFrame, position: str
 
     Positions that are null, negative or beyond the last id give no row, repeated ones one row.
     """
-    step = 1 << 20
-    heads = files(spark, folder).mapInPandas(lambda it: (pd.DataFrame({"path": p["path"], **{k: [getattr(Segment(r), k) for r in p["content"]] for k in ("place", "turn")}}) for p in (q[q["content"].str.len() > 1] for q in it)), "path string, place long, turn long")
-    spans = places(spark, folder).join(heads, ["place", "turn"]).filter("n > 0")
-    cells = spans.select("path", "first", "n", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("n") - 1) / step))).alias("cell"))
-    wanted = positions.select(F.col(position).cast("long").alias("position")).distinct().withColumn("cell", F.floor(F.col("position") / step))
+    heads = files(spark, folder).mapInPandas(_heads, "path string, place long, turn long, n long")
+    spans = heads.join(_firsts(heads.select("place", "turn", "n")).drop("n"), ["place", "turn"]).filter("n > 0")
+    cell = lambda c: F.shiftright(c, 20)
+    cells = spans.select("path", "first", "n", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.col("n") - 1))).alias("cell"))
+    wanted = positions.select(F.col(position).cast("long").alias("position")).distinct().withColumn("cell", cell(F.col("position")))
     met = wanted.join(cells, "cell").filter((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n")))
-    per = met.groupBy("path", "first", F.col("cell")).agg(F.collect_list("position").alias("wanted"))  # at most a cell's places a row
+    per = met.groupBy("path", "first", "cell").agg(F.collect_list("position").alias("wanted"))  # at most the 2^20 places of a cell
     return per.join(files(spark, folder), "path").select("content", "wanted", "first").mapInPandas(_looked_up, "position long, id long")

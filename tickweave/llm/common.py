@@ -22,7 +22,13 @@ BROADCAST_ROWS = 100_000
 ROW = "__row"
 
 
+#: Bytes of rows that go to a Python worker at once; whole texts are long, and Spark's own bound of rows alone says little.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
