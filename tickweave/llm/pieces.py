@@ -21,20 +21,36 @@ from pyspark.sql import DataFrame
 #: Place of the model; a parameter of every function here. The file lies at this path on every node.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: What a worker keeps at most: encoded stretches, the first ones met, of so many characters, and answers on pairs.
-REMEMBERED, KEPT_CHARS, MOST_PAIRS = 400_000, 64, 1_000_000
+#: What a worker keeps at most: encoded stretches of so many characters, those used last, and answers on pairs; and the
+#: answers after which the new ones join the sorted ones.
+REMEMBERED, KEPT_CHARS, MOST_PAIRS, NEW_PAIRS = 400_000, 64, 1_000_000, 4096
 #: Characters that one index covers, and characters of texts that are taken together, unless one is longer.
 INDEX_CHARS, BATCH_CHARS = 1 << 18, 1 << 21
 _GAP = "\0"
 
 
 class _Encodings(dict):
-    """Encodings that are kept, and those of the batch at hand."""
+    """Encodings that are kept, in two generations, and those of the batch at hand.
 
-    other: dict[str, bytes] = {}
+    What the younger one lacks comes from the older one or the batch. A full younger one becomes the older one, so that
+    stretches used again and again stay.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
-        return self.other[stretch]
+        if (ids := self.older.get(stretch)) is None:
+            return self.other[stretch]
+        self[stretch] = ids
+        return ids
+
+    def grown(self) -> None:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class Pieces:
@@ -53,7 +69,12 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         # no piece reaches over the start of a word, so texts can be cut there
         self.cuts = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.cuts else re.compile(r".+", re.S)
+        # nor, in some models, from a letter to another character or back
+        turn = re.compile(f"[^\\W\\d_](?:[\\W\\d_])|(?:[^{SPACE}\\w]|[\\d_])[^\\W\\d_]")
+        if self.cuts and not any(turn.search(name) for name in self.ids):
+            self.stretch = re.compile(f"{SPACE}*(?:[^\\W\\d_]+|(?:[^{SPACE}\\w]|[\\d_])+)|{SPACE}+")
+        else:
+            self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.cuts else re.compile(r".+", re.S)
         names = sorted(self.ids)
         codes = np.zeros((len(names), self.longest), np.uint32)  # of characters
         for row, name in enumerate(names):
@@ -61,6 +82,7 @@ class Pieces:
         self.table, self.order, self.lengths = codes, names, np.array([len(n) for n in names])
         self.id_of = np.array([self.ids[n] for n in names] + [-1])
         self.text_of, self.strange = list(names), {}
+        self.pairs, self.answers = np.empty(0, np.int64), np.empty(0, bool)
         self.apart: dict[int, bool] = {}
         self.done = _Encodings()
 
@@ -85,12 +107,29 @@ class Pieces:
             self.text_of.append(char)
         return n
 
-    def stays(self, left: int, right: int) -> bool:
-        """Whether two pieces side by side (numbers plus one, 0 for the start of a text) are the encoding of their text."""
-        key = (left << 32) | right
-        if (answer := self.apart.get(key)) is None:
-            if len(self.apart) >= MOST_PAIRS:
+    def stay(self, keys: np.ndarray) -> np.ndarray:
+        """Whether two pieces side by side (numbers plus one, 0 for the start of a text) are the encoding of their text,
+        for sorted distinct pairs. Answers known before are looked up in a sorted array."""
+        at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
+        known = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
+        out = np.zeros(len(keys), bool)
+        out[known] = self.answers[at[known]]
+        unknown = np.flatnonzero(~known)
+        if len(unknown):
+            out[unknown] = [self._answer(key) for key in keys[unknown].tolist()]
+            if len(self.apart) >= NEW_PAIRS:
+                if len(self.pairs) >= MOST_PAIRS:
+                    self.pairs, self.answers = np.empty(0, np.int64), np.empty(0, bool)
+                new = np.fromiter(self.apart, np.int64, len(self.apart))
+                pairs, answers = np.r_[self.pairs, new], np.r_[self.answers, np.fromiter(self.apart.values(), bool, len(new))]
+                order = np.argsort(pairs, kind="stable")
+                self.pairs, self.answers = pairs[order], answers[order]
                 self.apart.clear()
+        return out
+
+    def _answer(self, key: int) -> bool:
+        if (answer := self.apart.get(key)) is None:
+            left, right = key >> 32, key & 0xFFFFFFFF
             b = self.text_of[right - 1]
             a = self.text_of[left - 1] if left else ""
             answer = self.apart[key] = self.merged(a + b) == ([a, b] if left else [b])
@@ -182,7 +221,7 @@ def _relax(p: Pieces, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, en
         part = slice(fences[k], fences[k + 1])
         left = last[starts[part]]
         keys, where = np.unique((left << 32) | (piece[part] + 1), return_inverse=True)
-        good = np.fromiter((p.stays(x >> 32, x & 0xFFFFFFFF) for x in keys.tolist()), bool, len(keys))[where]
+        good = p.stay(keys)[where]
         to = ends[part][good]
         last[to], before[to] = piece[part][good] + 1, starts[part][good]
     live, here, steps = np.arange(len(begin)), end.copy(), []
@@ -225,10 +264,10 @@ def encode(texts: list[str | None], model: str = MODEL) -> list[np.ndarray]:
 
     def flush(group: list[str]) -> None:
         for s, ids in zip(group, _index(p, group)):
-            (done if len(s) <= KEPT_CHARS and len(done) < REMEMBERED else here)[s] = ids
+            (done if len(s) <= KEPT_CHARS else here)[s] = ids
 
     # sorted by length, so that a long stretch keeps no short ones waiting
-    for s in sorted(set().union(*cut).difference(done), key=len):
+    for s in sorted(set().union(*cut).difference(done, done.older), key=len):
         if _GAP in s:
             here[s] = _index(p, [s])[0]
             continue
@@ -242,6 +281,7 @@ def encode(texts: list[str | None], model: str = MODEL) -> list[np.ndarray]:
     done.other = here
     out = [np.frombuffer(b"".join(map(done.__getitem__, parts)), np.int32) for parts in cut]
     done.other = {}
+    done.grown()
     return out
 
 
