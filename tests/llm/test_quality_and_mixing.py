@@ -1,3 +1,5 @@
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -53,7 +55,54 @@ def test_distance_sets_junk_apart(spark):
     rows += [(100, "### *** $$$ " + " ".join(f"%%{j}@@&&{j * 7}||" for j in range(120)), "en")]
     got = {r[ROW]["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[100].class_distance > quality.MAX_CLASS_DISTANCE and not got[100].kept
-    assert all(got[k].class_distance < 0.1 and got[k].kept for k in range(30))
+    assert all(got[k].class_distance < quality.MAX_CLASS_DISTANCE and got[k].kept for k in range(30))
+    want = plain_distances(rows)
+    assert all(got[i].class_distance == pytest.approx(a, abs=1e-12) and got[i].word_distance == pytest.approx(b, abs=1e-12) for i, (a, b) in want.items())
+
+
+def plain_distances(rows):
+    """Jensen-Shannon distances of (doc_id, text, lang) rows to their language by counting; languages are common ones."""
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[#*$%&|<>]", "[^\x00-\x7F]"]
+
+    def classes(t):
+        c = [len(re.findall(k, t)) for k in kinds]
+        return [*c, len(t) - sum(c) - len(re.findall("[\x20\x09-\x0D]", t))]
+
+    def far(p, q):
+        p, q = [[x / sum(v) for x in v] for v in (p, q)]
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+        return math.sqrt(max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, q)) / 2))
+
+    words = lambda t: re.split(r"[\W\d_]+", t.lower())
+    out = {}
+    for lang in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == lang]
+        every = [sum(c) for c in zip(*(classes(t) for _, t, _ in own))]
+        counted = Counter(w if len(w) <= quality.COMMON_LETTERS else "" for _, t, _ in own for w in words(t))
+        top = sorted((w for w in counted if w), key=lambda w: (-counted[w], w))[: quality.COMMON_WORDS]
+        for i, t, _ in own:
+            here = Counter(words(t))
+            p = [here[w] for w in top]
+            q = [counted[w] for w in top]
+            out[i] = far(classes(t), every), far([*p, sum(here.values()) - sum(p)], [*q, sum(counted.values()) - sum(q)])
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+def test_verdicts_of_the_table(spark, sample):
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    known = {x for x, n in Counter(r[2] for r in rows).items() if n >= quality.MIN_LANGUAGE_DOCS}
+    assert len(known) > 1
+    want, n = plain_distances([r for r in rows if r[2] in known]), 0
+    for r in quality.quality(docs).collect():
+        i = r[ROW]["doc_id"]
+        if i in want and r.n_words >= quality.COMPARED_WORDS:
+            a, b = want[i]
+            assert (r.class_distance, r.word_distance) == (pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
+            assert r.kept == (not r.base_failed and a <= quality.MAX_CLASS_DISTANCE and b <= quality.MAX_WORD_DISTANCE)
+            n += 1
+    assert n > 50
 
 
 def fill(sizes):

@@ -35,10 +35,15 @@ def js_distance(p: str, q: str, p_total: str, q_total: str) -> Column:
     return F.when((pt > 0) & (qt > 0), F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
 
 
-def class_counts(text: Column) -> dict[str, Column]:
-    """Characters of each class, of white space and of all kinds, as columns to be added one by one."""
-    n = F.length(text)
-    return {"_all": n} | {f"_{k}": n - F.length(F.regexp_replace(text, p, "")) for k, p in ({"space": SPACE_RUN} | CLASSES).items()}
+def with_class_counts(df: DataFrame) -> DataFrame:
+    """Add characters of each class, of white space and of all kinds.
+
+    Each class is taken out of what the classes before it have left, so all but the first, the commonest, read short texts.
+    """
+    df = df.withColumns({"_all": F.length("text"), "_rest": F.col("text")})
+    for name, pattern in (CLASSES | {"space": SPACE_RUN}).items():
+        df = df.withColumn("_less", F.regexp_replace("_rest", pattern, "")).withColumn(f"_{name}", F.length("_rest") - F.length("_less")).drop("_rest").withColumnRenamed("_less", "_rest")
+    return df.drop("_rest")
 
 
 def _classes() -> Column:
@@ -54,7 +59,7 @@ def references(docs: DataFrame) -> DataFrame:
     rows weighs no more in the shuffle than its distinct short words. Without documents there is no row.
     """
     base = docs.select("lang", whole_text().alias("text"))
-    sized = base.withColumns(class_counts(F.col("text"))).select("lang", _classes().alias("c"))
+    sized = with_class_counts(base).select("lang", _classes().alias("c"))
     sums = [F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     by_lang = cut(sized.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums))
     short = lambda x: (F.length(x) > 0) & (F.length(x) <= COMMON_LETTERS)
@@ -80,7 +85,7 @@ def measured(df: DataFrame) -> DataFrame:
     Repeated words are found within the row: hashes of the three-word windows are sorted with their places, equal
     neighbours mark places, and the words they cover are counted, so the work is n log n in a document's words.
     """
-    df = df.withColumn("text", whole_text()).withColumns(class_counts(F.col("text"))).withColumn("words", split_words(F.col("text")))
+    df = with_class_counts(df.withColumn("text", whole_text())).withColumn("words", split_words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
     df = df.withColumn("lines", lines).withColumn("n_words", F.size("words").cast("long"))
     w = F.col("words")
