@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,9 @@ OUT_WORDS = frozenset(
     "pager pagination popup promo promotion related remark replies search share sharing shoutbox sidebar sidenav signup skyscraper social sponsor sponsored "
     "subscribe tags toolbar tracking widget".split())
 MAIN_WORDS = frozenset("article body content entry main page post story text".split())
+#: Words of a container that holds a whole article, and of one that does if no other is marked.
+WHOLE_WORDS, PART_WORDS = frozenset("article entry post story".split()), frozenset("content main".split())
+FENCES = ("ul", "ol", "dl", "table", "menu")
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl div section table".split())
@@ -46,6 +51,7 @@ class _Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.weight, self.block = ["html"], [-1], [False], [0], [0]
         self.inside = [False]  # in an article or main element
+        self.whole = [0]  # 2: named as a whole article, 1: named as a part of the page that may hold one
         self.pieces: list[tuple[int, int, str, bool]] = []  # block number, block element, text, within a link
 
     def add(self, tag: str, parent: int, attributes: dict[str, str]) -> int:
@@ -58,19 +64,53 @@ class _Tree:
         self.parent.append(parent)
         self.out.append(out)
         self.weight.append(25 if tag in ("article", "main") else 10 if words & MAIN_WORDS else 0)
+        self.whole.append(2 if words & WHOLE_WORDS else 1 if words & PART_WORDS else 0)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
         self.block.append(len(self.tag) - 1 if tag in BLOCKS else self.block[parent])
         return len(self.tag) - 1
 
 
+class _Open:
+    """Open elements from the outermost in, and at which depths each kind stands."""
+
+    def __init__(self, tree: _Tree) -> None:
+        self.tree, self.stack, self.depths, self.blocks = tree, [0], defaultdict(list), []
+
+    def push(self, node: int) -> None:
+        tag = self.tree.tag[node]
+        self.depths[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> bool:
+        """Close all from a depth on; whether a block was among them."""
+        before = len(self.blocks)
+        while len(self.stack) > depth:
+            tag = self.tree.tag[self.stack.pop()]
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+        return len(self.blocks) < before
+
+    def last(self, tag: str) -> int:
+        return self.depths[tag][-1] if self.depths[tag] else 0
+
+    def first_after(self, tag: str, depth: int) -> int | None:
+        """The outermost open element of a kind below a depth."""
+        found = self.depths[tag]
+        k = bisect_right(found, depth)
+        return found[k] if k < len(found) else None
+
+
 def parse(page: str) -> _Tree:
     """Tree of a page as browsers read it in the main: implied ends of paragraphs and items, stray ends, raw elements."""
-    tree, stack, number, links, at = _Tree(), [0], 0, 0, 0
-    length = len(page)
+    tree, number, at = _Tree(), 0, 0
+    opened, length = _Open(tree), len(page)
 
     def say(text: str) -> None:
         if text:
-            tree.pieces.append((number, stack[-1], html.unescape(text) if "&" in text else text, links > 0))
+            tree.pieces.append((number, opened.stack[-1], html.unescape(text) if "&" in text else text, bool(opened.depths["a"])))
 
     while at < length:
         token = _TOKEN.search(page, at)
@@ -85,52 +125,57 @@ def parse(page: str) -> _Tree:
             continue
         tag = named.group(1).lower()
         if source[1] == "/":
-            if tag == "p" and not any(tree.tag[k] == "p" for k in stack[-50:]):
+            depth = opened.last(tag)
+            if tag == "p" and not depth:
                 number += 1
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                name = tree.tag[stack[depth]]
-                if name == tag:
-                    links -= sum(tree.tag[k] == "a" for k in stack[depth:])
-                    number += any(tree.tag[k] in BLOCKS for k in stack[depth:])
-                    del stack[depth:]
-                    break
-                if name in BLOCKS and tag not in BLOCKS:  # an inline end does not close blocks
-                    break
+            elif depth and (tag in BLOCKS or not opened.blocks or opened.blocks[-1] <= depth):  # an inline end does not close blocks
+                number += opened.close(depth)
             continue
         if tag == "br":
             say(" ")
             continue
         if tag in BLOCKS or tag in ENDS:
             number += 1
-            ends = [d for d in range(len(stack) - 1, max(len(stack) - 200, 0), -1) if (tree.tag[stack[d]] == "p" and tag in CLOSES_P) or tag in ENDS.get(tree.tag[stack[d]], ())]
             # an item ends only within its own list, a cell within its own table
-            fence = next((d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] in ("ul", "ol", "dl", "table", "menu")), 0)
-            ends = [d for d in ends if d > fence or tree.tag[stack[d]] == "p" and d > fence]
+            fence = max(map(opened.last, FENCES))
+            kinds = [k for k, enders in ENDS.items() if tag in enders] + ["p"] * (tag in CLOSES_P)
+            ends = [d for k in kinds if (d := opened.first_after(k, fence)) is not None]
             if ends:
-                links -= sum(tree.tag[k] == "a" for k in stack[min(ends) :])
-                del stack[min(ends) :]
+                opened.close(min(ends))
         if tag in VOID:
             continue
         attributes = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(source, named.end(), len(source) - 1)} if len(source) > named.end() + 1 else {}
         if tag == "html":
             continue
-        node = tree.add(tag, stack[-1], attributes)
+        node = tree.add(tag, opened.stack[-1], attributes)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
             at = close.end() if close else length
             number += tag in BLOCKS
         elif not source.endswith("/>") or tag in BLOCKS or tag == "a":
-            stack.append(node)
-            links += tag == "a"
+            opened.push(node)
     return tree
 
 
+def _whole(tree: _Tree, best: int) -> int:
+    """The container of the whole article around the best one: the nearest article, else main, else the outermost element
+    named as an article, else the nearest one named as content; else the best one itself."""
+    up = []
+    while best >= 0:
+        up.append(best)
+        best = tree.parent[best]
+    for found in ([k for k in up if tree.tag[k] == "article"][:1], [k for k in up if tree.tag[k] == "main"][:1], [k for k in up if tree.whole[k] == 2 and tree.tag[k] != "body"][-1:], [k for k in up if tree.whole[k] == 1 and tree.tag[k] != "body"][:1]):
+        if found:
+            return found[0]
+    return up[0]
+
+
 def main_text(page: str | None) -> str:
-    """The main text of a page: blocks of the best container and of its kept siblings, one line each.
+    """The main text of a page: blocks of the article around the best container and of its kept siblings, one line each.
 
     Paragraphs pass points for length and commas to their parent, half to the next, a third over the level beyond; a
-    container's points are discounted by the share of its text in links.
+    container's points are discounted by the share of its text in links. Within an article or main element lists of links
+    are kept as text (references); elsewhere a list, table or container of links inside the best one is dropped.
     """
     tree = parse(page or "")
     n = len(tree.tag)
@@ -165,14 +210,16 @@ def main_text(page: str | None) -> str:
     if final[best] <= 0:
         keep[0] = True
     else:
-        keep[best] = True
-        own = [k for k in range(n) if tree.parent[k] == tree.parent[best] and k != best and not tree.out[k]] if best else []
+        root = _whole(tree, best)
+        keep[root] = True
+        own = [k for k in range(n) if tree.parent[k] == tree.parent[root] and k != root and not tree.out[k]] if root else []
         for k in own:
             text_like = tree.tag[k] in PARAGRAPHS and (size[k] > 80 and density[k] < 0.25 or 0 < size[k] <= 80 and linked_size[k] == 0)
-            keep[k] = final[k] >= max(10.0, SIBLING * final[best]) or text_like
+            title = tree.tag[k] in HEADINGS and k < root and linked_size[k] == 0 and tree.tag[root] not in ("article", "main")
+            keep[k] = final[k] >= max(10.0, SIBLING * final[best]) or text_like or title
     roots = list(keep)
     for k in range(1, n):
-        linky = tree.tag[k] in LISTS and size[k] and density[k] > LINKED and not roots[k]
+        linky = tree.tag[k] in LISTS and size[k] and density[k] > LINKED and not roots[k] and not tree.inside[k]
         keep[k] = (keep[k] or keep[tree.parent[k]]) and not linky
     return "\n".join(text for _, node, text, _ in blocks if keep[node])
 
