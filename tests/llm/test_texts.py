@@ -101,6 +101,23 @@ def test_page(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "".join(f"<p>Paragraph {k} goes on and on, with commas, and more words than a short one would have, to the end.</p>" for k in range(25))
+LINES = "\n".join(f"Paragraph {k} goes on and on, with commas, and more words than a short one would have, to the end." for k in range(25))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<nav>menu</nav><article><h1>Title</h1><div class=lead><p>short</p></div><div class=body>{LONG}</div></article><footer>f</footer>", f"Title\nshort\n{LINES}"),
+    (f"<article><h1>Title</h1><section><h2>Long</h2>{LONG}</section><section><h2>Short</h2><p>One line.</p></section></article>", f"Title\nLong\n{LINES}\nShort\nOne line."),
+    (f"<main><h1>T</h1>{LONG}<h2>References</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></main>", f"T\n{LINES}\nReferences\nFirst source\nSecond source"),
+    (f"<body><div id=menu>x</div><div class=post><h1>T</h1><div class=content>{LONG}</div></div><div class=sidebar>{LONG}</div></body>", f"T\n{LINES}"),
+    (f"<body><h1>T</h1><div>{LONG}</div><div class=comments>{LONG}{LONG}</div></body>", f"T\n{LINES}"),
+    ("<article>" + "<div>" * 300 + "<ul><li>one<li>two</ul><p>three<p>four" + "</div>" * 300 + "</article>", "one\ntwo\nthree\nfour"),
+    ("<article><p>a " + "<b>" * 80 + "b</p><p>c" + "</b>" * 80 + "</p>d</article>", "a b\nc\nd"),
+])
+def test_the_whole_article_stays(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<p>a", 1), (1, "u", "<p>a", 1), (2, None, None, 1), (3, "v", "", 2)]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
@@ -189,6 +206,9 @@ def test_credentials():
     assert secrets.spans(None) == ([], [])
 
 
+GUESSES = secrets.Guesser().digits
+
+
 def slow_guesses(value):
     """The same costs by trying every cut."""
     from functools import lru_cache
@@ -201,8 +221,8 @@ def slow_guesses(value):
 
         options = [best(end - 1) + math.log10(secrets._alphabet(value[end - 1]))]
         for start in range(end - 1):
-            if value[start:end] in secrets._RANK and end - start <= 24:
-                options.append(best(start) + math.log10(secrets._RANK[value[start:end]] + 1) + 0.3)
+            if value[start:end] in secrets.FIXED and end - start <= 24:
+                options.append(best(start) + math.log10(secrets.FIXED[value[start:end]] + 1) + 0.3)
         return min(options)
 
     return best(len(value))
@@ -210,19 +230,19 @@ def slow_guesses(value):
 
 def test_guess_costs():
     for value in ("password", "passwordlove", "thedogkzv", "zzkqx", "lovepasswordq7"):
-        assert secrets.guesses(value) <= slow_guesses(value) + 1e-9
-    assert secrets.guesses("thekvzqadmin") == pytest.approx(slow_guesses("thekvzqadmin"))
+        assert GUESSES(value) <= slow_guesses(value) + 1e-9
+    assert GUESSES("thekvzqadmin") == pytest.approx(slow_guesses("thekvzqadmin"))
     hard, easy = "xK9#qL2vT8mZ", ("password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "P4ssw0rd", "abcabcabcabc")
-    assert secrets.guesses(hard) > secrets.HARD > max(map(secrets.guesses, easy))
+    assert GUESSES(hard) > secrets.HARD > max(map(GUESSES, easy))
     _, values = secrets.spans("pwd: xK9qL2vT8mZ4 and login = password123")
     assert [(a, b) for _, a, b, _ in values] == [(5, 17)]
-    assert secrets.guesses("ab1" * 20_000) < 10 * 20_000
+    assert GUESSES("ab1" * 20_000) < 10 * 20_000
 
 
 HIDDEN = "xK9qL2vT8mZ4"
 
 
-@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "MYSQL_PWD=", "app_private_key: ", "GITHUB_AUTH=", "dbPass = ", "2nd_key: ", "SECRET_KEY_BASE=", "pwd: ", "DB_PASS_1 = "])
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "MYSQL_PWD=", "app_private_key: ", "GITHUB_AUTH=", "dbPass = ", "2nd_key: ", "SECRET_KEY_BASE=", "pwd: ", "DB_PASS_1 = ", "pass_a_a_a_a_a_a_a_a_a=", "my-login" + "-x" * 500 + ": "])
 def test_names_with_other_parts(before):
     _, values = secrets.spans(f"so {before}{HIDDEN} here")
     assert [(a, b) for _, a, b, _ in values] == [(3 + len(before), 3 + len(before) + len(HIDDEN))]
@@ -232,7 +252,22 @@ def test_values_of_letters():
     found = lambda text: [text[a:b] for _, a, b, _ in secrets.spans(text)[1]]
     assert found("pwd=xKqZvBnWpLmRtYhGcDsF") == ["xKqZvBnWpLmRtYhGcDsF"] and found("MYSQL_PWD=qzvkxwjfhbpgtmcd") == ["qzvkxwjfhbpgtmcd"]
     assert found("pass theguestpassword, key is Constantinople, login whatever. monkey xK9qL2vT8mZ4") == []
-    assert secrets.spans("key_" * 50_000) == ([], [])
+    assert secrets.spans("key_" * 50_000) == secrets.spans("key" + "-pass_x" * 30_000 + "!") == ([], [])
+
+
+def test_words_of_the_corpus_and_long_repeats(spark):
+    docs = spark.createDataFrame([(k, f"a butterfly and an Elephant, BUTTERFLY {k}" if k else None) for k in range(20)], "doc_id long, text string")
+    ranks = secrets.ranked(docs, most=1)
+    assert ranks == secrets.FIXED | {"butterfly": len(secrets.FIXED) + 1} and set(secrets.ranked(docs)) > {"elephant", "butterfly"}
+    guesser = secrets.Guesser(secrets.ranked(docs))
+    assert guesser.digits("butterfly1987") < 6 < secrets.HARD < GUESSES("butterfly1987")
+    text = "password=butterfly1987 pwd: xK9qL2vT8mZ4 login=Elephant2019"
+    assert [text[a:b] for _, a, b, _ in secrets.spans(text, guesser=guesser)[1]] == [HIDDEN]
+    rows = docs.unionByName(spark.createDataFrame([(100, text), (100, text), (None, "pwd=" + HIDDEN)], "doc_id long, text string"))
+    got = {(r.doc_id, tuple((v.start, v.stop) for v in r["values"])) for r in secrets.scanned(rows).filter("size(values) > 0").collect()}
+    assert got == {(100, ((28, 40),)), (None, ((4, 16),))}
+    block = "xK9#qL2vT8mZ"
+    assert GUESSES(block * 3) < GUESSES(block) + 1 and GUESSES(block + block[::-1]) > 1.9 * GUESSES(block)
 
 
 def test_secret_rows(odd, none):
@@ -320,7 +355,7 @@ def test_grammar():
     assert toxicity.raw_score("you are not an idiot", weights) < plain
     assert toxicity.raw_score("it was said that an idiot came", weights) < plain
     assert toxicity.raw_score("you moronic one", weights) == pytest.approx(3.75)
-    assert toxicity.raw_score("i will hurt you", weights) == 0 and toxicity.raw_score("you i will hurt", weights) == toxicity.AIMED
+    assert toxicity.raw_score("i will hurt", weights) == 0 and toxicity.raw_score("you i will hurt", weights) == toxicity.raw_score("i will hurt you", weights) == toxicity.AIMED
     assert toxicity.raw_score("not so. an idiot", weights) == 4.0
     assert toxicity.raw_score(None, weights) == toxicity.raw_score("", weights) == 0
 
