@@ -1,3 +1,4 @@
+import math
 import os
 import random
 from collections import Counter, defaultdict
@@ -12,11 +13,11 @@ from tickweave.session import cut
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def sets_of(rows):
+def sets_of(rows, n=2):
     out = {}
     for i, text in rows:
         w = (text or "").encode().translate(LOW).split()
-        out[i] = frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+        out[i] = frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
     return out
 
 
@@ -151,3 +152,13 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK_ROWS", 16)
     got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert all(r.n_links == 89 and r.component_id == 0 for r in got)
+
+
+def test_double_vectors_of_any_size(spark):
+    """Cosines are taken in double precision: exactly 0.9 links, and so do huge and tiny equal vectors."""
+    line = [0.9, math.sqrt(1 - 0.9 ** 2)] + [0.0] * 62
+    axis = [1.0] + [0.0] * 63
+    exact = float(np.dot(line, axis) / (np.linalg.norm(line) * np.linalg.norm(axis)))
+    rows = [(1, axis), (2, line)] + [(10 + k, [10.0 ** (300 if k < 2 else -300) * (-1 if k % 4 > 1 else 1)] * 64) for k in range(4)]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert (got[2].component_id == 1) == (exact >= 0.9) and {got[10].component_id, got[11].component_id} == {10} and got[12].component_id == got[13].component_id == 12

@@ -37,7 +37,7 @@ def test_quality_stage(stages):
 
 
 def test_near_duplicate_stage(stages):
-    sets = sets_of([(r.doc_id, r.text) for r in stages[1].collect()])
+    sets = sets_of([(r.doc_id, r.text) for r in stages[1].collect()], corpus_pipeline.STAGE_WORDS)
     top = roots(list(sets), similar(sets))
     assert Counter(map(tuple, stages[2].collect())) == Counter(tuple(r) for r in stages[1].collect() if top[r.doc_id] == r.doc_id)
 

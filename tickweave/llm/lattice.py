@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.llm.common import groups
 from tickweave.llm.components import components
@@ -58,13 +59,20 @@ def cells(x: np.ndarray, probes: int) -> np.ndarray:
     return np.concatenate([home[:, None], home[:, None] + steps[near]], axis=1)
 
 
+def unscaled(v: np.ndarray) -> np.ndarray:
+    """Vectors in double precision times the power of two that brings their largest component near one: no rounding, and
+    neither overflow nor underflow of squares."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
 def _hashed(tables: int, probes: int, cell: float, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         multiplier = np.random.default_rng(seed).integers(1, 1 << 62, 8, dtype=np.int64) | 1
         for pdf in batches:
             size = pdf.v.str.len()
             for width, rows in pdf.groupby(size):
-                v = np.stack(rows.v.to_numpy()).astype(np.float64)
+                v = unscaled(np.stack(rows.v.to_numpy()))
                 v /= np.linalg.norm(v, axis=1)[:, None]
                 for t in range(tables):
                     rng = np.random.default_rng([seed, t, width])
@@ -84,7 +92,7 @@ def _linked(least: float):
             left, right = g.left.to_numpy(), ~g.left.to_numpy()
             if not left.any() or not right.any():
                 continue
-            v = np.stack(g.v.to_numpy()).astype(np.float64)
+            v = unscaled(np.stack(g.v.to_numpy()))
             norm = np.sqrt((v * v).sum(axis=1))
             ids = g.id.to_numpy()
             cosine = (v[left] @ v[right].T) / np.outer(norm[left], norm[right])
@@ -114,7 +122,8 @@ def links(vectors: DataFrame, least: float = SIMILAR, tables: int = TABLES, prob
     A vector meets those whose own cell is its own or one of its probed neighbours. Buckets are dealt in pairs of blocks of
     BLOCK_ROWS rows, each of which is one matrix product in its task, so a hot bucket spreads and no pairs are written but links.
     """
-    hashed = cut(vectors.select("id", "v").mapInPandas(_hashed(tables, probes, cell, seed), "bucket long, home boolean, id long, v array<float>"))
+    kind = vectors.schema["v"].dataType.simpleString()
+    hashed = cut(vectors.select("id", "v").mapInPandas(_hashed(tables, probes, cell, seed), f"bucket long, home boolean, id long, v {kind}"))
     sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("every"), F.sum(F.col("home").cast("int")).alias("homes")).filter("homes >= 1 and every >= 2")
     sizes = sizes.select("bucket", F.ceil(F.col("every") / BLOCK_ROWS).cast("int").alias("n_left"), F.ceil(F.col("homes") / BLOCK_ROWS).cast("int").alias("n_right"))
     rows = hashed.join(sizes, "bucket")
@@ -133,10 +142,12 @@ def near_duplicates(rows: DataFrame, least: float = SIMILAR, **settings) -> Data
     lengths never link. Rows that share a vec_id are rows of their own in n_links and one node in components. Empty tables
     give empty results.
     """
-    base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    single = rows.schema["embedding"].dataType == T.ArrayType(T.FloatType(), rows.schema["embedding"].dataType.containsNull)
+    kind = "float" if single else "double"  # single precision stays as it is until a task widens it: half the bytes to move
+    base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     good = base.filter(usable(F.col("v")))
     # -0.0 and 0.0 are one component value
-    key = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
+    key = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
     nodes = cut(good.withColumn("v", key).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).filter("id is not null"))
     pairs = cut(links(nodes, least, **settings))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
