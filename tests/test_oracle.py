@@ -13,6 +13,8 @@ NAMES = [
     "entry_slice", "bars_from_ticks", "bars_sanitize", "symbol_map", "ind_ema_set", "ind_bollinger", "cal_news_blackout", "cal_trade_limits",
     "st_snapshot_pit", "st_liquidity", "ez_fvg", "sig_vote", "sig_monday_gap", "sc_composite_vector", "sc_route", "rk_profile", "lb_barrier_multi",
     "lb_non_overlap", "ag_account_stats", "ag_by_dimensions", "ag_grid_rank", "rg_asof", "rb_walk_forward", "pf_session", "tl_monitor", "xval_sources",
+    "ez_order_blocks_pit", "ez_fvg_pit", "sc_score", "sig_vshape", "tl_monitor_path", "rb_permutation_dd", "rb_bootstrap", "rb_trade_removal", "ag_max_drawdown",
+    "ss_trade_tracking", "ss_delayed_feed",
 ]
 
 

@@ -125,3 +125,15 @@ def test_cutting_the_future_changes_no_point_in_time_signal(spark):
     # The trap needs two later bars, so its last two bars may differ; it says so in available_ix.
     whole = rows_of(fired(spark, pdf, signals.false_breakout()).filter("ix + 2 < 200"), "ix", "signal")
     assert whole == rows_of(fired(spark, pdf[:200], signals.false_breakout()), "ix", "signal")
+def test_one_streak_over_many_blocks(spark):
+    """10^5 rising bars, signals now and then, in blocks far shorter than the streak."""
+    rng = np.random.default_rng(2)
+    close = 100 + np.cumsum(rng.random(100_000) * 0.01 + 1e-6)
+    atr = np.where(rng.random(100_000) < 0.02, rng.random(100_000) * 3, 50.0)
+    pdf = pd.DataFrame({"symbol": "S", "tf": "1h", "ts": pd.Timestamp("2024-01-01"), "ix": np.arange(100_000), "close": close, "atr": atr})
+    want = loop_vshape(close, atr)
+    assert len(want) > 50
+    got = rows_of(signals.vshape(spark.createDataFrame(pdf), rows=1024, fan=8), "ix", "signal")
+    assert got == want
+
+

@@ -103,20 +103,41 @@ def test_trades_advance_and_close(spark, tmp_path):
     first = [event(0, "signal", "a"), event(1, "price", price=116.0), event(2, "price", price=110.0)]
     second = [event(3, "price", price=99.0), event(4, "signal", "b"), event(5, "price", price=140.0)]
     third = [event(6, "price", price=140.0), event(7, "price", price=140.0), event(8, "signal", "c"), event(9, "price", price=80.0)]
-    frames = [(pd.DataFrame(f, columns=names), stateful.EVENT_COLUMNS) for f in (first, second, third)]
-    stream = read_folder(spark, write_parts(spark, frames, tmp_path / "in"), stateful.EVENT_COLUMNS, files_per_batch=1)
-    got = drain(stateful.track_trades(stream), "t").select("id", F.minute("ts").alias("m"), "status", "result", "actual_rr", "level")
-    assert [tuple(r) for r in got.orderBy("id", "m").collect()] == [
+    want = [
         ("a", 0, "open", None, None, 0), ("a", 1, "open", None, None, 1), ("a", 3, "closed", "win", 0.0, 1),
         ("b", 4, "open", None, None, 0), ("b", 5, "open", None, None, 1), ("b", 6, "open", None, None, 2), ("b", 7, "closed", "win", 3.5, 3),
         ("c", 8, "open", None, None, 0), ("c", 9, "closed", "loss", -1.0, 0)]
+    # in time order, and in files that arrive in any order within the delay
+    for turn, (files, delay) in enumerate((((first, second, third), "0 seconds"), ((third, first, second), "10 minutes"), ((second[::-1], third, first), "10 minutes"))):
+        end = [event(30, "price", price=100.0)] if turn else []
+        frames = [(pd.DataFrame(f, columns=names), stateful.EVENT_COLUMNS) for f in (*files, *[end] * bool(end))]
+        stream = read_folder(spark, write_parts(spark, frames, tmp_path / f"in{turn}"), stateful.EVENT_COLUMNS, files_per_batch=1)
+        got = drain(stateful.track_trades(stream, delay), "t").select("id", F.minute("ts").alias("m"), "status", "result", "actual_rr", "level")
+        assert [tuple(r) for r in got.orderBy("id", "m").collect()] == want
+
+
+def test_levels_touch_only_crossed_trades():
+    rng = np.random.default_rng(4)
+    trades = {f"t{k}": [side, e, e - side * d, e + side * d, e + side * 2 * d, e + side * 3 * d, int(lv)] for k, (side, e, d, lv) in enumerate(zip(rng.choice([1.0, -1.0], 300), rng.normal(100, 5, 300), rng.uniform(1, 9, 300), rng.integers(0, 3, 300)))}
+    levels = stateful.Levels({k: list(v) for k, v in trades.items()})
+    open_ = {k: list(v) for k, v in trades.items()}
+    for price in rng.normal(100, 8, 200):
+        want = sorted(k for k, (s, e, stop, *t, lv) in open_.items() if s * (price - t[lv]) >= 0 or s * (price - (e if lv else stop)) <= 0)
+        assert levels.crossed(price) == want
+        for k in want:
+            change = stateful.Tracker._advance(open_[k], price)
+            levels.trades[k] = list(open_[k])
+            if change[0] == "closed":
+                del open_[k], levels.trades[k]
+            else:
+                levels.watch(k)
 
 
 def test_delayed_ticks_wait_for_the_watermark(spark, tmp_path):
     first = ticks([(1, "10:00:10", 1), (1, "10:20:10", 2)])
     second = ticks([(1, "11:00:00", 3)])
     stream = read_folder(spark, write_parts(spark, [(first, TICKS), (second, TICKS)], tmp_path / "in"), TICKS, files_per_batch=1)
-    got = drain(windows.delayed_feed(stream, 30), "delay")
+    got = drain(stateful.delayed_feed(stream, 30), "delay")
     assert rows_of(got, "price") == [(1.0,)]
 
 

@@ -4,7 +4,7 @@ from conftest import bars_of, random_bars, rows_of
 from pyspark.sql import functions as F
 
 from tickweave.operators import structure
-from tickweave.operators.crossing import first_cross
+from tickweave.operators.crossing import first_beyond, first_cross
 
 
 def brute_swings(pdf, k=5):
@@ -45,6 +45,31 @@ def test_first_crossing_matches_a_loop(spark, rows, fan):
         assert got[i] == (hits[0] if hits else None)
 
 
+def test_crossings_of_one_long_series_spread_over_tasks(spark):
+    """One symbol with all rows, most of whose events are met many blocks and ranges later."""
+    rng = np.random.default_rng(7)
+    close = np.r_[np.linspace(100, 50, 6000), np.linspace(50, 99, 2000)] + rng.normal(0, 0.2, 8000)
+    series = spark.createDataFrame([("S", "1h", k, float(c)) for k, c in enumerate(close)], "symbol string, tf string, ix long, close double")
+    events = series.select("symbol", "tf", "ix", (F.col("close") + 3).alias("up"), F.lit(None).cast("double").alias("down"))
+    got = dict(rows_of(first_cross(events, series, rows=128, fan=8).select("ix", "cross_ix"), "ix", "cross_ix"))
+    for i in range(0, 8000, 37):
+        later = np.flatnonzero(close[i + 1:] > close[i] + 3)
+        assert got[i] == (i + 1 + int(later[0]) if len(later) else None), i
+    assert sum(v is not None for v in got.values()) > 4000
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_first_beyond(strict):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 64, 65, 300):
+        hi, lo = rng.integers(0, 20, n).astype(float), rng.integers(-20, 0, n).astype(float)
+        start, up, down = rng.integers(0, n + 1, 50), rng.integers(0, 22, 50).astype(float), rng.integers(-22, 0, 50).astype(float)
+        up[::5], down[::7] = np.inf, -np.inf
+        beyond = (lambda k, j: hi[j] > up[k] or lo[j] < down[k]) if strict else (lambda k, j: hi[j] >= up[k] or lo[j] <= down[k])
+        want = [next((j for j in range(start[k], n) if beyond(k, j)), -1) for k in range(50)]
+        assert first_beyond(hi, lo, start, up, down, strict).tolist() == want
+
+
 def brute_snapshot(pdf):
     """Structure of a prefix, from its definition."""
     sw = brute_swings(pdf)
@@ -86,6 +111,21 @@ def test_break_labels_swap_with_the_trend():
     assert brute_snapshot(random_bars(160, 11))[0] in ("bullish", "bearish", "ranging")
 
 
+def test_levels_of_a_calm_symbol_are_exact(spark):
+    """3000 prices near a million within less than one tolerance band of each other, in several pieces."""
+    from math import fsum
+    prices = [round(1e6 + 0.0371 * k, 4) for k in range(3000)]
+    points = spark.createDataFrame([("S", "1h", "high", k, p) for k, p in enumerate(prices)], "symbol string, tf string, side string, ix long, price double")
+    last = spark.createDataFrame([("S", "1h", 1e6, 1.0)], "symbol string, tf string, close double, atr double")
+    got = rows_of(structure.liquidity_zones(points, last, tolerance=2e-5), "level", "strength")
+    want = {}
+    for k, p in enumerate(prices):
+        near = [q for q in prices if abs(q - p) <= 20.0]
+        level = np.floor(fsum(near) / len(near) * 1e5 + 0.5) / 1e5
+        want.setdefault(np.floor(level * 1000 + 0.5), (level, len(near)))
+    assert len(got) == len(want) and all(abs(a[0] - b[0]) <= 1.1e-5 and a[1] == b[1] for a, b in zip(got, sorted(want.values())))
+
+
 def test_liquidity_levels_match_pairwise_clusters(spark):
     pdf = random_bars(400, 13)
     points = structure.swings(spark.createDataFrame(pdf))

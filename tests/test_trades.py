@@ -4,7 +4,7 @@ import pytest
 from conftest import bars_of, random_bars, rows_of
 from pyspark.sql import functions as F
 
-from tickweave.operators import greedy, labels, regime, robustness, stats
+from tickweave.operators import tradelog, greedy, labels, regime, robustness, stats
 from tickweave.operators.frames import block_of, in_frames
 from tickweave.plans import research
 from tickweave.sources.dims import pairs
@@ -87,6 +87,18 @@ def test_one_open_trade_at_a_time(spark, rows):
     assert got == greedy_loop(trades)
 
 
+@pytest.mark.parametrize("rows, fan", [(64, 4), (512, 16)])
+def test_greedy_choice_of_a_long_series(spark, rows, fan):
+    """10^5 candidates of one symbol in tiny blocks, composed over several levels of the tree."""
+    rng = np.random.default_rng(rows)
+    ixs = np.flatnonzero(rng.random(140_000) < 0.72)[:100_000]
+    exits = ixs + rng.integers(0, 60, len(ixs)) + np.where(rng.random(len(ixs)) < 0.001, 5000, 0)
+    trades = list(zip(ixs.tolist(), exits.tolist()))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "S", "ix": ixs, "exit_ix": exits}))
+    got = [ix for (ix,) in rows_of(greedy.non_overlapping(df, ["symbol"], rows=rows, fan=fan), "ix")]
+    assert got == greedy_loop(trades)
+
+
 def test_signal_on_the_exit_bar_waits(spark):
     df = spark.createDataFrame([("S", 0, 2), ("S", 1, 3), ("S", 2, 4), ("S", 3, 5), ("S", 5, 6), ("S", 6, 7)], "symbol string, ix long, exit_ix long")
     assert rows_of(greedy.non_overlapping(df, ["symbol"]), "ix") == [(0,), (3,), (6,)]
@@ -120,12 +132,24 @@ def r_trades(spark, rs, symbol="S", start="2024-01-01"):
     return spark.createDataFrame(pdf)
 
 
-def test_statistics_match_numpy_whatever_the_slices(spark):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+@pytest.mark.parametrize("one_day", [False, True])
+def test_statistics_match_numpy_whatever_the_pieces(spark, coalesced, one_day):
     rs = np.random.default_rng(3).normal(0.1, 1, 200)
     cum = rs.cumsum()
     mdd = (np.maximum.accumulate(cum) - cum).max()
-    for sl in (F.to_date("ts"), block_of(rows=1000), block_of(rows=1)):
-        s = stats.trade_stats(r_trades(spark, rs), ["symbol"], slice_expr=sl).collect()[0]
+    trades = r_trades(spark, rs)
+    if one_day:
+        trades = trades.withColumn("ts", F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("ix")))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        pieces = stats._drawdown_parts(trades, ["symbol"], F.col("net_pnl_r"), ["ts"], {}).count()
+        assert pieces > 1 if coalesced == "false" else pieces >= 1
+        s = stats.trade_stats(trades, ["symbol"]).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for s in (s,):
         assert s["total_trades"] == 200 and s["wins"] == (rs > 0).sum()
         assert np.isclose(s["mdd_r"], mdd) and np.isclose(s["avg_r"], rs.mean())
         assert np.isclose(s["sharpe"], rs.mean() / rs.std() * np.sqrt(52 * 7 * 24))
@@ -251,3 +275,17 @@ def test_gap_grid_contains_the_single_run(spark):
     assert grid.groupBy("min_gap", "sl_atr", "max_hold").count().count() == 48
     one = rows_of(grid.filter("min_gap = 0.3 and sl_atr = 1.0 and max_hold = 5"), "ix", "exit_reason", "exit_price")
     assert one and one == rows_of(research.gap_trades(bars, pairs(spark)), "ix", "exit_reason", "exit_price")
+
+
+def test_a_trade_followed_through_all_prices(spark):
+    path = [100, 101, 99, 111, 100.5, 121, 131, 100, 90, 80, 100]
+    prices = spark.createDataFrame([("S", "1h", k, float(p)) for k, p in enumerate(path)], "symbol string, tf string, ix long, price double")
+    rows = [("a", 0, "buy", 100.0, 90.0, 110.0, 120.0, 130.0), ("b", 3, "buy", 111.0, 95.0, 120.0, 130.0, 140.0), ("c", 6, "sell", 131.0, 140.0, 121.0, 101.0, 85.0),
+            ("d", 6, "buy", 131.0, 95.0, 140.0, 150.0, None), ("e", 9, "buy", 80.0, 70.0, 90.0, 110.0, 120.0), ("f", 6, "buy", 131.0, None, 140.0, 150.0, 160.0),
+            ("g", 4, "buy", 100.5, 90.0, 101.0, 102.0, 140.0)]
+    trades = spark.createDataFrame([("S", "1h", i, *r) for r in rows for i in [r[1]]], "symbol string, tf string, ix long, id string, at long, direction string, entry double, stop_loss double, tp1 double, tp2 double, tp3 double")
+    for block in (2, 4096):
+        got = rows_of(tradelog.monitor_path(trades, prices, rows=block), "id", "ix", "level", "closed_ix", "status", "result", "actual_rr")
+        assert got == [
+            ("a", 0, 3, 6, "closed", "win", 3.0), ("b", 3, 2, 7, "closed", "win", 0.0), ("c", 6, 3, 9, "closed", "win", 46.0 / 9), ("d", 6, 0, 8, "closed", "loss", -1.0),
+            ("e", 9, 1, None, "open", None, None), ("f", 6, 0, None, "open", None, None), ("g", 4, 2, 7, "closed", "win", 0.0)]

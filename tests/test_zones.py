@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
-from conftest import bars_of, rows_of
+from conftest import bars_of, random_bars, rows_of
 from pyspark.sql import functions as F
 
-from tickweave.operators import scoring, structure, zones
+from tickweave.operators import open_zones, scoring, structure, zones
 
 FLAT = (100, 100.5, 99.5, 100)
 
@@ -99,3 +100,51 @@ def test_routing(spark):
     fb = spark.createDataFrame([("a", "1h", 60.0, "fb"), ("b", "1h", 70.0, "fb"), ("c", "1h", 70.0, "fb"), ("d", "1h", 50.0, "fb"), ("f", "1h", 50.0, "fb")], cols)
     regime = spark.createDataFrame([(*k, r) for k, r in zip(keys, ("UNKNOWN", "UNKNOWN", "TRENDING", "QUIET", "QUIET", "VOLATILE"))], "symbol string, tf string, regime string")
     assert rows_of(scoring.route(smc, fb, regime), "symbol", "strategy") == [("a", "smc"), ("b", "fb"), ("c", "smc"), ("d", "fb"), ("e", "smc"), ("f", "fb")]
+
+
+def slow_zones(pdf, keep):
+    """Per bar and direction the open block and gap that hold the close, from the bars up to it alone."""
+    o, h, l, c, atr = (pdf[x].to_numpy() for x in ("open", "high", "low", "close", "atr"))
+    inside = lambda p, top, bottom: bottom - (top - bottom) * 0.002 - top * 0.0001 <= p <= top + (top - bottom) * 0.002 + top * 0.0001
+    out = []
+    for t in range(len(c)):
+        best = {}
+        for i in range(max(3, t - 19), t):
+            bull, later = o[i] > c[i], slice(i + 1, min(i + 5, t) + 1)
+            if o[i] == c[i] or abs(o[i] - c[i]) < atr[t] * 0.1:
+                continue
+            impulse = h[later].max() - l[i] if bull else h[i] - l[later].min()
+            dead = (c[i + 1 : t + 1] < l[i]).any() if bull else (c[i + 1 : t + 1] > h[i]).any()
+            top, bottom = (o[i], l[i]) if bull else (h[i], o[i])
+            if impulse >= atr[t] * 2 and not dead and inside(c[t], top, bottom):
+                strength = np.floor(min(3.0, impulse / atr[t]) * 100 + 0.5) / 100
+                best.setdefault("buy" if bull else "sell", []).append((strength, i))
+        tall = [g for i in range(2, t + 1) for g in [(i, 1, l[i], h[i - 2])] * (h[i - 2] < l[i]) + [(i, -1, l[i - 2], h[i])] * (l[i - 2] > h[i]) if g[2] - g[3] >= atr[t] * 0.3]
+        for name, side in (("buy", 1), ("sell", -1)):
+            open_gaps = [i for i, s, top, bottom in tall[-keep:] if s == side and inside(c[t], top, bottom) and not ((l[i + 1 : t + 1] <= bottom).any() if s > 0 else (h[i + 1 : t + 1] >= top).any())]
+            out.append((t, name, max(best[name])[1] if name in best else None, open_gaps[-1] if open_gaps else None))
+    return out
+
+
+@pytest.mark.parametrize("rows, fan, keep", [(20, 2, 2), (32, 64, 20), (4096, 64, 3)])
+def test_open_zones_match_a_loop_and_know_no_future(spark, rows, fan, keep):
+    rng = np.random.default_rng(rows)
+    pdf = random_bars(260, 3)
+    pdf["atr"] = rng.uniform(0.2, 1.5, len(pdf)) * (pdf["high"] - pdf["low"]).mean()
+    found = open_zones.zones_as_of(spark.createDataFrame(pdf), keep=keep, rows=rows, fan=fan)
+    got = rows_of(found, "ix", "direction", "ob_ix", "fvg_ix")
+    want = slow_zones(pdf, keep)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(r[2] is not None for r in want) > 10 and sum(r[3] is not None for r in want) > 10
+    part = open_zones.zones_as_of(spark.createDataFrame(pdf[:140]), keep=keep, rows=rows, fan=fan)
+    assert sorted(rows_of(part, "ix", "direction", "ob_ix", "fvg_ix"), key=str) == sorted([r for r in want if r[0] < 140], key=str)
+
+
+def test_skyband_keeps_all_that_can_be_chosen():
+    rng = np.random.default_rng(1)
+    table = np.stack([np.arange(300), np.ones(300), rng.integers(1, 30, 300), np.zeros(300), np.full(300, np.inf)], axis=1).astype(float)
+    band = {int(r[0]) for r in open_zones.skyband(table, 4)}
+    for least in range(31):
+        tall = [int(r[0]) for r in table if r[2] - r[3] >= least]
+        assert set(tall[-4:]) <= band
+    assert len(band) < 60

@@ -149,7 +149,8 @@ def zones_as_of(
 
     def evaluate(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if frame.empty or known.empty:
-            return pd.DataFrame({f.name: [] for f in zone.fields})
+            kinds = {T.TimestampType(): "datetime64[ns]", T.LongType(): "Int64", T.DoubleType(): "float64"}
+            return pd.DataFrame({f.name: pd.Series([], dtype=kinds.get(f.dataType, "object")) for f in zone.fields})
         frame = frame.sort_values("ix")
         at = {c: frame[c].to_numpy(np.float64, na_value=np.nan) for c in ("open", "high", "low", "close", "atr", "ix")}
         blocks, open_gaps = _blocks(at, lookback, impulse_bars), _gaps(at, scan.from_bytes(known["_known"].iloc[0], GAP), keep, min_atr)

@@ -291,7 +291,7 @@ def suite(
     main = ("total_trades", "pf", "wr", "avg_r", "mdd_r", "sharpe")
     short = ("total_trades", "pf", "wr", "avg_r")
     parts = [
-        _long(stats.trade_stats(trades, by, order=order, slice_expr=sl), by, "baseline", main),
+        _long(stats.trade_stats(trades, by, order=order), by, "baseline", main),
         _long(stats.plain_stats(trades, [*by, "year"]), by, "year", short, F.col("year")),
         _long(walk_forward(trades, by, order, sl), by, "walk_forward", ("train_pf", "test_pf", "degradation"), F.col("fold")),
         _long(spread_stress(trades, by), by, "spread", short, F.col("mult").cast("int")),

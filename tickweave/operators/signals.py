@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.operators import indicators as ind
+from tickweave.operators import scan
 from tickweave.operators.frames import BLOCK_ROWS, KEYS, block_of, in_frames, running
+from tickweave.operators.streaks import streak_signals
+from tickweave.session import cut
 
 Strategy = Callable[[WindowSpec], Column]
 
@@ -287,53 +290,23 @@ def pandas_strategy(
 
 # --- stateful generators ---------------------------------------------------------------------
 
-def vshape(bars: DataFrame, run: int = 3, atr_mult: float = 1.5, rows: int = BLOCK_ROWS) -> DataFrame:
+def vshape(bars: DataFrame, run: int = 3, atr_mult: float = 1.5, rows: int = BLOCK_ROWS, fan: int = scan.FAN) -> DataFrame:
     """Fade a streak of ``run`` or more same-sign returns that moved over ``atr_mult`` ATR, then start over.
 
-    A change of sign or a zero return starts a new streak whatever came before, so streaks are
-    independent groups; the start over after a signal happens inside one streak. Every bar of a streak
-    moves at least one tick, so its length is bounded by the price range over the tick size.
+    A change of sign or a zero return starts a new streak whatever came before. ``bars`` is read twice: pass a written table.
     """
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         prev = F.lag("close", 1).over(w)
         change = F.try_divide(F.col("close"), prev) - 1
-        df = df.withColumns({"_ret": change, "_move": F.abs(change) * prev})
-        sign = F.when(F.col("_ret") > 0, 1).otherwise(-1)
-        return df.withColumn("_sign", sign).withColumn(
-            "_start",
-            F.when((F.col("_ret") == 0) | F.lag("_ret", 1).over(w).isNull() | (F.col("_sign") != F.lag("_sign", 1).over(w)), F.col("ix")),
-        )
-
-    # A zero return opens a streak of sign -1 with no move, as a fresh start does.
-    marked = in_frames(bars, build, before=2, rows=rows).filter(F.col("_ret").isNotNull())
-    runs = running(marked, {"_run": ("last", F.col("_start"))}, ["ix"], block_of(rows=rows))
-    item = F.struct("ix", "ts", "_move", "atr")
-    grouped = (
-        runs.groupBy(*KEYS, "_run", "_sign")
-        .agg(F.sort_array(F.collect_list(item)).alias("_bars"))
-        .filter(F.size("_bars") >= run)
-    )
-    # State per streak: bars and move since the last signal, and the positions that fired.
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(0.0).alias("move"),
-        F.array().cast("array<struct<ix:bigint,ts:timestamp>>").alias("fired"),
-    )
+        df = df.withColumns({"_ret": change, "move": F.abs(change) * prev})
+        df = df.withColumn("_sign", F.when(F.col("_ret") > 0, 1).otherwise(-1))
+        # A zero return opens a streak of sign -1 with no move, as a fresh start does.
+        start = (F.col("_ret") == 0) | F.lag("_ret", 1).over(w).isNull() | (F.col("_sign") != F.lag("_sign", 1).over(w))
+        return df.withColumns({"start": start, "signal": -F.col("_sign"), "least": F.col("atr") * atr_mult})
 
-    def step(state: Column, bar: Column) -> Column:
-        n, move = state["n"] + 1, state["move"] + bar["_move"]
-        fires = (n >= run) & F.coalesce(move > bar["atr"] * atr_mult, F.lit(False))
-        mark = F.array(F.struct(bar["ix"].alias("ix"), bar["ts"].alias("ts")))
-        return F.struct(
-            F.when(fires, 0).otherwise(n).alias("n"),
-            F.when(fires, 0.0).otherwise(move).alias("move"),
-            F.when(fires, F.concat(state["fired"], mark)).otherwise(state["fired"]).alias("fired"),
-        )
-
-    fired = F.aggregate("_bars", start, step, lambda s: s["fired"])
-    return (
-        grouped.select(*KEYS, (-F.col("_sign")).alias("signal"), F.explode(fired).alias("_f"))
-        .select(*KEYS, F.col("_f.ts").alias("ts"), F.col("_f.ix").alias("ix"), F.lit("vshape").alias("strategy"), "signal")
-    )
+    marked = in_frames(bars, build, before=2, rows=rows).filter(F.col("_ret").isNotNull())
+    found = streak_signals(cut(marked.select(*KEYS, "ix", "ts", "start", "move", "least", "signal")), run, rows, fan)
+    return found.select(*KEYS, "ts", "ix", F.lit("vshape").alias("strategy"), "signal")
 
 
 def monday_gap(

@@ -1,8 +1,9 @@
 """Trade statistics. Order-dependent figures (drawdown) are computed per slice and then combined.
 
-A group such as "all trades" can be arbitrarily large, so no window runs over a whole group: each
-slice of the group's order yields its sum, highest and lowest running sum and own drawdown, and
-these few numbers per slice give the figures of the group exactly.
+A group such as "all trades" can be arbitrarily large, and so can a single day of it, so no window runs over
+either: groups are cut into pieces of equal size along their order (ranges of all rows sorted by group and
+order), each piece yields its sum, highest and lowest running sum and own drawdown, and these few numbers
+per piece give the figures of the group exactly.
 """
 
 from __future__ import annotations
@@ -23,11 +24,16 @@ def by_day(ts: str = "ts") -> Column:
     return F.to_date(ts)
 
 
-def _drawdown_parts(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], slice_expr: Column, extra: dict[str, Column]) -> DataFrame:
-    """One row per group and slice: sum, extremes of the running sum, drawdown inside the slice."""
-    part = [*by, "_s"]
-    run = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_s", slice_expr).withColumn("_v", value)
+def _drawdown_parts(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], extra: dict[str, Column]) -> DataFrame:
+    """One row per group and piece of its order: sum, extremes of the running sum, drawdown inside the piece.
+
+    Pieces are ranges of (group, order, hash of the value), as many as there are shuffle partitions, whatever the order's
+    values are; rows that agree in all of them may stand in any order.
+    """
+    part, full = [*by, "_s"], [*order, "_tie"]
+    df = df.withColumn("_v", value).withColumn("_tie", F.xxhash64("_v"))
+    df = df.repartitionByRange(*dict.fromkeys([*by, *full])).withColumn("_s", F.spark_partition_id())
+    run = Window.partitionBy(*part).orderBy(*full).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_cum", F.sum("_v").over(run))
     df = df.withColumn("_peak", F.max("_cum").over(run))
     return df.groupBy(*part).agg(
@@ -48,9 +54,9 @@ def _join_drawdown(parts: DataFrame, by: Sequence[str], start: float | None = No
     return parts.withColumn("_drop", F.greatest(F.col("_dd"), F.col("_before") - F.col("_off") - F.col("_lo"), F.lit(0.0)))
 
 
-def max_drawdown(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], slice_expr: Column) -> DataFrame:
+def max_drawdown(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str]) -> DataFrame:
     """Largest fall of the running sum from its peak so far, per group."""
-    parts = _join_drawdown(_drawdown_parts(df, by, value, order, slice_expr, {}), by)
+    parts = _join_drawdown(_drawdown_parts(df, by, value, order, {}), by)
     return parts.groupBy(*by).agg(F.max("_drop").alias("mdd"))
 
 
@@ -70,7 +76,7 @@ def stat_columns(periods: float) -> dict[str, Column]:
 
 def trade_stats(
     trades: DataFrame, by: Sequence[str], pnl: str = "net_pnl_r",
-    order: Sequence[str] = ("ts",), slice_expr: Column | None = None, periods: float = HOURS,
+    order: Sequence[str] = ("ts",), periods: float = HOURS,
 ) -> DataFrame:
     """Count, wins, losses, profit factor, win rate, mean, drawdown, Sharpe, gross profit and loss per group."""
     v = F.col(pnl)
@@ -83,7 +89,7 @@ def trade_stats(
         "gross_loss": F.sum(F.when(v < 0, -v).otherwise(zero)),
         "_sq": F.sum(v * v),
     }
-    parts = _drawdown_parts(trades.filter(v.isNotNull()), by, v, order, by_day() if slice_expr is None else slice_expr, extra)
+    parts = _drawdown_parts(trades.filter(v.isNotNull()), by, v, order, extra)
     parts = _join_drawdown(parts, by)
     sums = parts.groupBy(*by).agg(
         F.max("_drop").alias("mdd_r"), F.sum("_sum").alias("_sum"), *[F.sum(n).alias(n) for n in extra]
@@ -139,7 +145,7 @@ def account_stats(
     g = log_growth(F.col(r), risk_pct)
     eq = eq.withColumn("_money", F.when(F.col("equity") > 0, F.col("equity") - F.col("equity") / F.exp(g)).otherwise(0.0))
     win, loss = F.col(r) > 0, F.col(r) < 0
-    parts = _drawdown_parts(eq, by, g, order, slice_expr, {
+    parts = _drawdown_parts(eq, by, g, order, {
         "total_trades": F.count(F.lit(1)),
         "wins": F.count(F.when(win, 1)),
         "losses": F.count(F.when(loss, 1)),

@@ -211,7 +211,9 @@ def liquidity_zones(points: DataFrame, last: DataFrame, tolerance: float = 0.001
 
     ``last`` holds close and atr per series. Equal prices are merged first. The cluster of each price is
     the difference of two running sums over the sorted prices, read at price - tol and price + tol, so
-    no pair of swings is ever formed. Levels equal to 3 decimals keep the first, highs before lows.
+    no pair of swings is ever formed. The sums are decimals of 12 places, so their differences are exact however
+    long they are; sorted prices are cut into pieces of equal size, however narrow the range they lie in.
+    Levels equal to 3 decimals keep the first, highs before lows.
     """
     side_keys = (*KEYS, "side")
     merged = points.groupBy(*side_keys, "price").agg(F.count(F.lit(1)).alias("n"), F.min("ix").alias("first_ix"))
@@ -223,12 +225,13 @@ def liquidity_zones(points: DataFrame, last: DataFrame, tolerance: float = 0.001
         F.struct(F.lit(2).alias("kind"), (F.col("price") + F.col("_tol")).alias("at")),
     )
     marks = levels.withColumn("_m", F.explode(mark)).select("*", "_m.kind", "_m.at").drop("_m")
-    own = F.col("kind") == 1
-    width = F.greatest(F.col("_tol") * 64, F.lit(1e-12))
+    own, order = F.col("kind") == 1, ["at", "kind", "price"]
+    marks = cut(marks.repartitionByRange(*side_keys, *order).withColumn("_piece", F.spark_partition_id()))
+    weighted = F.col("n").cast("decimal(10,0)") * F.col("price").cast("decimal(26,12)")
     sums = running(
         marks,
-        {"_cn": ("sum", F.when(own, F.col("n")).otherwise(0)), "_cs": ("sum", F.when(own, F.col("n") * F.col("price")).otherwise(0.0))},
-        ["at", "kind", "price"], F.floor(F.col("at") / width), keys=side_keys,
+        {"_cn": ("sum", F.when(own, F.col("n")).otherwise(0)), "_cs": ("sum", F.when(own, weighted).otherwise(F.lit(0).cast("decimal(37,12)")))},
+        order, F.col("_piece"), keys=side_keys,
     )
 
     def read(kind: int, c: str) -> Column:
@@ -236,7 +239,7 @@ def liquidity_zones(points: DataFrame, last: DataFrame, tolerance: float = 0.001
 
     clusters = sums.groupBy(*side_keys, "price").agg(
         F.first("n").alias("n"), F.first("first_ix").alias("first_ix"), F.first("_now").alias("_now"), F.first("_atr").alias("_atr"),
-        (read(2, "_cn") - read(0, "_cn")).alias("strength"), (read(2, "_cs") - read(0, "_cs")).alias("_total"),
+        (read(2, "_cn") - read(0, "_cn")).alias("strength"), (read(2, "_cs") - read(0, "_cs")).cast("double").alias("_total"),
     )
     high = F.col("side") == "high"
     many = F.col("strength") >= 2

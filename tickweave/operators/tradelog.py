@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators import stats
+from tickweave.operators.crossing import first_cross
+from tickweave.operators.frames import BLOCK_ROWS, KEYS
+from tickweave.session import cut
 
 RECENT_COLUMNS = (
     "symbol", "direction", "entry", "stop_loss", "tp1", "status", "result", "opened_at", "closed_at",
@@ -54,13 +57,13 @@ def drawdown(log: DataFrame, now: Column, days: int = 30, start: float = 10000.0
     """Largest and current drawdown and peak of an account that took every closed trade in order of opening.
 
     Wins grow the balance by ``risk_pct`` percent times their ratio, everything else loses ``risk_pct``
-    percent. The log is cut into days; the few numbers of each day are combined at the end.
+    percent. The log is cut into pieces of its order; the few numbers of each are combined at the end.
     """
     closed = since(log, now, days)
     factor = F.when(F.col("result") == "win", F.abs("actual_rr")).otherwise(-1.0)
     g = stats.log_growth(factor, risk_pct)
     one = closed.withColumn("_all", F.lit(1))
-    parts = stats._drawdown_parts(one, ["_all"], g, ["opened_at", "id"], F.to_date("opened_at"), {})
+    parts = stats._drawdown_parts(one, ["_all"], g, ["opened_at", "id"], {})
     parts = stats._join_drawdown(parts, ["_all"], start=0.0)
     peak = F.greatest(F.max(F.col("_off") + F.col("_hi")), F.lit(0.0))
     return parts.agg(
@@ -136,3 +139,38 @@ def monitor(trades: DataFrame, prices: DataFrame, compat: bool = False, tie: Seq
         **{f"tp{k}_hit": F.when(F.col("new_tp") == k, 1).otherwise(F.col(f"tp{k}_hit")) for k in (1, 2, 3)},
         "be_moved": F.when(F.coalesce(moved, F.lit(False)), 1).otherwise(F.col("be_moved")),
     }).drop("_stop")
+
+
+def monitor_path(trades: DataFrame, prices: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """What repeated passes over the whole price path make of each trade: ``level`` (targets reached), ``closed_ix``, status,
+    result and actual_rr.
+
+    Trades (symbol, tf, ix, direction, entry, stop_loss, tp1 to tp3) are watched from the price after ``ix``; prices are
+    (symbol, tf, ix, price). Between targets only two prices matter, the next target and the stop, which is the entry once
+    the first target is reached; so the passes are three searches for the first price beyond either. A null target is never
+    reached, and neither is a null stop. Both are read three times: pass written tables.
+    """
+    path, buy = prices.select(*KEYS, "ix", "price"), F.col("direction") == "buy"
+    at_price = path.withColumnsRenamed({"ix": "_hit", "price": "_px"})
+    live = trades.withColumns({"_start": F.col("ix"), "level": F.lit(0), "closed_ix": F.lit(None).cast("long")})
+    for k in (1, 2, 3):
+        target, stop = F.col(f"tp{k}"), F.col("stop_loss") if k == 1 else F.col("entry")
+        open_still = (F.col("level") == k - 1) & F.col("closed_ix").isNull()
+        live = live.withColumns({
+            "up": F.when(open_still, F.when(buy, target).otherwise(stop)), "down": F.when(open_still, F.when(buy, stop).otherwise(target)),
+        })
+        live = cut(first_cross(live, path, high="price", low="price", out="_hit", strict=False, rows=rows))
+        live = live.join(at_price, [*KEYS, "_hit"], "left")
+        won = F.coalesce(F.when(buy, F.col("_px") >= target).otherwise(F.col("_px") <= target), F.lit(False))
+        live = live.withColumns({
+            "level": F.when(won, k).otherwise(F.col("level")),
+            "closed_ix": F.when(F.col("_hit").isNotNull() & (~won | F.lit(k == 3)), F.col("_hit")).otherwise(F.col("closed_ix")),
+            "ix": F.coalesce("_hit", "ix"),
+        }).drop("_hit", "_px", "up", "down")
+    closed, full = F.col("closed_ix").isNotNull(), F.col("level") == 3
+    ratio3 = F.try_divide(F.abs(F.col("tp3") - F.col("entry")), F.abs(F.col("entry") - F.col("stop_loss")))
+    return live.withColumns({
+        "ix": F.col("_start"), "status": F.when(closed, "closed").otherwise("open"),
+        "result": F.when(closed, F.when(F.col("level") > 0, "win").otherwise("loss")),
+        "actual_rr": F.when(full, ratio3).when(closed, F.when(F.col("level") > 0, 0.0).otherwise(-1.0)),
+    }).drop("_start")

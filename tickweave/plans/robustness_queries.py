@@ -83,7 +83,7 @@ k AS (SELECT k0.*, sl_atr, max_hold FROM k0 CROSS JOIN ps CROSS JOIN ph), {gap_s
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
     trades = research.gap_grid_trades(tables.indexed_daily(spark, sf), tables.stand_in_pairs(spark))
     by = ["symbol", "min_gap", "sl_atr", "max_hold"]
-    return stats.trade_stats(trades, by, order=("ix",), slice_expr=block_of(), periods=stats.WEEKS)
+    return stats.trade_stats(trades, by, order=("ix",), periods=stats.WEEKS)
 
 
 @query("rb_grid_sweep", f"WITH {_GRID} SELECT {sql.out('symbol', '~min_gap', '~sl_atr', 'max_hold', *sql.STATS_OUT)} FROM st WHERE total_trades >= 10")
@@ -269,7 +269,6 @@ def rb_regime_portfolio(spark: SparkSession, sf: str) -> DataFrame:
     """One account over both strategies, first all false breakouts, then all breakouts, symbol by symbol."""
     bars = tables.indexed_daily(spark, sf)
     both = cut(robustness.regime_portfolio(tagged(spark, sf, bars), smc_daily(spark, sf, bars))).withColumn("name", F.lit("portfolio"))
-    piece = F.struct("source", "symbol", block_of().alias("b"))
-    out = stats.trade_stats(both, ["name"], order=("source", "symbol", "ix", "direction"), slice_expr=piece)
+    out = stats.trade_stats(both, ["name"], order=("source", "symbol", "ix", "direction"))
     share = both.agg((F.avg((F.col("source") == "false_breakout").cast("double")) * 100).alias("fb_share"), F.lit("portfolio").alias("name"))
     return present(out.join(share, "name").drop("name"))

@@ -8,8 +8,12 @@ the delay are dropped and counted by Spark (``numRowsDroppedByWatermark``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,39 +183,109 @@ TRADE_FIELDS = "side double, entry double, stop double, tp1 double, tp2 double,
 EVENT_COLUMNS = "symbol string, ts timestamp, kind string, id string, direction string, entry double, stop_loss double, tp1 double, tp2 double, tp3 double, price double"
 
 
+class Levels:
+    """Next target and stop of open trades in order of price, so that a price finds those it crosses and touches no other."""
+
+    def __init__(self, trades: dict[str, list]):
+        self.trades, self.turn, self.above, self.below = trades, {}, [], []
+        for name in trades:
+            self.watch(name)
+
+    def watch(self, name: str) -> None:
+        """Enter the two prices that matter next; entries made before for the trade no longer count."""
+        side, entry, stop, *targets, level = self.trades[name]
+        turn = self.turn[name] = self.turn.get(name, 0) + 1
+        target, line = targets[level] if level < 3 else None, entry if level else stop
+        for up, price in ((side > 0, target), (side < 0, line)):
+            for heap, wanted, sign in ((self.above, up, 1.0), (self.below, not up, -1.0)):
+                if wanted and price is not None and not math.isnan(price):
+                    heappush(heap, (sign * price, name, turn))
+
+    def crossed(self, price: float) -> list[str]:
+        """Trades whose next target or stop this price has reached, by name."""
+        found = set()
+        for heap, limit in ((self.above, price), (self.below, -price)):
+            while heap and heap[0][0] <= limit:
+                _, name, turn = heappop(heap)
+                if name in self.trades and self.turn[name] == turn:
+                    found.add(name)
+        return sorted(found)
+
+
 class Tracker(StatefulProcessor):
-    """Open trades of a symbol; each price may advance a trade by one target or close it."""
+    """Open trades of a symbol; each price may advance a trade by one target or close it.
+
+    Signals and prices wait until the watermark has reached their time and are used in time order then, signals first.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getMapState("open", "id string", TRADE_FIELDS)
+        self.waiting = handle.getListState("waiting", "at long, kind string, id string, side double, entry double, stop double, tp1 double, tp2 double, tp3 double, price double")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            side = np.where(frame["direction"] == "buy", 1.0, -1.0)
+            values = frame[["entry", "stop_loss", "tp1", "tp2", "tp3", "price"]].astype("float64").to_numpy()
+            at = [_micros(ts) for ts in frame["ts"]]
+            self.waiting.appendList([(a, k, str(i), float(d), *map(float, v)) for a, k, i, d, v in zip(at, frame["kind"], frame["id"], side, values)])
+            earliest = min(at) if earliest is None else min(earliest, *at)
+        if earliest is not None and (not self.timer.exists() or earliest < self.timer.get()[0]):
+            self._wake(earliest)
+        return iter(())
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+        self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda e: (e[0], e[1] != "signal", e[2])) if self.waiting.exists() else []
+        due = [e for e in held if e[0] <= passed]
+        if not due:
+            return
+        rest = held[len(due):]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+            self.timer.clear()
+        yield self._use(key[0], due)
+
+    def _use(self, symbol: str, events: list[tuple]) -> pd.DataFrame:
         trades = {k[0]: list(v) for k, v in self.open.iterator()}
-        touched, out = set(), []
-        for e in _rows(rows, ["ts", "kind", "id"]).itertuples(index=False):
-            if e.kind == "signal":
-                side = 1.0 if e.direction == "buy" else -1.0
-                trades[e.id] = [side, e.entry, e.stop_loss, e.tp1, e.tp2, e.tp3, 0]
-                touched.add(e.id)
-                out.append((key[0], e.id, e.ts, "open", None, None, 0))
+        levels, touched, out = Levels(trades), set(), []
+        for at, kind, name, side, entry, stop, tp1, tp2, tp3, price in events:
+            ts = pd.Timestamp(at, unit="us")
+            if kind == "signal":
+                trades[name] = [side, entry, stop, tp1, tp2, tp3, 0]
+                levels.watch(name)
+                touched.add(name)
+                out.append((symbol, name, ts, "open", None, None, 0))
                 continue
-            for name, t in list(trades.items()):
-                change = self._advance(t, e.price)
-                if change:
-                    touched.add(name)
-                    out.append((key[0], name, e.ts, *change, t[6]))
-                    if change[0] == "closed":
-                        del trades[name]
+            for name in levels.crossed(price):
+                t = trades[name]
+                change = self._advance(t, price)
+                touched.add(name)
+                out.append((symbol, name, ts, *change, t[6]))
+                if change[0] == "closed":
+                    del trades[name]
+                else:
+                    levels.watch(name)
         for name in touched:
             if name in trades:
                 self.open.updateValue((name,), tuple(trades[name]))
             elif self.open.containsKey((name,)):
                 self.open.removeKey((name,))
         frame = pd.DataFrame(out, columns=["symbol", "id", "ts", "status", "result", "actual_rr", "level"])
-        yield frame.astype({"actual_rr": "float64", "level": "int32"})
+        return frame.astype({"actual_rr": "float64", "level": "int32", "ts": "datetime64[us]"})
 
     @staticmethod
     def _advance(t: list, price: float):
+        """What a price beyond the next target or the stop does."""
         side, entry, stop, *targets, level = t
         if level < 3 and side * (price - targets[level]) >= 0:
             t[6] = level + 1
@@ -219,23 +293,22 @@ class Tracker(StatefulProcessor):
                 risk = abs(entry - stop)
                 return "closed", "win", abs(targets[2] - entry) / risk if risk else 0.0
             return "open", None, None
-        line = entry if level else stop
-        if side * (price - line) <= 0:
-            return ("closed", "win", 0.0) if level else ("closed", "loss", -1.0)
-        return None
+        return ("closed", "win", 0.0) if level else ("closed", "loss", -1.0)
 
     def close(self) -> None:
         pass
 
 
-def track_trades(events: DataFrame) -> DataFrame:
+def track_trades(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Signals and prices (see EVENT_COLUMNS) to changes of trades: status, result, ratio, targets reached.
 
-    After the first target the stop is the entry; the third target closes the trade.
+    After the first target the stop is the entry; the third target closes the trade. Events may arrive up to ``delay`` behind
+    the latest one and are used in time order whatever files they come in; those that are later are dropped and counted by
+    Spark, and those of the last ``delay`` wait for the stream to go on.
     """
     use_rocksdb(events.sparkSession)
     schema = "symbol string, id string, ts timestamp, status string, result string, actual_rr double, level int"
-    return events.groupBy("symbol").transformWithStateInPandas(Tracker(), schema, "Append", "None")
+    return events.withWatermark("ts", delay).groupBy("symbol").transformWithStateInPandas(Tracker(), schema, "Append", "EventTime")
 
 
 def upsert_sink(path: str):
@@ -301,3 +374,50 @@ def trade_limits(signals: DataFrame, per_day: int = 5, per_session: int = 3, del
     limited = signals.select("symbol", "ts", "session", "signal").mapInPandas(_first_per_session(per_session), schema)
     keyed = limited.withWatermark("ts", delay).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return keyed.groupBy("day").transformWithStateInPandas(Caps(per_day, per_session), schema, "Append", "EventTime")
+
+
+# --- delayed feed ------------------------------------------------------------------
+
+#: Rows sent on at a time when a minute is published.
+RELEASED_ROWS = 10_000
+
+
+class Hold(StatefulProcessor):
+    """Rows of a minute wait in a list until the watermark has passed the minute by the delay, and go out a few at a time."""
+
+    def __init__(self, minutes: int):
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "ts timestamp, price double, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.rows.exists():
+            due = pd.Timestamp(key[1]) + pd.Timedelta(minutes=self.minutes + 1)
+            self.handle.registerTimer(int(due.value // 1_000_000))
+        for frame in rows:
+            self.rows.appendList([(ts.to_pydatetime(), float(price), int(i)) for ts, price, i in zip(frame["ts"], frame["price"], frame["event_id"])])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.rows.get()
+        while part := list(islice(held, RELEASED_ROWS)):
+            out = pd.DataFrame(part, columns=["ts", "price", "event_id"])
+            yield out.assign(symbol=key[0])[["symbol", "ts", "price", "event_id"]]
+        self.rows.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_feed(ticks: DataFrame, minutes: int, lateness: int = 10, pieces: int = 16) -> DataFrame:
+    """Ticks published once the latest time seen is ``minutes`` (and the lateness) past their minute.
+
+    They wait row by row in the state of (symbol, minute, piece of the ids), with a timer for each, so a busy symbol or
+    minute is spread over many groups and none is ever one value.
+    """
+    use_rocksdb(ticks.sparkSession)
+    held = ticks.select("symbol", "ts", "price", "event_id").withWatermark("ts", f"{lateness} minutes")
+    keyed = held.groupBy("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.pmod("event_id", F.lit(pieces)).alias("piece"))
+    return keyed.transformWithStateInPandas(Hold(minutes), "symbol string, ts timestamp, price double, event_id long", "Append", "EventTime")

@@ -43,14 +43,3 @@ def rolling_performance(closed: DataFrame, span: str = "30 days", step: str = "1
         .agg(F.count(F.lit(1)).alias("trades"), F.count(F.when(win, 1)).alias("wins"))
         .select(F.col("_w.start").alias("from_ts"), F.col("_w.end").alias("to_ts"), "trades", "wins", (ratio(F.col("wins"), F.col("trades")) * 100).alias("win_rate"))
     )
-
-
-def delayed_feed(ticks: DataFrame, minutes: int, lateness: int = 10) -> DataFrame:
-    """Ticks published once the latest time seen is ``minutes`` (and the lateness) past their minute.
-
-    They wait in the window state of (symbol, minute, piece of the ids), so a busy symbol or minute is
-    spread over many groups.
-    """
-    held = ticks.withWatermark("ts", f"{minutes + lateness} minutes")
-    waiting = held.groupBy(F.window("ts", "1 minute").alias("_w"), "symbol", F.pmod("event_id", F.lit(16)).alias("_piece"))
-    return waiting.agg(F.collect_list(F.struct("ts", "price", "event_id")).alias("_rows")).select("symbol", F.inline("_rows"))
