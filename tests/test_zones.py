@@ -119,7 +119,7 @@ def slow_zones(pdf, keep):
             if impulse >= atr[t] * 2 and not dead and inside(c[t], top, bottom):
                 strength = np.floor(min(3.0, impulse / atr[t]) * 100 + 0.5) / 100
                 best.setdefault("buy" if bull else "sell", []).append((strength, i))
-        tall = [g for i in range(2, t + 1) for g in [(i, 1, l[i], h[i - 2])] * (h[i - 2] < l[i]) + [(i, -1, l[i - 2], h[i])] * (l[i - 2] > h[i]) if g[2] - g[3] >= atr[t] * 0.3]
+        tall = [g for i in range(2, t + 1) for g in [(i, 1, l[i], h[i - 2])] * int(h[i - 2] < l[i]) + [(i, -1, l[i - 2], h[i])] * int(l[i - 2] > h[i]) if g[2] - g[3] >= atr[t] * 0.3]
         for name, side in (("buy", 1), ("sell", -1)):
             open_gaps = [i for i, s, top, bottom in tall[-keep:] if s == side and inside(c[t], top, bottom) and not ((l[i + 1 : t + 1] <= bottom).any() if s > 0 else (h[i + 1 : t + 1] >= top).any())]
             out.append((t, name, max(best[name])[1] if name in best else None, open_gaps[-1] if open_gaps else None))
