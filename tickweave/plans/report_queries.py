@@ -196,16 +196,16 @@ def tl_monitor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pass(k: int, src: str) -> str:
-    """CTE with the first close from ``at`` on beyond target k or the stop of trades at level k - 1, and what it does."""
+    """CTE with the first close after ``since_ix`` beyond target k or the stop of trades at level k - 1, and what it does."""
     stop = "stop_loss" if k == 1 else "entry"
-    return f"""h{k} AS (SELECT s.*, CASE WHEN level = {k - 1} AND closed_ix IS NULL THEN (SELECT min(b.ix) FROM bars b WHERE b.symbol = s.symbol AND b.ix > s.at
+    return f"""h{k} AS (SELECT s.*, CASE WHEN level = {k - 1} AND closed_ix IS NULL THEN (SELECT min(b.ix) FROM bars b WHERE b.symbol = s.symbol AND b.ix > s.since_ix
     AND (s.sg*(b.close - s.tp{k}) >= 0 OR s.sg*(b.close - s.{stop}) <= 0)) END AS hit FROM {src} s),
-p{k} AS (SELECT h.* EXCLUDE (at, level, closed_ix, hit), coalesce(hit, at) AS at, CASE WHEN sg*(b.close - tp{k}) >= 0 THEN {k} ELSE level END AS level,
+p{k} AS (SELECT h.* EXCLUDE (since_ix, level, closed_ix, hit), coalesce(hit, since_ix) AS since_ix, CASE WHEN sg*(b.close - tp{k}) >= 0 THEN {k} ELSE level END AS level,
     CASE WHEN hit IS NOT NULL AND ({k} = 3 OR sg*(b.close - tp{k}) < 0) THEN hit ELSE closed_ix END AS closed_ix FROM h{k} h LEFT JOIN bars b ON b.symbol = h.symbol AND b.ix = h.hit)"""
 
 
 @query("tl_monitor_path", f"""WITH {sql.event_bars('1h')}, {_FB_LIVE},
-p0 AS (SELECT symbol, ix, direction, entry, stop_loss, tp1, tp2, tp3, CASE direction WHEN 'buy' THEN 1 ELSE -1 END AS sg, ix AS at, 0 AS level, CAST(NULL AS BIGINT) AS closed_ix FROM fb),
+p0 AS (SELECT symbol, ix, direction, entry, stop_loss, tp1, tp2, tp3, CASE direction WHEN 'buy' THEN 1 ELSE -1 END AS sg, ix AS since_ix, 0 AS level, CAST(NULL AS BIGINT) AS closed_ix FROM fb),
 {_pass(1, 'p0')}, {_pass(2, 'p1')}, {_pass(3, 'p2')}
 SELECT symbol, ix, direction, level, closed_ix, CASE WHEN closed_ix IS NULL THEN 'open' ELSE 'closed' END AS status, CASE WHEN closed_ix IS NOT NULL THEN CASE WHEN level > 0 THEN 'win' ELSE 'loss' END END AS result,
   {sql.fx('CASE WHEN level = 3 THEN abs(tp3 - entry)/nullif(abs(entry - stop_loss), 0) WHEN closed_ix IS NOT NULL THEN CASE WHEN level > 0 THEN 0.0 ELSE -1.0 END END')} AS actual_rr FROM p3""")

@@ -215,7 +215,8 @@ class Levels:
 class Tracker(StatefulProcessor):
     """Open trades of a symbol; each price may advance a trade by one target or close it.
 
-    Signals and prices wait until the watermark has reached their time and are used in time order then, signals first.
+    Signals and prices wait until the watermark has reached their time and are used in time order then; a price of a signal's own
+    time is older than the signal.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -242,7 +243,7 @@ class Tracker(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda e: (e[0], e[1] != "signal", e[2])) if self.waiting.exists() else []
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda e: (e[0], e[1] != "price", e[2])) if self.waiting.exists() else []
         due = [e for e in held if e[0] <= passed]
         if not due:
             return
@@ -419,5 +420,5 @@ def delayed_feed(ticks: DataFrame, minutes: int, lateness: int = 10, pieces: int
     """
     use_rocksdb(ticks.sparkSession)
     held = ticks.select("symbol", "ts", "price", "event_id").withWatermark("ts", f"{lateness} minutes")
-    keyed = held.groupBy("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.pmod("event_id", F.lit(pieces)).alias("piece"))
+    keyed = held.withColumns({"minute": F.date_format("ts", "yyyy-MM-dd HH:mm"), "piece": F.pmod("event_id", F.lit(pieces))}).groupBy("symbol", "minute", "piece")
     return keyed.transformWithStateInPandas(Hold(minutes), "symbol string, ts timestamp, price double, event_id long", "Append", "EventTime")
