@@ -27,7 +27,7 @@ FIRST_BANDS, BLOCK_ROWS = 4, 2048
 COLLISIONS = 0.169919487159739093975315012348
 
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 18
 
 
 class _Hashes(dict):

@@ -47,8 +47,8 @@ class _Encodings(dict):
         self[stretch] = ids
         return ids
 
-    def grown(self) -> None:
-        if len(self) >= REMEMBERED // 2:
+    def grown(self, most: int) -> None:
+        if len(self) >= most // 2:
             self.older = dict(self)
             self.clear()
 
@@ -255,8 +255,8 @@ def _index(p: Pieces, stretches: list[str]) -> list[bytes]:
     return _relax(p, end - lengths, end, *_edges(p, codes, end[:-1]))
 
 
-def encode(texts: list[str | None], model: str = MODEL) -> list[np.ndarray]:
-    """Ids of each text, the model's own encoding; null and empty texts have none."""
+def encode(texts: list[str | None], model: str = MODEL, remembered: int = REMEMBERED) -> list[np.ndarray]:
+    """Ids of each text, the model's own encoding; null and empty texts have none. About ``remembered`` stretches are kept."""
     p = load(model)
     cut = [p.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     done, here = p.done, {}
@@ -281,7 +281,7 @@ def encode(texts: list[str | None], model: str = MODEL) -> list[np.ndarray]:
     done.other = here
     out = [np.frombuffer(b"".join(map(done.__getitem__, parts)), np.int32) for parts in cut]
     done.other = {}
-    done.grown()
+    done.grown(remembered)
     return out
 
 
@@ -300,13 +300,13 @@ def decode(ids, model: str = MODEL) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _encoder(model: str, back: bool):
+def _encoder(model: str, back: bool, remembered: int = REMEMBERED):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             # taken in parts, so that memory follows BATCH_CHARS or the longest text
             part = np.cumsum(pdf.text.str.len().fillna(0).to_numpy()) // BATCH_CHARS
             for _, rows in pdf.groupby(part, sort=False):
-                ids = encode(rows.text.tolist(), model)
+                ids = encode(rows.text.tolist(), model, remembered)
                 out = rows[["doc_id"]].assign(n_pieces=[len(x) for x in ids], ids=ids)
                 yield out.assign(round_trip=[decode(x, model) == (t or "") for x, t in zip(ids, rows.text)]) if back else out
 
@@ -321,10 +321,10 @@ def encoded(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFr
     return docs.select("doc_id", docs[column].alias("text")).mapInPandas(_encoder(model, False), "doc_id long, n_pieces long, ids array<int>")
 
 
-def with_round_trip(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFrame:
+def with_round_trip(docs: DataFrame, model: str = MODEL, column: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """As ``encoded``, with round_trip: whether the decoded ids are the text (null as empty). A text that holds the
     model's own mark for a space, or unpaired surrogates, does not come back."""
-    return docs.select("doc_id", docs[column].alias("text")).mapInPandas(_encoder(model, True), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", docs[column].alias("text")).mapInPandas(_encoder(model, True, remembered), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def _decoder(model: str):
