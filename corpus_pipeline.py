@@ -13,6 +13,8 @@ from tickweave.session import shared_folder
 
 #: Words of a shingle in the near-duplicate stage; op1 alone compares pairs of words, which link more.
 STAGE_WORDS = 5
+#: Encoded stretches that a worker keeps in the last stage.
+KEPT_STRETCHES = 60_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each drawn text."""
-    return pieces.with_round_trip(docs)
+    """Piece ids of each drawn text. Python workers outlive a stage, so they keep few encodings beside those of other stages."""
+    return pieces.with_round_trip(docs, remembered=KEPT_STRETCHES)
 
 
 STAGES = [
