@@ -171,6 +171,36 @@ def test_blocks_are_all_windows_that_hold_enough():
         assert [s for s, _ in found] == [k for k in range(len(words) - 1) if words[k : k + 2] == ["mit", "license"]]
 
 
+def slow_blocks(words, template, contained=licences.CONTAINED, stretch=licences.BLOCK_LENGTH):
+    """Places of all windows that hold enough of a template, by trying every one."""
+    import math
+
+    own = [w.decode() for w in licences.tokens(template)]
+    need, length, covered = math.ceil(contained * len(set(own)) - 1e-9), math.ceil(stretch * len(own)), set()
+    for k in range(len(words)):
+        part = words[k : k + length]
+        if words[k] in set(own) and len(set(part) & set(own)) >= need:
+            covered |= {k + j for j, w in enumerate(part) if w in set(own)}
+    return covered
+
+
+def test_whole_notices_and_whole_texts(spark, sample):
+    notice = next(n for n, label in licences.NOTICES.items() if label == "mit")
+    scanner = licences.Scanner({})
+    _, _, blocks = scanner.scan("x " * 500 + notice + " y" * 300)
+    assert ("mit", 1.0) in {(label, share) for _, _, label, share in blocks}
+    half = " ".join(notice.split()[:60])
+    assert max(stop - start for start, stop, _, _ in scanner.scan(half)[2]) < 60
+    for text in [notice.replace("Software", "Program"), *list(texts(spark, sample).values())[:120]]:
+        words, blocks = [w.decode() for w in licences.tokens(text)], scanner.scan(text)[2]
+        every = {}
+        for t, label in (licences.TEMPLATES | licences.NOTICES).items():
+            every.setdefault(label, set()).update(slow_blocks(words, t))
+        for label, want in every.items():
+            spans = [(a, b) for a, b, x, _ in blocks if x == label]
+            assert want <= {k for a, b in spans for k in range(a, b)} and bool(want) == bool(spans)
+
+
 def test_licence_rows(odd, none):
     assert licences.scanned(odd).count() == odd.count()
     assert licences.scanned(none).count() == 0
