@@ -141,6 +141,42 @@ def test_delayed_ticks_wait_for_the_watermark(spark, tmp_path):
     assert rows_of(got, "price") == [(1.0,)]
 
 
+def test_delayed_ticks_leave_once_when_due(spark, tmp_path, monkeypatch):
+    """Values of a few rows, most of them due in part, over batches whose times overlap within the lateness."""
+    monkeypatch.setattr(stateful, "HELD_ROWS", 7)
+    monkeypatch.setattr(stateful, "RELEASED_ROWS", 20)
+    rng = np.random.default_rng(5)
+    frames = []
+    for k in range(6):
+        at = pd.Timestamp("2024-01-01 10:00") + pd.to_timedelta(20 * k * 60 + rng.integers(0, 25 * 60, 300), unit="s")
+        part = pd.DataFrame({"symbol": rng.choice(["S", "T"], 300), "ts": at, "price": rng.random(300).round(3), "event_id": rng.integers(0, 200, 300)})
+        frames.append(pd.concat([part, part[:40]]))
+    for n in (2, 6):
+        stream = read_folder(spark, write_parts(spark, [(f, TICKS) for f in frames[:n]], tmp_path / f"in{n}"), TICKS, files_per_batch=1)
+        got = rows_of(drain(stateful.delayed_feed(stream, 30, pieces=1), "delay"), "ts", "symbol", "price", "event_id")
+        seen = pd.concat(frames[:n])
+        due = seen[seen["ts"].dt.floor("min") + pd.Timedelta(minutes=41) <= seen["ts"].max()]
+        assert got == sorted(zip(due["ts"], due["symbol"], due["price"], due["event_id"])) and len(got) > 20
+
+
+def test_delayed_state_does_not_grow_with_minutes(spark, tmp_path):
+    rows = pd.DataFrame({"symbol": "S", "ts": pd.date_range("2024-01-01", periods=3000, freq="min"), "price": 1.0, "event_id": range(3000)})
+    feed = stateful.delayed_feed(read_folder(spark, write_parts(spark, [(rows, TICKS)], tmp_path / "in"), TICKS), 30)
+    query = feed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 1000
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3000 - 41
+
+
+def test_delayed_ticks_without_id_price_or_time(spark, tmp_path):
+    part = ticks([(1, "10:00:00", 1), (1, "10:01:00", 2), (1, "10:02:00", 3), (1, "10:03:00", 4), (1, "11:00:00", 5)])
+    part["event_id"] = pd.Series([None, 2**53 + 1, 3, 4, 5], dtype=object)
+    part.loc[2, "ts"], part.loc[3, "price"] = pd.NaT, None
+    stream = read_folder(spark, write_parts(spark, [(part, TICKS)], tmp_path / "in"), TICKS)
+    got = drain(stateful.delayed_feed(stream, 30), "delay").orderBy("ts").select("price", "event_id").collect()
+    assert [tuple(r) for r in got] == [(1.0, None), (2.0, 2**53 + 1), (None, 4)]
+
+
 def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(f"{tmp_path}/one")

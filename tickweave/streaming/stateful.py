@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -379,34 +379,81 @@ def trade_limits(signals: DataFrame, per_day: int = 5, per_session: int = 3, del
 
 # --- delayed feed ------------------------------------------------------------------
 
-#: Rows sent on at a time when a minute is published.
-RELEASED_ROWS = 10_000
+#: Rows in one value of the state, and rows sent on at a time when they are published.
+HELD_ROWS, RELEASED_ROWS = 1_000, 10_000
+
+#: What a tick holds while it waits. Ids are text, since pandas would read whole numbers beside a null as doubles.
+TICK = pa.schema([("symbol", pa.string()), ("ts", pa.timestamp("us")), ("price", pa.float64()), ("event_id", pa.string())])
 
 
 class Hold(StatefulProcessor):
-    """Rows of a minute wait in a list until the watermark has passed the minute by the delay, and go out a few at a time."""
+    """Rows wait until the watermark has passed their minute by the delay, and go out a few at a time.
+
+    They lie in the state by time, up to ``HELD_ROWS`` in a value, under the times at which the first and the last of them
+    are due, so the state has few entries however many minutes it covers. One timer stands for the earliest row; when it
+    fires, what is due goes out, a value due in part is written back without those rows, and the timer moves on.
+    """
 
     def __init__(self, minutes: int):
         self.minutes = minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "ts timestamp, price double, event_id long")
+        self.rows = handle.getMapState("rows", "first long, last long, n long", "ticks binary")
+        self.next = handle.getValueState("next", "timer long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.rows.exists():
-            due = pd.Timestamp(key[1]) + pd.Timedelta(minutes=self.minutes + 1)
-            self.handle.registerTimer(int(due.value // 1_000_000))
+        timer, n = self.next.get() if self.next.exists() else (-1, 0)
+        earliest = timer
         for frame in rows:
-            self.rows.appendList([(ts.to_pydatetime(), float(price), int(i)) for ts, price, i in zip(frame["ts"], frame["price"], frame["event_id"])])
+            ticks = pa.RecordBatch.from_pandas(frame[TICK.names].sort_values("ts", kind="stable"), TICK, preserve_index=False)
+            for a in range(0, ticks.num_rows, HELD_ROWS):
+                first = self._put(ticks.slice(a, HELD_ROWS), n)
+                earliest, n = first if earliest < 0 else min(earliest, first), n + 1
+        self._wake(timer, earliest, n)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.rows.get()
-        while part := list(islice(held, RELEASED_ROWS)):
-            out = pd.DataFrame(part, columns=["ts", "price", "event_id"])
-            yield out.assign(symbol=key[0])[["symbol", "ts", "price", "event_id"]]
-        self.rows.clear()
+        passed, n = timerValues.getCurrentWatermarkInMs(), self.next.get()[1]
+        held = sorted(self.rows.keys()) if self.rows.exists() else []
+        later, out, size = [k[0] for k in held if k[0] > passed][:1], [], 0
+        for first, last, k in held:
+            if first > passed:
+                break
+            ticks = pa.ipc.read_record_batch(pa.py_buffer(self.rows.getValue((first, last, k))[0]), TICK)
+            self.rows.removeKey((first, last, k))
+            if last > passed:
+                due = int(np.searchsorted(self._due(ticks), passed, side="right"))
+                later.append(self._put(ticks.slice(due), n))
+                ticks, n = ticks.slice(0, due), n + 1
+            out.append(ticks)
+            size += ticks.num_rows
+            if size >= RELEASED_ROWS:
+                yield pa.Table.from_batches(out).to_pandas()
+                out, size = [], 0
+        if out:
+            yield pa.Table.from_batches(out).to_pandas()
+        self._wake(-1, min(later, default=-1), n)
+
+    def _due(self, ticks: pa.RecordBatch) -> np.ndarray:
+        """Milliseconds at which rows may go out: their minute and the delay."""
+        at = ticks.column("ts").cast(pa.int64()).to_numpy()
+        return (at // 60_000_000 + self.minutes + 1) * 60_000
+
+    def _put(self, ticks: pa.RecordBatch, n: int) -> int:
+        """Keep rows that are in time order as value number ``n``; returns when the first is due."""
+        due = self._due(ticks)
+        first, last = int(due[0]), int(due[-1])
+        self.rows.updateValue((first, last, n), (ticks.serialize().to_pybytes(),))
+        return first
+
+    def _wake(self, timer: int, at: int, n: int) -> None:
+        """Move the timer, if one is set, to the earliest row."""
+        if at != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.next.update((at, n))
 
     def close(self) -> None:
         pass
@@ -415,10 +462,13 @@ class Hold(StatefulProcessor):
 def delayed_feed(ticks: DataFrame, minutes: int, lateness: int = 10, pieces: int = 16) -> DataFrame:
     """Ticks published once the latest time seen is ``minutes`` (and the lateness) past their minute.
 
-    They wait row by row in the state of (symbol, minute, piece of the ids), with a timer for each, so a busy symbol or
-    minute is spread over many groups and none is ever one value.
+    They are dealt by a hash to ``pieces`` groups a partition of the state, so neither a busy symbol or minute nor many
+    symbols and minutes change what a group holds, and each group has one timer. A tick without a time is never due.
     """
-    use_rocksdb(ticks.sparkSession)
-    held = ticks.select("symbol", "ts", "price", "event_id").withWatermark("ts", f"{lateness} minutes")
-    keyed = held.withColumns({"minute": F.date_format("ts", "yyyy-MM-dd HH:mm"), "piece": F.pmod("event_id", F.lit(pieces))}).groupBy("symbol", "minute", "piece")
-    return keyed.transformWithStateInPandas(Hold(minutes), "symbol string, ts timestamp, price double, event_id long", "Append", "EventTime")
+    spark = ticks.sparkSession
+    use_rocksdb(spark)
+    groups = pieces * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = ticks.select("symbol", "ts", F.col("price").cast("double").alias("price"), F.col("event_id").cast("string").alias("event_id")).filter(F.col("ts").isNotNull())
+    keyed = held.withWatermark("ts", f"{lateness} minutes").withColumn("piece", F.pmod(F.xxhash64("symbol", "ts", "event_id"), F.lit(groups)))
+    out = keyed.groupBy("piece").transformWithStateInPandas(Hold(minutes), "symbol string, ts timestamp, price double, event_id string", "Append", "EventTime")
+    return out.withColumn("event_id", F.col("event_id").cast("long"))
